@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from palimpsest.llm.bpe import op2_bpe
 from palimpsest.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from palimpsest.llm.packing import op9_packing
+from palimpsest.llm.quality_rules import OP4_SQL, op4_quality_rules
 from palimpsest.llm.sharding import op1_sharding
 from palimpsest.llm.url_filters import OP10_SQL, op10_url_filters
 
 
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op6_exact_dedup": op6_exact_dedup, "op10_url_filters": op10_url_filters}
+    return {
+        "op1_sharding": op1_sharding,
+        "op2_bpe": op2_bpe,
+        "op4_quality_rules": op4_quality_rules,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op9_packing": op9_packing,
+        "op10_url_filters": op10_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op10_url_filters": OP10_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_url_filters": OP10_SQL}
