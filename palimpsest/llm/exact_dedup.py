@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import WHITE, located, shared_dir, small_enough, table, text_or_empty, written
 
 BEST = "struct<chars:int,id:long,file:long,row:long>"
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lives on disk; without fallocate a store with few keys takes the bytes of its keys, not of its empty logs.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def _normal(text_col: str) -> Column:
@@ -28,8 +33,9 @@ def _normal(text_col: str) -> Column:
 
 def _state(narrow_path: str, schema, spark: SparkSession, files_per_batch: int | None) -> DataFrame:
     """digest, best, group_size: the stream's keyed state after all rows of the narrow table."""
-    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    keep = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     out, marks = shared_dir(spark), shared_dir(spark)
     source = spark.readStream.schema(schema)
     if files_per_batch:
