@@ -6,6 +6,7 @@ from palimpsest.llm.bpe import op2_bpe
 from palimpsest.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from palimpsest.llm.packing import op9_packing
 from palimpsest.llm.quality_rules import OP4_SQL, op4_quality_rules
+from palimpsest.llm.secrets import op5_secrets
 from palimpsest.llm.sharding import op1_sharding
 from palimpsest.llm.url_filters import OP10_SQL, op10_url_filters
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_sharding": op1_sharding,
         "op2_bpe": op2_bpe,
         "op4_quality_rules": op4_quality_rules,
+        "op5_secrets": op5_secrets,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
