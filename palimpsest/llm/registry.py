@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palimpsest.llm.bpe import op2_bpe
 from palimpsest.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from palimpsest.llm.jaccard_join import op7_jaccard_join
 from palimpsest.llm.packing import op9_packing
 from palimpsest.llm.quality_rules import OP4_SQL, op4_quality_rules
 from palimpsest.llm.secrets import op5_secrets
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op4_quality_rules": op4_quality_rules,
         "op5_secrets": op5_secrets,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_jaccard_join": op7_jaccard_join,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
     }
