@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from palimpsest.llm.bpe import op2_bpe
+from palimpsest.llm.classifier import op8_classifier
 from palimpsest.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from palimpsest.llm.jaccard_join import op7_jaccard_join
 from palimpsest.llm.packing import op9_packing
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_secrets": op5_secrets,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_classifier": op8_classifier,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
     }
