@@ -10,6 +10,7 @@ from palimpsest.llm.packing import op9_packing
 from palimpsest.llm.quality_rules import OP4_SQL, op4_quality_rules
 from palimpsest.llm.secrets import op5_secrets
 from palimpsest.llm.sharding import op1_sharding
+from palimpsest.llm.substring_dedup import op3_substring_dedup
 from palimpsest.llm.url_filters import OP10_SQL, op10_url_filters
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op2_bpe": op2_bpe,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_secrets": op5_secrets,
         "op6_exact_dedup": op6_exact_dedup,
