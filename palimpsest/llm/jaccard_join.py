@@ -243,16 +243,29 @@ def _skipped(members: DataFrame, listed: DataFrame, first: DataFrame, links: Dat
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id, and its locator __file, __row."""
+    """A row per row of docs: doc_id, n_shingles, component_id, group (null for an empty set), and its locator __file, __row."""
     rows, nodes, links = link_classes(docs, size, percent, **options)
     found = components(links)
-    named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of = named.join(names, "component").select("n", "s1", "s2", "component_id")
+    named = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    names = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    of = named.join(names, "group").select("n", "s1", "s2", "group", "component_id")
     out = rows.join(of, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "__file", "__row")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group", "__file", "__row")
+
+
+def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
+    """docs with one row of each group of near duplicates, the one of the smallest doc_id (then the first); columns unchanged.
+
+    Rows with an empty set are in no group and stay.
+    """
+    docs = located(docs)
+    found = written(near_duplicates(docs, size, percent, **options).select("doc_id", "group", "__file", "__row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__file"), F.col("__row"))).alias("first")
+    kept = found.where("group is not null").groupBy("group").agg(first).select("first.__file", "first.__row")
+    kept = kept.unionByName(found.where("group is null").select("__file", "__row"))
+    return docs.join(maybe_broadcast(kept, 16), ["__file", "__row"], "left_semi").drop("__file", "__row")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and component under 4-word shingles and Jaccard of 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85).drop("__file", "__row")
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85).drop("group", "__file", "__row")

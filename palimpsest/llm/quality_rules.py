@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Callable
 from functools import cached_property
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,8 +136,6 @@ def judge(docs: DataFrame, order: list[str] | None = None, sample: int = 400, id
 def passing(docs: DataFrame, sample: int = 400) -> DataFrame:
     """docs that pass the whole cascade, columns unchanged; only the cascade runs, up to a document's first rejection."""
     order = sample_order(docs, sample)
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def passes(texts: pd.Series) -> pd.Series:
         cascade = [RULES[name] for name in order]
