@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import importlib
+
+from palimpsest.plans import base
+
+MODULES = ["series_queries"]
+
+
+def _loaded():
+    for m in MODULES:
+        importlib.import_module(f"palimpsest.plans.{m}")
+    return base
+
 
 def queries() -> dict:
-    return {}
+    return dict(_loaded().QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_loaded().SQL)
