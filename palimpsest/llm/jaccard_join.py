@@ -7,8 +7,8 @@
    shingles count as frequent changes the cost, never the result.
 3. A list is read in order of set size; the block of sets too small for the current one is skipped by its position.
    A list of up to ``block`` sets within reach gives its pairs. A longer one only joins each set to the list's pivots.
-4. Pairs are verified on whole sets. In long lists, sets that a verified pivot already puts in one component need no
-   more pairs. For the rest, a set's possible partners follow from the verified answers of its pivot: with Jaccard
+4. Pairs are verified on whole sets, but for those whose parity bits differ in too many places to be linked. In long
+   lists, sets that a verified pivot already puts in one component need no more pairs. For the rest, a set's possible partners follow from the verified answers of its pivot: with Jaccard
    distance d, a metric, x (of pivot p) and y (of pivot q) can only be linked when d(p, q) <= 1 - t + d(x, p) + d(y, q),
    so whole clusters are skipped by one distance, and only pairs within that bound are verified.
 5. Components come from alternating stars over verified links.
@@ -34,6 +34,7 @@ from palimpsest.llm.shingles import in_chunks, mix, shingle_sets
 
 #: Frequent shingles move back by this share of the hash range, and so much more of each set is looked at.
 BACK = 0.15
+PARITY = 2048
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -63,24 +64,36 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
     return map_batches(docs.select("doc_id", "text", "__file", "__row"), "doc_id long, n long, s1 long, s2 long, __file long, __row long", make)
 
 
+def _parity(x: np.ndarray) -> list[int]:
+    """PARITY bits, each the parity of the number of shingles that fall on it: two sets differ in at least as many
+    shingles as their bits differ in."""
+    bits = (np.bincount((x >> np.uint64(8)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _sets(texts: DataFrame, size: int, percent: int, region: bool) -> DataFrame:
-    """node, n and the node's shingles: all, or those that can be among the first ones in any order with moves of BACK."""
+    """node, n and the node's shingles: all, or those that can be among the first ones in any order with moves of BACK.
+
+    With regions also the set's parity bits.
+    """
 
     def make():
         def call(batch: pa.RecordBatch) -> list:
-            texts, n, kept = batch.column(1).to_pylist(), [], []
+            texts, n, kept, bits = batch.column(1).to_pylist(), [], [], []
             for a, b in in_chunks(texts):
                 for x in shingle_sets(texts[a:b], size):
                     n.append(len(x))
+                    if region:
+                        bits.append(_parity(x))
                     if region and len(x):
                         last = min(int(x[_needed(len(x), percent) - 1]) + int(BACK * 2**64) + (1 << 16), 2**64 - 1)
                         x = x[: np.searchsorted(x, np.uint64(last), "right")]
                     kept.append(_signed(x))
-            return [batch.column(0), n, kept]
+            return [batch.column(0), n, kept, *([bits] if region else [])]
 
         return call
 
-    return map_batches(texts.select("node", "text"), "node long, n long, shingles array<long>", make)
+    return map_batches(texts.select("node", "text"), "node long, n long, shingles array<long>" + ", bits array<long>" * region, make)
 
 
 def _index(regions: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
@@ -174,12 +187,21 @@ def _list_pairs(index: DataFrame, percent: int, block: int) -> DataFrame:
 class _Verifier:
     """Jaccard numbers of pairs of nodes, from whole sets that are made only for nodes that are in a pair."""
 
-    def __init__(self, nodes: DataFrame, docs: DataFrame, size: int, percent: int):
+    def __init__(self, nodes: DataFrame, docs: DataFrame, regions: DataFrame, size: int, percent: int):
         self.nodes, self.docs, self.size, self.percent = nodes, docs, size, percent
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """a, b, both (shingles in common), either (shingles in the union) of every pair (a, b)."""
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        self.bits = regions.select("node", "n", "bits")
+
+    def __call__(self, pairs: DataFrame, percent: int | None = None) -> DataFrame:
+        """a, b, both (shingles in common), either (shingles in the union) of the pairs (a, b) that can reach the percentage.
+
+        Pairs whose parity bits differ in more places than the percentage allows shingles to differ are left out.
+        """
+        least = self.percent if percent is None else percent
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        of = lambda k: self.bits.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(apart * (100 + least) <= (100 - least) * (F.col("n_a") + F.col("n_b")))
+        pairs = written(pairs.select("a", "b"))
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = self.nodes.join(ends, "node").select("node", "__file", "__row")
         texts = self.docs.join(maybe_broadcast(wanted, 32), ["__file", "__row"])
@@ -191,7 +213,7 @@ class _Verifier:
         return written(met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
 
 
-def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 48, frequent: int = 32, most_frequent: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 12, frequent: int = 32, most_frequent: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, links): every row's class, one node for each class, and all verified links that components need."""
     docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__file", "__row")
     rows = written(_classes(docs, size))
@@ -200,10 +222,11 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
     nodes = written(best.select(*key, "rep", "place.*").withColumn("node", F.monotonically_increasing_id()))
     reps = nodes.select("node", "__file", "__row")
     regions = written(_sets(docs.join(maybe_broadcast(reps, 32), ["__file", "__row"]), size, percent, region=True))
-    df = regions.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= frequent)
+    first = F.slice("shingles", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))
+    df = regions.select(F.explode(first).alias("shingle")).groupBy("shingle").count().where(F.col("count") >= frequent)
     hot = np.sort(np.asarray([r[0] for r in df.orderBy(F.desc("count"), "shingle").limit(most_frequent).select("shingle").collect()], np.int64))
     listed = written(_list_pairs(_index(regions, hot, percent), percent, block))
-    verify = _Verifier(nodes, docs, size, percent)
+    verify = _Verifier(nodes, docs, regions, size, percent)
     similar = lambda x: x.where(F.col("both") * 100 >= percent * F.col("either"))
     first = verify(listed.where("kind < 2"))
     links = similar(first).select("a", "b")
@@ -232,7 +255,7 @@ def _skipped(members: DataFrame, listed: DataFrame, first: DataFrame, links: Dat
     reach = (F.col("most_p") * 100 >= percent * F.col("least_q")) & (F.col("most_q") * 100 >= percent * F.col("least_p"))
     pivots = p.join(q, "shingle").where((F.col("pivot_p") < F.col("pivot_q")) & (F.col("component_p") != F.col("component_q")) & reach)
     pivots = written(pivots.groupBy("pivot_p", "pivot_q").agg(F.max(F.col("radius_p") + F.col("radius_q")).alias("radius")))
-    far = verify(pivots.select(F.col("pivot_p").alias("a"), F.col("pivot_q").alias("b")))
+    far = verify(pivots.select(F.col("pivot_p").alias("a"), F.col("pivot_q").alias("b")), max(0, 100 - 3 * (100 - percent)))
     close = pivots.join(far, (F.col("pivot_p") == F.col("a")) & (F.col("pivot_q") == F.col("b"))).where(distance <= apart + F.col("radius") + 1e-9)
     close = close.select("pivot_p", "pivot_q", distance.alias("between"))
     x, y = (open_.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("pivot", "x", "n", "d"))) for k in "pq")
