@@ -66,9 +66,9 @@ def merge_dimension(old: DataFrame, new: DataFrame, key: list[str], keep_old_if_
 
 
 def merge_maps(old: Column, new: Column) -> Column:
-    """Union of two string maps; on a shared key the new value unless it is null."""
+    """Union of two string maps; on a shared key the new value unless it is null; keys without any value go."""
     empty = F.expr("map()").cast("map<string,string>")
-    return F.map_zip_with(F.coalesce(old, empty), F.coalesce(new, empty), lambda k, o, n: F.coalesce(n, o))
+    return F.map_filter(F.map_zip_with(F.coalesce(old, empty), F.coalesce(new, empty), lambda k, o, n: F.coalesce(n, o)), lambda k, v: v.isNotNull())
 
 
 def merge_json(old: Column, new: Column) -> Column:
