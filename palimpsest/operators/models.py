@@ -59,7 +59,7 @@ def _filled(x: np.ndarray, with_: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(x), with_, x)
 
 
-class Standardised(Model):
+class Standardised:
     """Median filling and scaling by the training window's own numbers."""
 
     def _learn(self, x: np.ndarray) -> np.ndarray:
@@ -95,7 +95,7 @@ def coordinate_descent(x: np.ndarray, y: np.ndarray, alpha: float, l1: float, w:
     return w
 
 
-class ElasticNet(Standardised):
+class ElasticNet(Standardised, Model):
     """With a fixed alpha, or chosen with l1 by forward-chaining validation."""
 
     def __init__(self, alpha: float | None = None, l1: float | tuple[float, ...] = (0.1, 0.5, 0.9, 1.0), folds: int = 3, path: int = 20):
@@ -129,7 +129,7 @@ class ElasticNet(Standardised):
         return self.base + self._scale(x) @ self.w
 
 
-class Ridge(Standardised):
+class Ridge(Standardised, Model):
     def __init__(self, alpha: float = 1.0):
         self.alpha = alpha
 
@@ -142,7 +142,7 @@ class Ridge(Standardised):
     predict = ElasticNet.predict
 
 
-class PrincipalComponents(Standardised):
+class PrincipalComponents(Standardised, Model):
     """Least squares on the first k principal components of the training window."""
 
     def __init__(self, k: int = 3):

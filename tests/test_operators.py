@@ -192,3 +192,41 @@ def test_snapshot_with_transform_codes(spark, tmp_path):
 def test_delimited_text_with_leading_lines(spark, tmp_path):
     (tmp_path / "d.txt").write_text("note\nmore\na;b\n1;2\n3;\n")
     assert [tuple(r) for r in files.read_delimited(spark, str(tmp_path / "d.txt"), ";", skip=2).collect()] == [("1", "2"), ("3", None)]
+
+
+def test_selectors_find_what_matters():
+    from palimpsest.operators import selectors as sl
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8))
+    y = 3 * x[:, 2] - 2 * x[:, 5] + 0.1 * rng.normal(size=200)
+    x[::17, 0] = np.nan
+    assert set(sl.Penalised(alpha=0.3).fit(x, y).columns) == {2, 5}
+    assert len(sl.Penalised(alpha=100.0).fit(x, y).columns) == 5 and len(sl.Penalised(alpha=0.0001, most=3).fit(x, y).columns) == 3
+    assert set(sl.Informative(2).fit(x, y).columns) == {2, 5}
+    f = rng.normal(size=(300, 1))
+    z = f @ np.ones((1, 6)) + 0.5 * rng.normal(size=(300, 6))
+    for kind in (sl.Components(1), sl.Factors(1)):
+        assert abs(np.corrcoef(kind.fit(z).transform(z)[:, 0], f[:, 0])[0, 1]) > 0.95
+    assert sl.Identity().fit(x).transform(x) is x
+
+
+def test_factor_nowcast_recovers_a_common_factor_through_gaps():
+    rng = np.random.default_rng(7)
+    f = np.zeros(150)
+    for t in range(1, 150):
+        f[t] = 0.8 * f[t - 1] + rng.normal()
+    x = np.outer(f, np.ones(10)) + 0.5 * rng.normal(size=(150, 10))
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    x[-2:, 3:] = np.nan
+    assert abs(np.corrcoef(md.factor_nowcast(x, 1)[:, 0], f)[0, 1]) > 0.95
+
+
+def test_cached_decisions_hold_while_series_hardly_grow(spark):
+    from palimpsest.sources.sinks import audit_row, reuse_cache
+
+    s = spark.createDataFrame([("a", 100), ("b", 100), ("c", 100), ("d", 100)], "series_id string, n long")
+    cache = spark.createDataFrame([("a", 95, "log", True), ("b", 80, "log", True), ("c", 100, "log", False)], "series_id string, n long, decision string, success boolean")
+    old, new = reuse_cache(s, cache)
+    assert [r.series_id for r in old.collect()] == ["a"] and {r.series_id for r in new.collect()} == {"b", "c", "d"}
+    assert audit_row(spark, 1, "ok", 2, 0, {"b": 1}).first().details == '{"b": 1}'
