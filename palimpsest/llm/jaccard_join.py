@@ -5,12 +5,15 @@
    with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each in any such order, so only those
    are indexed, and the order keeps frequent shingles out of the index wherever a set has enough rare ones. Which
    shingles count as frequent changes the cost, never the result.
-3. A list is read in order of set size; the block of sets too small for the current one is skipped by its position.
-   A list of up to ``block`` sets within reach gives its pairs. A longer one only joins each set to the list's pivots.
-4. Pairs are verified on whole sets, but for those whose parity bits differ in too many places to be linked. In long
-   lists, sets that a verified pivot already puts in one component need no more pairs. For the rest, a set's possible partners follow from the verified answers of its pivot: with Jaccard
-   distance d, a metric, x (of pivot p) and y (of pivot q) can only be linked when d(p, q) <= 1 - t + d(x, p) + d(y, q),
-   so whole clusters are skipped by one distance, and only pairs within that bound are verified.
+3. A list is read in order of set size; the block of sets too small for the current one is skipped by its position,
+   and so are pairs whose positions already rule out this list as the first that they share.
+4. Answers grow in two rounds. The first takes only the first ``early`` shingles of each set: short lists give their
+   pairs, long ones join each set to the smallest set within reach. Verified pairs give components. The second round
+   takes all lists, but derives what it can from the first: sets that are in one component already need no comparison.
+   Pairs are verified on whole sets, but for those whose parity bits differ in too many places to be linked.
+   A list with more than ``block`` sets within reach is compared in square blocks of at most ``tile`` sets each, in one
+   pass of matrix products over parity bits; only pairs that pass, and that no link found before connects, are verified
+   on their sets, and only such links leave the block: never more than the block has sets.
 5. Components come from alternating stars over verified links.
 
 Texts are read whole. Null and empty texts, and those without words, have an empty set and are linked with nothing,
@@ -34,7 +37,7 @@ from palimpsest.llm.shingles import in_chunks, mix, shingle_sets
 
 #: Frequent shingles move back by this share of the hash range, and so much more of each set is looked at.
 BACK = 0.15
-PARITY = 2048
+PARITY = 1024
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -97,9 +100,9 @@ def _sets(texts: DataFrame, size: int, percent: int, region: bool) -> DataFrame:
 
 
 def _index(regions: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
-    """shingle, node, n: a row for each indexed shingle."""
+    """shingle, node, n, pos: a row for each indexed shingle and its place in its set's order."""
     shared = regions.sparkSession.sparkContext.broadcast(hot)
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([(x, pa.int64()) for x in ("shingle", "node", "n", "pos")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
@@ -121,67 +124,152 @@ def _index(regions: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
                 if out:
                     counts = [len(x) for x, _ in out]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([x for x, _ in out])), pa.array(np.repeat(part.column(0).to_numpy(), counts)), pa.array(np.repeat(sizes, counts))], schema=schema
+                        [pa.array(np.concatenate([x for x, _ in out])), pa.array(np.repeat(part.column(0).to_numpy(), counts)), pa.array(np.repeat(sizes, counts)), pa.array(np.concatenate([np.arange(c) for c in counts]))], schema=schema
                     )
 
-    return regions.mapInArrow(run, "shingle long, node long, n long")
+    return regions.mapInArrow(run, "shingle long, node long, n long, pos long")
 
 
-def _list_pairs(index: DataFrame, percent: int, block: int) -> DataFrame:
-    """a, b, kind, shingle, n: kind 0 a pair; kind 1 a pair of a pivot (a) and a set of a long list; kind 2 a member (a) of a long list."""
-    schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "kind", "shingle", "n")])
+def _list_pairs(index: DataFrame, percent: int, block: int, star: bool) -> DataFrame:
+    """a, b, kind, shingle, n: kind 0 a pair to verify; kind 1 a member (a, of component b) of a list too long for pairs.
+
+    index: shingle, node, n, pos, component. With star, a long list gives pairs with its smallest set within reach
+    instead of members.
+    """
+    names = ("a", "b", "kind", "shingle", "n")
+    schema = pa.schema([(x, pa.int64()) for x in names])
+
+    def pairs(rows: list[tuple], emit) -> None:
+        first = 0
+        for k, (_, node, n, pos, component) in enumerate(rows):
+            while 100 * rows[first][2] < percent * n:  # sizes ascend: these are out of reach for good
+                first += 1
+            for j in range(first, min(k, first + 1) if star and k - first > block else k):
+                _, other, m, place, its = rows[j]
+                # Shingles before the first shared one differ: there may not be more of them than a link allows.
+                if its != component and (pos + place) * (100 + percent) <= (100 - percent) * (n + m):
+                    emit((other, node, 0, 0, 0))
+
+    def reach(rows: list[tuple]) -> int:
+        """The most sets that one set of the list has within reach."""
+        first = most = 0
+        for k, r in enumerate(rows):
+            while 100 * rows[first][2] < percent * r[2]:
+                first += 1
+            most = max(most, k - first + 1)
+        return most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         seen: set[tuple] = set()
-        now, first, nodes, sizes, long = None, 0, [], [], False
+        now: list[tuple] = []
+        spilled = 0  # rows of the present list that have left as members already
 
-        def emit(a: int, b: int, kind: int, shingle: int, n: int) -> None:
-            pair = (a, b, kind)
-            if kind < 2:  # the same pair comes from many lists
-                if pair in seen:
-                    return
+        def emit(row: tuple) -> None:
+            if row not in seen:  # the same pair comes from many lists
                 if len(seen) >= 200_000:
                     seen.clear()
-                seen.add(pair)
-            out.append((a, b, kind, shingle, n))
+                seen.add(row)
+                out.append(row)
+
+        def close() -> None:
+            nonlocal spilled
+            if spilled or not star and len(now) > block and reach(now) > block and len({r[4] for r in now}) > 1:
+                out.extend((r[1], r[4], 1, r[0], r[2]) for r in now)
+            elif len(now) > 1:
+                pairs(now, emit)
+            now.clear()
+            spilled = 0
 
         for batch in batches:
-            for shingle, node, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if shingle != now:
-                    now, first, nodes, sizes, long = shingle, 0, [], [], False
-                while first < len(sizes) and 100 * sizes[first] < percent * n:  # sizes ascend: these are out of reach for good
-                    first += 1
-                if not long and len(nodes) - first >= block:
-                    long = True
-                    for k in range(first, len(nodes)):
-                        emit(nodes[k], 0, 2, shingle, sizes[k])
-                    nodes, sizes, first = nodes[first:], sizes[first:], 0
-                if long:
-                    emit(node, 0, 2, shingle, n)
-                    # Pivots: the smallest set within reach, and a later one whenever that falls out of reach.
-                    if first >= len(nodes):
-                        nodes, sizes, first = [node], [n], 0
+            for r in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if now and r[0] != now[0][0]:
+                    close()
+                if len(now) >= 50_000:  # memory stays bounded whatever a list's length
+                    if star:
+                        pairs(now, emit)
+                        del now[1:]
                     else:
-                        emit(nodes[first], node, 1, shingle, n)
-                        if len(nodes) - first < block:
-                            nodes.append(node)
-                            sizes.append(n)
-                else:
-                    for k in range(first, len(nodes)):
-                        emit(nodes[k], node, 0, shingle, n)
-                    nodes.append(node)
-                    sizes.append(n)
-                if first > 1024:
-                    nodes, sizes, first = nodes[first:], sizes[first:], 0
+                        out.extend((x[1], x[4], 1, x[0], x[2]) for x in now[1:])
+                        del now[1:]
+                        spilled += 1
+                now.append(r)
                 if len(out) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
                     out = []
+        if now:
+            close()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
 
-    dealt = index.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-    return dealt.mapInArrow(run, "a long, b long, kind long, shingle long, n long")
+    dealt = index.select("shingle", "node", "n", "pos", "component").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def _tile_links(rows: list[tuple], cross: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is not connected yet among rows (node, component, n, side, shingles), each verified."""
+    rows.sort(key=lambda r: (r[3], r[2], r[0]))
+    sets = [np.asarray(r[4], np.int64) for r in rows]
+    size = np.asarray([r[2] for r in rows], np.int64)
+    side = np.asarray([r[3] for r in rows])
+    bits = np.stack([(np.bincount((x.view(np.uint64) >> np.uint64(8)).astype(np.int64) % PARITY, minlength=PARITY) & 1) for x in sets]).astype(np.float32)
+    ones = bits.sum(axis=1)
+    names: dict[int, int] = {}
+    group = np.asarray([names.setdefault(r[1], len(names)) for r in rows])
+    out = []
+    for at in range(0, len(rows), 256):
+        part = slice(at, at + 256)
+        differ = ones[part, None] + ones[None, :] - 2 * (bits[part] @ bits.T)
+        ok = differ * (100 + percent) <= (100 - percent) * (size[part, None] + size[None, :]) + 0.5
+        ok &= (size[part, None] * 100 >= percent * size[None, :]) & (size[None, :] * 100 >= percent * size[part, None])
+        ok &= group[part, None] != group[None, :]
+        if cross:
+            ok &= side[part, None] < side[None, :]
+        else:
+            ok &= np.arange(len(rows))[None, :] > np.arange(at, min(at + 256, len(rows)))[:, None]
+        for i, j in zip(*np.nonzero(ok)):
+            i += at
+            if group[i] == group[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                group[group == group[j]] = group[i]
+                out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def _long_lists(members: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """a, b: links within long lists (shingle, node, component, n), by blocks of at most about tile sets."""
+    many = members.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
+    held = members.join(many, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A set meets every block: as the first side from its own block on, as the second up to it.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = held.select("shingle", "node", "component", "n", "own", other.alias("other"))
+    held = held.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "n", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[tuple] = []
+        key = None
+
+        def close() -> pa.RecordBatch:
+            found = _tile_links(now, key[1] != key[2], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for batch in batches:
+            shingles = batch.column(7)
+            flat, ends = shingles.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.diff(shingles.offsets.to_numpy()))))
+            for k, r in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
+                if r[:3] != key:
+                    if now:
+                        yield close()
+                    now, key = [], r[:3]
+                now.append((r[3], r[4], r[5], r[6], flat[ends[k] : ends[k + 1]]))
+        if now:
+            yield close()
+
+    dealt = held.join(sets.select("node", "shingles"), "node").select("shingle", "i", "j", "node", "component", "n", "side", "shingles")
+    return dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(run, "a long, b long")
 
 
 class _Verifier:
@@ -191,6 +279,12 @@ class _Verifier:
         self.nodes, self.docs, self.size, self.percent = nodes, docs, size, percent
         self.bits = regions.select("node", "n", "bits")
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, n, shingles of the nodes."""
+        wanted = self.nodes.join(nodes, "node").select("node", "__file", "__row")
+        texts = self.docs.join(maybe_broadcast(wanted, 32), ["__file", "__row"])
+        return written(_sets(texts, self.size, self.percent, region=False))
+
     def __call__(self, pairs: DataFrame, percent: int | None = None) -> DataFrame:
         """a, b, both (shingles in common), either (shingles in the union) of the pairs (a, b) that can reach the percentage.
 
@@ -202,10 +296,7 @@ class _Verifier:
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
         pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(apart * (100 + least) <= (100 - least) * (F.col("n_a") + F.col("n_b")))
         pairs = written(pairs.select("a", "b"))
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = self.nodes.join(ends, "node").select("node", "__file", "__row")
-        texts = self.docs.join(maybe_broadcast(wanted, 32), ["__file", "__row"])
-        sets = written(_sets(texts, self.size, self.percent, region=False))
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         met = pairs.join(right, "b").join(left, "a")
@@ -213,7 +304,7 @@ class _Verifier:
         return written(met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
 
 
-def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 12, frequent: int = 32, most_frequent: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 64, early: int = 6, tile: int = 4096, frequent: int = 32, most_frequent: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, links): every row's class, one node for each class, and all verified links that components need."""
     docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__file", "__row")
     rows = written(_classes(docs, size))
@@ -225,44 +316,19 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
     first = F.slice("shingles", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))
     df = regions.select(F.explode(first).alias("shingle")).groupBy("shingle").count().where(F.col("count") >= frequent)
     hot = np.sort(np.asarray([r[0] for r in df.orderBy(F.desc("count"), "shingle").limit(most_frequent).select("shingle").collect()], np.int64))
-    listed = written(_list_pairs(_index(regions, hot, percent), percent, block))
+    index = written(_index(regions, hot, percent))
     verify = _Verifier(nodes, docs, regions, size, percent)
-    similar = lambda x: x.where(F.col("both") * 100 >= percent * F.col("either"))
-    first = verify(listed.where("kind < 2"))
-    links = similar(first).select("a", "b")
-    members = listed.where("kind = 2").select(F.col("shingle"), F.col("a").alias("x"), "n")
+    similar = lambda x: x.where(F.col("both") * 100 >= percent * F.col("either")).select("a", "b")
+    start = index.where(F.col("pos") < early).withColumn("component", F.col("node"))
+    links = written(similar(verify(written(_list_pairs(start, percent, min(block, 16), star=True)))))
+    known = written(components(links))
+    rest = index.join(maybe_broadcast(known, 24), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    listed = written(_list_pairs(rest, percent, block, star=False))
+    links = links.union(similar(verify(listed.where("kind = 0"))))
+    members = listed.where("kind = 1").select("shingle", F.col("a").alias("node"), F.col("b").alias("component"), "n")
     if not members.isEmpty():
-        links = written(links.union(_skipped(members, listed, first, links, verify, percent)).distinct())
-    return rows, nodes, links
-
-
-def _skipped(members: DataFrame, listed: DataFrame, first: DataFrame, links: DataFrame, verify: _Verifier, percent: int) -> DataFrame:
-    """The links in long lists that pivots did not already give, between different components only."""
-    apart = 1 - percent / 100
-    distance = 1 - F.col("both") / F.col("either")
-    star = listed.where("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("pivot")).distinct()
-    near = first.join(star, ["a", "b"]).where(F.col("both") * 100 >= percent * F.col("either"))
-    near = near.select(F.when(F.col("pivot") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("x"), F.struct("pivot", distance.alias("d")).alias("p"))
-    anchor = near.groupBy("x").agg(F.min("p").alias("p")).where("p.pivot < x").select("x", F.col("p.pivot").alias("pivot"), F.col("p.d").alias("d"))
-    known = components(links).select(F.col("node").alias("x"), "component")
-    held = members.join(anchor, "x", "left").join(known, "x", "left")
-    held = written(held.select("shingle", "x", "n", F.coalesce("pivot", "x").alias("pivot"), F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "x").alias("component")))
-    # Lists whose members are all in one component have nothing to add.
-    mixed = held.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    open_ = held.join(mixed, "shingle", "left_semi")
-    clusters = written(open_.groupBy("shingle", "pivot").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("d").alias("radius"), F.min("component").alias("component")))
-    p, q = (clusters.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("pivot", "least", "most", "radius", "component"))) for k in "pq")
-    reach = (F.col("most_p") * 100 >= percent * F.col("least_q")) & (F.col("most_q") * 100 >= percent * F.col("least_p"))
-    pivots = p.join(q, "shingle").where((F.col("pivot_p") < F.col("pivot_q")) & (F.col("component_p") != F.col("component_q")) & reach)
-    pivots = written(pivots.groupBy("pivot_p", "pivot_q").agg(F.max(F.col("radius_p") + F.col("radius_q")).alias("radius")))
-    far = verify(pivots.select(F.col("pivot_p").alias("a"), F.col("pivot_q").alias("b")), max(0, 100 - 3 * (100 - percent)))
-    close = pivots.join(far, (F.col("pivot_p") == F.col("a")) & (F.col("pivot_q") == F.col("b"))).where(distance <= apart + F.col("radius") + 1e-9)
-    close = close.select("pivot_p", "pivot_q", distance.alias("between"))
-    x, y = (open_.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in ("pivot", "x", "n", "d"))) for k in "pq")
-    pairs = x.join(close, "pivot_p").join(y, ["shingle", "pivot_q"])
-    reach = (F.col("n_p") * 100 >= percent * F.col("n_q")) & (F.col("n_q") * 100 >= percent * F.col("n_p"))
-    pairs = pairs.where(reach & (F.col("between") <= apart + F.col("d_p") + F.col("d_q") + 1e-9)).select(F.col("x_p").alias("a"), F.col("x_q").alias("b"))
-    return verify(pairs).where(F.col("both") * 100 >= percent * F.col("either")).select("a", "b")
+        links = links.union(_long_lists(members, verify.sets(members.select("node").distinct()), percent, tile))
+    return rows, nodes, written(links.distinct())
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
