@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrow import map_batches
-from palimpsest.llm.bpe import BEYOND, LETTER, NUMBER, SPACE
+from palimpsest.llm.bpe import BEYOND, LETTER, NUMBER, SPACE, byte_letters
 from palimpsest.llm.common import table, written
 
 #: The vocabulary's word pattern on lower-cased text below U+0250 (fixed values).
@@ -42,6 +42,8 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
 
@@ -49,7 +51,9 @@ class WordIds(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        out = self.whole(word)
+        # A single word needs the library's model alone, on the letters that stand for its bytes.
+        coded = word if word.isalpha() and word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        out = np.asarray([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.clear()
