@@ -31,7 +31,17 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.scratch_path
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def located(df: DataFrame) -> DataFrame:

@@ -1,20 +1,59 @@
-"""Connected components by alternating stars, in DataFrame operations only."""
+"""Connected components: local forests first, then one bounded task or alternating stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import written
 
+SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v) for every node u of the partition's edges with the smallest node v that they connect it to."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while top.setdefault(root, root) != root:
+            root = top[root]
+        while top[x] != root:
+            top[x], x = root, top[x]
+        return root
+
+    def out() -> Iterator[pa.RecordBatch]:
+        pairs = [(x, find(x)) for x in list(top)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        for k in range(0, len(pairs), 50_000):
+            part = pairs[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in part], pa.int64()) for j in (0, 1)], schema=SCHEMA)
+        top.clear()
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+        if len(top) > 3_000_000:  # memory stays bounded; what is cut here meets again below
+            yield from out()
+    yield from out()
+
+
+def components(edges: DataFrame, most_rounds: int = 60, in_one_task: int = 2_000_000) -> DataFrame:
     """(node, component) of every node in edges (a, b); component is the smallest node of its component.
 
-    Each round joins every node's larger neighbours to its smallest neighbour, then its smaller ones; partial minima
-    keep hubs cheap. Rounds go through written tables, so a lost executor costs one round. Ends when nothing changes.
+    Each partition replaces its edges by a forest of stars. While the stars' counted edges are within in_one_task
+    (of 16 bytes each), one task joins them. Beyond that, alternating stars do: each round joins every node's larger
+    neighbours to its smallest neighbour, then its smaller ones; partial minima keep hubs cheap, and rounds go through
+    written tables, so a lost executor costs one round.
     """
-    now = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
+    local = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long"))
+    if local.count() <= in_one_task:
+        return _named(written(local.repartition(1).mapInArrow(_forest, "u long, v long")))
+    now = written(local.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(most_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -26,7 +65,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         same = after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty()
         now = after
         if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            return _named(now)
+    raise RuntimeError("components did not settle")
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    tops = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

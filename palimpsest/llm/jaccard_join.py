@@ -7,8 +7,8 @@
    shingles count as frequent changes the cost, never the result.
 3. A list is read in order of set size; the block of sets too small for the current one is skipped by its position,
    and so are pairs whose positions already rule out this list as the first that they share.
-4. Answers grow in two rounds. The first takes only the first ``early`` shingles of each set: short lists give their
-   pairs, long ones join each set to the smallest set within reach. Verified pairs give components. The second round
+4. Answers grow in two rounds. The first takes only the first ``early`` shingles of each set, and joins each
+   set to the smallest one within reach in its lists. Verified pairs give components. The second round
    takes all lists, but derives what it can from the first: sets that are in one component already need no comparison.
    Pairs are verified on whole sets, but for those whose parity bits differ in too many places to be linked.
    A list with more than ``block`` sets within reach is compared in square blocks of at most ``tile`` sets each, in one
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrow import map_batches
-from palimpsest.llm.common import located, maybe_broadcast, table, written
+from palimpsest.llm.common import forget, located, maybe_broadcast, table, written
 from palimpsest.llm.components import components
 from palimpsest.llm.shingles import in_chunks, mix, shingle_sets
 
@@ -278,12 +278,17 @@ class _Verifier:
     def __init__(self, nodes: DataFrame, docs: DataFrame, regions: DataFrame, size: int, percent: int):
         self.nodes, self.docs, self.size, self.percent = nodes, docs, size, percent
         self.bits = regions.select("node", "n", "bits")
+        self.scratch: list[DataFrame] = []  # tables that the links alone are made from
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, n, shingles of the nodes."""
         wanted = self.nodes.join(nodes, "node").select("node", "__file", "__row")
         texts = self.docs.join(maybe_broadcast(wanted, 32), ["__file", "__row"])
-        return written(_sets(texts, self.size, self.percent, region=False))
+        return self._kept(_sets(texts, self.size, self.percent, region=False))
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        self.scratch.append(written(df))
+        return self.scratch[-1]
 
     def __call__(self, pairs: DataFrame, percent: int | None = None) -> DataFrame:
         """a, b, both (shingles in common), either (shingles in the union) of the pairs (a, b) that can reach the percentage.
@@ -295,13 +300,13 @@ class _Verifier:
         of = lambda k: self.bits.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
         apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
         pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(apart * (100 + least) <= (100 - least) * (F.col("n_a") + F.col("n_b")))
-        pairs = written(pairs.select("a", "b"))
+        pairs = self._kept(pairs.select("a", "b"))
         sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         met = pairs.join(right, "b").join(left, "a")
         both = F.size(F.array_intersect("x", "y")).cast("long")
-        return written(met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
+        return self._kept(met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
 
 
 def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 64, early: int = 6, tile: int = 4096, frequent: int = 32, most_frequent: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -320,7 +325,8 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
     verify = _Verifier(nodes, docs, regions, size, percent)
     similar = lambda x: x.where(F.col("both") * 100 >= percent * F.col("either")).select("a", "b")
     start = index.where(F.col("pos") < early).withColumn("component", F.col("node"))
-    links = written(similar(verify(written(_list_pairs(start, percent, min(block, 16), star=True)))))
+    early_pairs = written(_list_pairs(start, percent, 0, star=True))
+    links = early_links = written(similar(verify(early_pairs)))
     known = written(components(links))
     rest = index.join(maybe_broadcast(known, 24), "node", "left").withColumn("component", F.coalesce("component", "node"))
     listed = written(_list_pairs(rest, percent, block, star=False))
@@ -328,7 +334,9 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
     members = listed.where("kind = 1").select("shingle", F.col("a").alias("node"), F.col("b").alias("component"), "n")
     if not members.isEmpty():
         links = links.union(_long_lists(members, verify.sets(members.select("node").distinct()), percent, tile))
-    return rows, nodes, written(links.distinct())
+    links = written(links.distinct())
+    forget(regions, index, early_pairs, early_links, known, listed, *verify.scratch)
+    return rows, nodes, links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:

@@ -58,7 +58,7 @@ def edited(seed):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 2, "frequent": 2}, {"block": 3, "most_frequent": 0}])
+@pytest.mark.parametrize("options", [{}, {"block": 2, "frequent": 2}, {"block": 3, "early": 1, "tile": 16, "most_frequent": 0}])
 def test_jaccard_join(spark, options):
     texts = TEXTS + [(5000 + d, t) for d, t in edited(3)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
@@ -74,7 +74,8 @@ def test_jaccard_join_on_clashing_and_empty_tables(spark):
     assert jaccard_join.keep_representatives(none(spark)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [10_000, 0])
+def test_components(spark, in_one_task):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 40)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(40)] + [(500, 500 + k) for k in range(1, 50)]
     top = {}
@@ -82,8 +83,9 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         top[b] = a
-    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for a, b in edges for x in (a, b) if len({find(y) for y in (a, b)}) and any(y != x for e in edges if x in e for y in e)}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = {x.node: x.component for x in components.components(frame, in_one_task=in_one_task).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
 @settings(max_examples=150, deadline=None)
