@@ -74,30 +74,33 @@ def suffix_order(text: list[int]) -> list[int]:
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0] .. start[0] + count[0] - 1, start[1] .. and so on."""
-    total = int(count.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    before = np.cumsum(count) - count
-    return np.arange(total) + np.repeat(start - before, count)
+    ends = np.cumsum(count, dtype=start.dtype)
+    if not len(ends) or not ends[-1]:
+        return np.zeros(0, start.dtype)
+    if ends[-1] == len(count) and count.min() == 1:
+        return start
+    return np.arange(ends[-1], dtype=start.dtype) + np.repeat(start - ends + count, count)
 
 
 def suffix_orders(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """suffix_order of texts that lie one after another, as positions in the whole; each text keeps its own stretch."""
-    n = len(text)
-    ends = np.cumsum(lengths)
+    n, small = len(text), np.int32 if len(text) < 1 << 31 else np.int64  # narrow numbers: the work is bound by memory
+    lengths = lengths.astype(small)
+    ends = np.cumsum(lengths, dtype=small)
     begin = ends - lengths
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((text, owner))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    key = text[order].astype(np.int64) + owner[order] * (int(text.max()) + 1)
-    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    owner = np.repeat(np.arange(len(lengths), dtype=small), lengths)
+    key = text.astype(np.int64) + owner.astype(np.int64) * (int(text.max()) + 1)
+    order = np.argsort(key, kind="stable").astype(small)
+    place = np.empty(n, small)
+    place[order] = np.arange(n, dtype=small)
+    key = key[order]
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).astype(small)
     counts = np.diff(np.append(head, n))
-    low = np.empty(n, np.int64)
+    low = np.empty(n, small)
     low[order] = np.repeat(head, counts)
-    high = np.zeros(n, np.int64)
+    high = np.zeros(n, small)
     high[head] = head + counts - 1
-    previous, size = np.full(n, -1, np.int64), np.ones(n, np.int64)
+    previous, size = np.full(n, -1, small), np.ones(n, small)
     is_parent = np.zeros(n, bool)
     active = np.arange(len(lengths))
     top = ends - 1
@@ -155,11 +158,11 @@ def suffix_orders(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
             high[target[block]] = target[block] + width - 1
         top[active] = first - 1
         active = active[first > begin[active]]
-    following = np.arange(n) + size
-    by = np.argsort(following, kind="stable")
-    many = np.bincount(following, minlength=n + 1)
-    begins = np.cumsum(many) - many
-    out, free = np.zeros(n, np.int64), np.arange(n)
+    following = np.arange(n, dtype=small) + size
+    by = np.argsort(following, kind="stable").astype(small)
+    many = np.bincount(following, minlength=n + 1).astype(small)
+    begins = (np.cumsum(many) - many).astype(small)
+    out, free = np.zeros(n, small), np.arange(n, dtype=small)
     out[begin] = ends - 1
     active, step = np.argsort(lengths, kind="stable"), 0
     sizes = lengths[active]

@@ -9,8 +9,10 @@ all windows of a text that share an anchor form one segment of less than 2 * ``l
 3. Under each anchor hash, the suffix array of the distinct segments is built by Lyndon groups (lyndon_sort): short
    collections many at a time, long ones one by one. Windows that begin at neighbouring suffixes and agree in all
    bytes are repeated, and so are all windows of a segment that occurs more than once.
-4. An anchor hash with more than ``most_bytes`` of distinct segments is dealt anew by whole windows: each window is
-   a collection of its own, whose count alone decides, so that no task has to hold an unbounded collection.
+4. An anchor hash with more than ``most_bytes`` of distinct segments is dealt anew: its windows are grouped by
+   sixteen neighbouring distances to the anchor, and each group goes under the hash of the bytes that all its windows
+   share. What is still crowded is dealt by whole windows: each window is a collection of its own, whose count alone
+   decides, so that no task ever has to hold an unbounded collection.
 5. Repeated windows go back to their documents, which are cut in one pass.
 
 Texts are whole UTF-8 byte strings; matches never cross texts; nulls are empty; repeated rows repeat each other.
@@ -31,7 +33,7 @@ from palimpsest.llm.common import located, small_enough, table, written
 from palimpsest.llm.lyndon_sort import suffix_order, suffix_orders
 from palimpsest.llm.shingles import _power, in_chunks, mix
 
-GRAM = 32
+GRAM = 48
 
 
 def _range_hashes(total: np.ndarray, down: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -240,15 +242,76 @@ def _window_marks(content: DataFrame, least: int) -> DataFrame:
     return map_batches(hits, "h long, s long, shape long, marks binary", pack)
 
 
-def _cut(text: str | None, places: list[dict] | None, least: int) -> tuple[bytes, np.ndarray]:
-    """The text's bytes and which of them are covered by repeated windows."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    change = np.zeros(len(data) + 1, np.int32)
-    for p in places or ():
-        starts = p["low"] + np.flatnonzero(np.unpackbits(np.frombuffer(p["marks"], np.uint8))[: p["shape"] % 1024 + 1])
-        np.add.at(change, starts, 1)
-        np.add.at(change, starts + least, -1)
-    return data, np.cumsum(change[:-1]) > 0
+def _regrouped(content: DataFrame, least: int, step: int = 16) -> DataFrame:
+    """content of crowded anchors in shorter segments under new hashes, with the old keys (h0, s0, shape0) and the first window."""
+
+    def make():
+        def call(batch: pa.RecordBatch) -> list:
+            out: list[list] = [[] for _ in range(9)]
+            digest = lambda x: int.from_bytes(hashlib.md5(x).digest()[:8], "little", signed=True)
+            for h, s, shape, count, segment in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                distance, span = divmod(shape, 1024)
+                k = 0
+                while k <= span:
+                    group = (distance - k) // step
+                    last = min(span, distance - group * step)
+                    at = distance - group * step  # where the window nearest to the anchor begins, in this segment's bytes
+                    core = segment[max(at, 0) : at + least - step + 1]
+                    piece = segment[k : last + least]
+                    row = (digest(core + h.to_bytes(8, "little", signed=True) + group.to_bytes(2, "little")), digest(piece), (distance - k) * 1024 + last - k, count, piece, h, s, shape, k)
+                    for column, x in zip(out, row):
+                        column.append(x)
+                    k = last + 1
+            return out
+
+        return call
+
+    return map_batches(content.select("h", "s", "shape", "count", "segment"), "h long, s long, shape long, count long, segment binary, h0 long, s0 long, shape0 long, k0 long", make)
+
+
+def _crowded(content: DataFrame, most_bytes: int) -> DataFrame:
+    found = written(content.groupBy("h").agg(F.sum(F.length("segment")).alias("bytes")).where(F.col("bytes") > most_bytes).select("h"))
+    return F.broadcast(found) if small_enough(found, 16) else found
+
+
+def _crowded_marks(content: DataFrame, least: int, most_bytes: int) -> DataFrame:
+    """h, s, shape, marks for crowded anchors."""
+    parts = written(_regrouped(content, least))
+    pieces = written(parts.groupBy("h", "s", "shape").agg(F.sum("count").alias("count"), F.first("segment").alias("segment")))
+    many = _crowded(pieces, most_bytes)
+    marks = _sorted_marks(pieces.join(many, "h", "left_anti"), least)
+    if not many.isEmpty():
+        marks = marks.union(_window_marks(pieces.join(many, "h", "left_semi"), least))
+    back = parts.select("h", "s", "shape", "h0", "s0", "shape0", "k0").join(written(marks), ["h", "s", "shape"])
+    lists = back.groupBy("h0", "s0", "shape0").agg(F.collect_list(F.struct("k0", "shape", "marks")).alias("parts"))
+
+    def make():
+        def call(batch: pa.RecordBatch) -> list:
+            out = []
+            for shape, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                m = np.zeros(shape % 1024 + 1, bool)
+                for p in parts:
+                    n = p["shape"] % 1024 + 1
+                    m[p["k0"] : p["k0"] + n] |= np.unpackbits(np.frombuffer(p["marks"], np.uint8))[:n].astype(bool)
+                out.append(np.packbits(m).tobytes())
+            return [batch.column(0), batch.column(1), batch.column(2), out]
+
+        return call
+
+    return map_batches(lists, "h long, s long, shape long, marks binary", make)
+
+
+def _cut(data: bytes, places: list[dict], least: int) -> tuple[int, int, bytes]:
+    """(bytes removed, spans removed, what is left) of a text with repeated windows."""
+    low = np.asarray([p["low"] for p in places])
+    windows = np.asarray([p["shape"] % 1024 + 1 for p in places])
+    bits = [np.unpackbits(np.frombuffer(p["marks"], np.uint8), count=n) for p, n in zip(places, windows.tolist())]
+    starts = np.unique(np.repeat(low - np.cumsum(windows) + windows, windows)[(flat := np.concatenate(bits)).astype(bool)] + np.flatnonzero(flat))
+    # Runs of windows that touch or overlap are removed as one span.
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] - starts[:-1] > least)))
+    begin, end = starts[first], starts[np.append(first[1:], len(starts)) - 1] + least
+    kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
+    return len(data) - len(kept), len(begin), kept
 
 
 def cut_repeats(docs: DataFrame, least: int = 200, most_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,17 +319,16 @@ def cut_repeats(docs: DataFrame, least: int = 200, most_bytes: int = 1 << 18, id
     if not GRAM <= least < 1024:
         raise ValueError(f"least must be {GRAM} to 1023")
     docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__file", "__row")
-    every = _segments(docs, least)
-    twice = every.groupBy("h").count().where("count > 1").select("h")
+    every = written(_segments(docs, least))
+    twice = written(every.groupBy("h").count().where("count > 1").select("h"))  # a table, so that the join can split a hot anchor
     shared = written(every.join(twice.hint("shuffle_merge"), "h"))
     distinct = shared.groupBy("h", "s", "shape").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("__file", "__row", "low")).alias("one"))
     distinct = written(distinct.select("h", "s", "shape", "count", "one.*"))
     content = written(_fetched(distinct, docs, least))
-    crowded = written(content.groupBy("h").agg(F.sum(F.length("segment")).alias("bytes")).where(F.col("bytes") > most_bytes).select("h"))
-    crowd = F.broadcast(crowded) if small_enough(crowded, 16) else crowded
+    crowd = _crowded(content, most_bytes)
     marks = _sorted_marks(content.join(crowd, "h", "left_anti"), least)
-    if not crowded.isEmpty():
-        marks = marks.union(_window_marks(content.join(crowd, "h", "left_semi"), least))
+    if not crowd.isEmpty():
+        marks = marks.union(_crowded_marks(content.join(crowd, "h", "left_semi"), least, most_bytes))
     marks = written(marks)
     places = written(shared.join(marks.hint("shuffle_merge"), ["h", "s", "shape"]).select("__file", "__row", "low", "shape", "marks"))
     named, rest = _by_place(places, docs, "low", "shape", "marks")
@@ -276,10 +338,8 @@ def cut_repeats(docs: DataFrame, least: int = 200, most_bytes: int = 1 << 18, id
         def call(batch: pa.RecordBatch) -> list:
             out: list[list] = [[] for _ in range(4)]
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data, gone = _cut(text, places, least)
-                kept = data if not gone.any() else np.frombuffer(data, np.uint8)[~gone].tobytes()
-                spans = int(np.count_nonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)) == 1))
-                for column, x in zip(out, (len(data), int(gone.sum()), spans, kept)):
+                data = (text or "").encode("utf-8", "surrogatepass")
+                for column, x in zip(out, (len(data), *(_cut(data, places, least) if places else (0, 0, data)))):
                     column.append(x)
             return [batch.column(0), *out]
 
