@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +89,26 @@ def test_components(spark, in_one_task):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+@pytest.mark.parametrize("in_one_task", [10_000, 0])
+def test_components_with_few_nodes_held_at_a_time(spark, in_one_task):
+    edges = [(k, k + 1) for k in range(300)]
+    frame = spark.createDataFrame(random.Random(4).sample(edges, 300), "a long, b long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # the limit is looked at after each batch
+    try:
+        got = {x.node: x.component for x in components.components(frame, in_one_task=in_one_task, most_nodes=5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == dict.fromkeys(range(301), 0)
+
+
+def test_last_forest_holds_all_nodes_of_the_largest_task():
+    low = 10 + 2 * np.arange(2_000_000 - 2)
+    batch = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=components.SCHEMA)
+    batches = [batch([2], [1]), *(batch(low[k : k + 50_000] + 1, low[k : k + 50_000]) for k in range(0, len(low), 50_000)), batch([3], [2])]
+    small = [row for b in components._forest(iter(batches)) for row in zip(*(c.to_pylist() for c in b.columns)) if row[0] < 10]
+    assert sorted(set(small)) == [(2, 1), (3, 1)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), max_size=30), min_size=1, max_size=8))
 def test_suffix_orders(texts):
