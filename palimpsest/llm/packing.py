@@ -24,6 +24,8 @@ from palimpsest.llm.arrow import map_batches
 from palimpsest.llm.bpe import BEYOND, LETTER, NUMBER, SPACE, byte_letters
 from palimpsest.llm.common import table, written
 
+#: What sends a text to the library: characters beyond, and the capitals whose lower-case form is beyond.
+LIBRARY = re.compile("[^\\x00-\\x7f" + "".join(c for c in map(chr, range(0x80, 0x250)) if not BEYOND.search(c.lower())) + "]")
 #: The vocabulary's word pattern on lower-cased text below U+0250 (fixed values).
 WORD = re.compile(rf"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 
@@ -31,8 +33,8 @@ WORD = re.compile(rf"[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBER}]|[^{SPACE}{LE
 class WordIds(dict):
     """Ids by the tokenizers library, kept for each word: word -> its ids as little-endian 32-bit numbers.
 
-    A text below U+0250 without special tokens is lower-cased and split here; any other text goes to the library as a
-    whole. Emptied when full, so memory is bounded.
+    A text that is below U+0250 also in lower case and has no special tokens is lower-cased and split here; any other text
+    goes to the library as a whole. Emptied when full, so memory is bounded.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -61,7 +63,7 @@ class WordIds(dict):
         return out
 
     def ids(self, text: str) -> bytes:
-        if BEYOND.search(text) or any(s in text for s in self.special):
+        if LIBRARY.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.__getitem__, WORD.findall(text.lower())))
 

@@ -92,6 +92,16 @@ def test_packing_places_every_piece_once(spark):
     assert packing.pack(packing.pieces(none(spark), path)).count() == 0
 
 
+def test_word_ids_equal_the_library_on_every_latin_character():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, words = Tokenizer.from_file(path), packing.WordIds(path)
+    for c in [*map(chr, range(0x250)), "\u212a", "\u2c7e"]:
+        for text in (f"wo{c}rd", f"{c}word 1{c}2"):
+            assert words.ids(text) == b"".join(i.to_bytes(4, "little") for i in t.encode(text, add_special_tokens=False).ids), text
+
+
 def test_best_two_fit_gives_back_a_small_piece_for_two():
     assert sorted(map(sorted, packing.best_two_fit([6, 3, 2, 2], 10))) == [[2, 2, 6], [3]]
     import random
