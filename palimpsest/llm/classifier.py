@@ -9,7 +9,8 @@ model that comes back has a fixed size. Scoring sends every row through the mode
 Only the text is an input. Held out are rows whose crc32 of doc_id as text is 0 modulo 5; their labels are never
 read in training. A null or empty text has no features and gets the score of the bias alone. A doc_id that is
 labelled several times counts once, with its highest label; labels that are null are left out; without any label
-every score is one half. Repeated rows get equal scores.
+every score is one half. A doc_id that several rows have is trained on once, with the least of its texts. Repeated
+rows get equal scores.
 """
 
 from __future__ import annotations
@@ -93,10 +94,11 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000) -> tuple[np.ndarray, float]:
-    """The model, from at most ``most`` labelled rows that are not held out."""
+    """The model, from at most ``most`` labelled doc_ids that are not held out."""
     pool = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     chosen = pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(2 * most)
+    # One row for each sampled doc_id, so that copies of a row take no other's place.
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     schema = pa.schema([("weights", pa.binary()), ("bias", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

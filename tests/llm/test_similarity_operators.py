@@ -169,6 +169,15 @@ def test_classifier_learns_from_training_rows_only(spark):
     assert classifier.score(none(spark), classifier.fit(none(spark), labels)).count() == 0
 
 
+def test_classifier_is_not_moved_by_copies_of_a_labelled_row(spark):
+    texts = [(k, prose(k, 30) + (" ### $$$" if k % 2 else "")) for k in range(40)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(40)], "doc_id long, quality int")
+    hot = next(k for k in range(40) if zlib.crc32(str(k).encode()) % 5)
+    once, often = (spark.createDataFrame([texts[hot]] * n + texts, "doc_id long, text string") for n in (0, 500))
+    (weights, bias), (again, bias_again) = (classifier.fit(d, labels, most=50) for d in (once, often))
+    assert bias == bias_again and np.array_equal(weights, again)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from palimpsest.llm.quality_rules import RULES, Counts
