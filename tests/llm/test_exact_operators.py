@@ -184,6 +184,17 @@ def test_randomness_battery_tells_random_tokens_from_words(spark):
     assert sum(found[k] for k in range(60)) >= 50 and sum(found[k] for k in range(60, 120)) <= 3
 
 
+def test_randomness_battery_looks_at_digits_alone(spark):
+    import random
+
+    r = random.Random(6)
+    secret = ["".join(r.choice("0123456789") for _ in range(28)) for _ in range(60)]
+    plain = ["".join(r.choice(["0000", "1212", "11"]) for _ in range(12))[:28] for _ in range(60)]
+    docs = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(secret + plain)], "doc_id long, text string")
+    found = {x.doc_id: x.n_random for x in secrets.find_secrets(docs).collect()}
+    assert sum(found[k] for k in range(60)) >= 50 and sum(found[k] for k in range(60, 120)) <= 3
+
+
 def test_exact_dedup(spark):
     groups = defaultdict(list)
     for d, t in TEXTS:
