@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The byte set that separates words everywhere in this subpackage.
 WHITE = " \t\n\x0b\f\r"
+#: Columns that name a physical row. The names are made anew by each driver, so no caller's column can have them.
+FILE, ROW = (f"__{x}_{uuid.uuid4().hex}" for x in ("file", "row"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors both see.
 
-    The cluster names the parent in spark.checkpoint.dir; only where it is unset
-    (tests on one machine) a local folder is chosen.
+    The cluster names the parent in spark.checkpoint.dir; where that is unset, a session whose driver and executors are
+    one process (tests) gets a local folder, and any other an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file:///tmp/palimpsest"
     return f"{root.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
 
 
@@ -45,19 +51,24 @@ def forget(*tables: DataFrame) -> None:
 
 
 def located(df: DataFrame) -> DataFrame:
-    """df with __file long and __row long, which name each physical row (even of repeated rows).
+    """df with FILE long and ROW long, which name each physical row (even of repeated rows).
 
-    A frame read from files gives them itself; any other frame is first written to the shared folder.
+    A frame read from files gives them itself; any other frame is first written to the shared folder. Whatever columns
+    the caller has, ``_metadata`` included, stay as they are.
     """
-    if {"__file", "__row"} <= set(df.columns):
+    if {FILE, ROW} <= set(df.columns):
         return df
-    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+
+    def placed(x: DataFrame) -> DataFrame:
+        place = x.metadataColumn("_metadata")
+        return x.select("*", F.xxhash64(place["file_path"]).alias(FILE), place["row_index"].alias(ROW))
+
     try:
-        out = df.select("*", *place)
+        out = placed(df)
         out.schema  # noqa: B018  resolves the hidden columns
         return out
     except AnalysisException:
-        return written(df).select("*", *place)
+        return placed(written(df))
 
 
 def text_or_empty(column: str = "text") -> Column:

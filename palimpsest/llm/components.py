@@ -47,7 +47,7 @@ def _forest(batches: Iterator[pa.RecordBatch], most_nodes: int | None = None) ->
     yield from out()
 
 
-def components(edges: DataFrame, most_rounds: int = 60, in_one_task: int = 2_000_000, most_nodes: int = 3_000_000) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, in_one_task: int = 500_000, most_nodes: int = 500_000) -> DataFrame:
     """(node, component) of every node in edges (a, b); component is the smallest node of its component.
 
     Each partition replaces its edges by a forest of stars, and holds most_nodes nodes at a time: what that cuts meets

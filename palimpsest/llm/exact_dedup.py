@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WHITE, located, shared_dir, small_enough, table, text_or_empty, written
+from palimpsest.llm.common import FILE, ROW, WHITE, located, shared_dir, small_enough, table, text_or_empty, written
 
 BEST = "struct<chars:int,id:long,file:long,row:long>"
 #: The state lives on disk; without fallocate a store with few keys takes the bytes of its keys, not of its empty logs.
@@ -43,7 +43,7 @@ def _state(narrow_path: str, schema, spark: SparkSession, files_per_batch: int |
     state = (
         source.parquet(narrow_path)
         .groupBy("digest")
-        .agg(F.max(F.struct("chars", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("__file").alias("file"), F.bitwise_not("__row").alias("row"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        .agg(F.max(F.struct("chars", F.bitwise_not("doc_id").alias("id"), F.bitwise_not(FILE).alias("file"), F.bitwise_not(ROW).alias("row"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
     )
     # Update mode: each batch writes the state rows that it changed; the last batch that names a digest has its final state.
     save = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/batch={k}")
@@ -62,34 +62,34 @@ def _state(narrow_path: str, schema, spark: SparkSession, files_per_batch: int |
 
 
 def dedup_exact(docs: DataFrame, files_per_batch: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and its locator __file, __row."""
+    """A row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, and its locator (FILE, ROW)."""
     spark = docs.sparkSession
     docs = located(docs)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__file", "__row")
-    narrow = texts.select("doc_id", F.sha2(_normal("text"), 256).alias("digest"), F.length(text_or_empty("text")).alias("chars"), "__file", "__row")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), FILE, ROW)
+    narrow = texts.select("doc_id", F.sha2(_normal("text"), 256).alias("digest"), F.length(text_or_empty("text")).alias("chars"), FILE, ROW)
     path = shared_dir(spark)
     narrow.write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(narrow.schema).parquet(path)
     state = _state(path, narrow.schema, spark, files_per_batch)
-    joined = rows.join(state, "digest").select("doc_id", "digest", "chars", "__file", "__row", "group_size", "best")
+    joined = rows.join(state, "digest").select("doc_id", "digest", "chars", FILE, ROW, "group_size", "best")
     joined = written(joined)
     wrong = _differing(texts, joined)
     out = joined
     if wrong is not None:
         out = joined.join(F.broadcast(wrong), "digest", "left_anti").unionByName(_by_text(texts, joined, wrong))
-    kept = (F.col("__file") == F.bitwise_not("best.file")) & (F.col("__row") == F.bitwise_not("best.row"))
-    return out.select("doc_id", F.bitwise_not("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), "__file", "__row")
+    kept = (F.col(FILE) == F.bitwise_not("best.file")) & (F.col(ROW) == F.bitwise_not("best.row"))
+    return out.select("doc_id", F.bitwise_not("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), FILE, ROW)
 
 
 def _hit_texts(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """The normalised texts of the hits, fetched by locator."""
     side = F.broadcast(hits) if small_enough(hits, 100) else hits
-    return texts.select("__file", "__row", _normal("text").alias("normal")).join(side, ["__file", "__row"])
+    return texts.select(FILE, ROW, _normal("text").alias("normal")).join(side, [FILE, ROW])
 
 
 def _differing(texts: DataFrame, joined: DataFrame) -> DataFrame | None:
     """The digests whose rows differ in bytes; None when there are none, as always but for a digest collision."""
-    hits = joined.where("group_size > 1").select("__file", "__row", "digest")
+    hits = joined.where("group_size > 1").select(FILE, ROW, "digest")
     # min and max merge copies before the shuffle, so a huge group sends one text from each task.
     same = _hit_texts(texts, hits).groupBy("digest").agg(F.min("normal").alias("a"), F.max("normal").alias("b"))
     wrong = written(same.where(F.col("a") != F.col("b")).select("digest"))
@@ -98,23 +98,23 @@ def _differing(texts: DataFrame, joined: DataFrame) -> DataFrame | None:
 
 def _by_text(texts: DataFrame, joined: DataFrame, wrong: DataFrame) -> DataFrame:
     """The rows of colliding digests, grouped by the whole normalised text instead."""
-    rows = joined.join(wrong, "digest").select("doc_id", "digest", "chars", "__file", "__row")
+    rows = joined.join(wrong, "digest").select("doc_id", "digest", "chars", FILE, ROW)
     rows = written(_hit_texts(texts, rows))
-    best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("__file").alias("file"), F.bitwise_not("__row").alias("row"))).alias("best")
+    best = F.max(F.struct("chars", F.bitwise_not("doc_id").alias("id"), F.bitwise_not(FILE).alias("file"), F.bitwise_not(ROW).alias("row"))).alias("best")
     return rows.join(rows.groupBy("normal").agg(best, F.count(F.lit(1)).alias("group_size")), "normal").select(*joined.columns)
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
     """docs without the rows that are exact copies of a row that stays; its columns unchanged."""
     docs = located(docs)
-    kept = dedup_exact(docs).where("kept").select("__file", "__row")
+    kept = dedup_exact(docs).where("kept").select(FILE, ROW)
     side = F.broadcast(kept) if small_enough(kept, 16) else kept
-    return docs.join(side, ["__file", "__row"], "left_semi").drop("__file", "__row")
+    return docs.join(side, [FILE, ROW], "left_semi").drop(FILE, ROW)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays for its text."""
-    return dedup_exact(table(spark, sf_dir, "documents")).drop("__file", "__row")
+    return dedup_exact(table(spark, sf_dir, "documents")).drop(FILE, ROW)
 
 
 OP6_SQL = r"""

@@ -5,16 +5,20 @@
    with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of each in any such order, so only those
    are indexed, and the order keeps frequent shingles out of the index wherever a set has enough rare ones. Which
    shingles count as frequent changes the cost, never the result.
-3. A list is read in order of set size; the block of sets too small for the current one is skipped by its position,
-   and so are pairs whose positions already rule out this list as the first that they share.
+3. A list is read in order of set size, in blocks of ``SKIP`` rows. A set looks at a block's bounds first: the largest
+   set in it, its earliest position and its components. Blocks of sets too small, blocks whose positions rule out this
+   list as the first that the sets share, and blocks of the set's own component are skipped whole; the rows of the
+   others are then tested alike.
 4. Answers grow in two rounds. The first takes only the first ``early`` shingles of each set, and joins each
-   set to the smallest one within reach in its lists. Verified pairs give components. The second round
-   takes all lists, but derives what it can from the first: sets that are in one component already need no comparison.
-   Pairs are verified on whole sets, but for those whose parity bits differ in too many places to be linked.
-   A list with more than ``block`` sets within reach is compared in square blocks of at most ``tile`` sets each, in one
-   pass of matrix products over parity bits; only pairs that pass, and that no link found before connects, are verified
+   set to the smallest one within reach in its lists: a highly similar set, whose component it takes over. The second
+   round takes all lists, and derives a set's answers from that one's: whatever is in the component already needs no
+   comparison, and only pairs that would join two components are looked at. Pairs are verified on whole sets, but for
+   those whose parity bits differ in too many places to be linked.
+   A list with more than ``block`` sets within reach is compared in square blocks of bounded bytes, in one pass of
+   matrix products over parity bits; only pairs that pass, and that no link found before connects, are verified
    on their sets, and only such links leave the block: never more than the block has sets.
-5. Components come from alternating stars over verified links.
+5. Components come from forests of verified links. Links inside a component that are not needed for it are never
+   computed, so there is no number of links.
 
 Texts are read whole. Null and empty texts, and those without words, have an empty set and are linked with nothing,
 also not with one another. Repeated rows and equal texts fall in one class. A null doc_id is never a component's name
@@ -27,17 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrow import map_batches
-from palimpsest.llm.common import forget, located, maybe_broadcast, table, written
+from palimpsest.llm.common import FILE, ROW, forget, located, maybe_broadcast, table, written
 from palimpsest.llm.components import components
 from palimpsest.llm.shingles import in_chunks, mix, shingle_sets
 
 #: Frequent shingles move back by this share of the hash range, and so much more of each set is looked at.
 BACK = 0.15
 PARITY = 1024
+SKIP = 16
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -64,14 +69,30 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
 
         return call
 
-    return map_batches(docs.select("doc_id", "text", "__file", "__row"), "doc_id long, n long, s1 long, s2 long, __file long, __row long", make)
+    return map_batches(docs.select("doc_id", "text", FILE, ROW), f"doc_id long, n long, s1 long, s2 long, {FILE} long, {ROW} long", make)
+
+
+def _parity_bits(x: np.ndarray, width: int) -> np.ndarray:
+    """Each bit is the parity of the number of shingles that fall on it: two sets differ in at least as many shingles as
+    their bits differ in."""
+    return (np.bincount((x >> np.uint64(8)).astype(np.int64) % width, minlength=width) & 1).astype(np.uint8)
 
 
 def _parity(x: np.ndarray) -> list[int]:
-    """PARITY bits, each the parity of the number of shingles that fall on it: two sets differ in at least as many
-    shingles as their bits differ in."""
-    bits = (np.bincount((x >> np.uint64(8)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64).tolist()
+    """The bits as longs: PARITY, or for a larger set the next power of two, so that long sets too are told apart."""
+    return np.packbits(_parity_bits(x, max(PARITY, 1 << (len(x) - 1).bit_length()))).view(np.int64).tolist()
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """In how many places two sets' bits differ. The wider is folded to the narrower's width, which keeps parities."""
+
+    def narrowed(bits: Column, n: Column) -> Column:
+        xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+        folded = F.aggregate(F.sequence(F.lit(1), F.floor(F.size(bits) / n).cast("int") - 1), F.slice(bits, F.lit(1), n), lambda acc, k: xor(acc, F.slice(bits, k * n + 1, n)))
+        return F.when(F.size(bits) > n, folded).otherwise(bits)
+
+    n = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(narrowed(a, n), narrowed(b, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
 
 
 def _sets(texts: DataFrame, size: int, percent: int, region: bool) -> DataFrame:
@@ -130,77 +151,125 @@ def _index(regions: DataFrame, hot: np.ndarray, percent: int) -> DataFrame:
     return regions.mapInArrow(run, "shingle long, node long, n long, pos long")
 
 
-def _list_pairs(index: DataFrame, percent: int, block: int, star: bool) -> DataFrame:
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + count[0] - 1, start[1] .. and so on."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + count, count)
+
+
+class _Lists:
+    """Whole inverted lists, one after another: shingle, node, n, pos and component of their rows, by shingle, n and node."""
+
+    def __init__(self, rows: np.ndarray, percent: int):
+        head = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        count = np.diff(np.append(head, rows.shape[1]))
+        # Lists that are one component are answered already.
+        mixed = np.minimum.reduceat(rows[4], head) != np.maximum.reduceat(rows[4], head)
+        self.rows, self.percent = rows[:, np.repeat(mixed, count)], percent
+        self.count = count[mixed]
+        self.head = np.cumsum(self.count) - self.count
+        self.owner = np.repeat(np.arange(len(self.count)), self.count)
+        n = self.rows[2]
+        key = self.owner * (1 << 34) + n
+        #: For each row the first one of its list that is large enough to be linked with it.
+        self.first = np.searchsorted(key, self.owner * (1 << 34) + -(-percent * n // 100))
+
+    def stars(self) -> np.ndarray:
+        """Pairs of each row with the smallest set within reach."""
+        k = np.flatnonzero(self.first < np.arange(len(self.owner)))
+        return self._passing(self.first[k], k)
+
+    def split(self, block: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs of the lists in which no set has more than block sets within reach, rows of the other lists)."""
+        if not len(self.owner):
+            return np.zeros((2, 0), np.int64), self.rows
+        at = np.arange(len(self.owner))
+        long = np.maximum.reduceat(at - self.first + 1, self.head) > block
+        k = at[~long[self.owner] & (self.first < at)]
+        return self._pairs(k), self.rows[:, long[self.owner]]
+
+    def _pairs(self, k: np.ndarray) -> np.ndarray:
+        """Pairs of the rows k with earlier ones within reach, by blocks of SKIP rows of a list."""
+        _, _, n, pos, component = self.rows
+        place = np.arange(len(self.owner)) - self.head[self.owner]
+        starts = np.flatnonzero(place % SKIP == 0)
+        number = np.cumsum(place % SKIP == 0) - 1  # of each row's block
+        largest, earliest = np.maximum.reduceat(n, starts), np.minimum.reduceat(pos, starts)
+        low, high = np.minimum.reduceat(component, starts), np.maximum.reduceat(component, starts)
+        ends, out = np.append(starts[1:], len(n)), []
+        for part in np.array_split(k, max(1, len(k) // 4096)):
+            blocks = number[part] - number[self.first[part]] + 1
+            row, b = np.repeat(part, blocks), _ranges(number[self.first[part]], blocks)
+            ok = self._near(pos[row] + earliest[b], n[row] + largest[b]) & ~((low[b] == high[b]) & (low[b] == component[row]))
+            row, b = row[ok], b[ok]
+            begin = np.maximum(starts[b], self.first[row])
+            stop = np.minimum(ends[b], row)
+            count = np.maximum(0, stop - begin)
+            out.append(self._passing(_ranges(begin, count), np.repeat(row, count)))
+        return np.concatenate(out, axis=1)
+
+    def _near(self, positions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        # Shingles before the first shared one differ: there may not be more of them than a link allows.
+        return positions * (100 + self.percent) <= (100 - self.percent) * sizes
+
+    def _passing(self, j: np.ndarray, k: np.ndarray) -> np.ndarray:
+        _, node, n, pos, component = self.rows
+        ok = self._near(pos[j] + pos[k], n[j] + n[k]) & (component[j] != component[k])
+        return np.stack((node[j[ok]], node[k[ok]]))
+
+
+def _list_pairs(index: DataFrame, percent: int, block: int, star: bool, most_rows: int = 50_000) -> DataFrame:
     """a, b, kind, shingle, n: kind 0 a pair to verify; kind 1 a member (a, of component b) of a list too long for pairs.
 
-    index: shingle, node, n, pos, component. With star, a long list gives pairs with its smallest set within reach
-    instead of members.
+    index: shingle, node, n, pos, component. With star, each set gives a pair with the smallest one within reach in its
+    list, and no members. A list of more than most_rows rows, which are not held at once, is made of members (with star:
+    compared in stretches that all begin with its smallest set).
     """
     names = ("a", "b", "kind", "shingle", "n")
     schema = pa.schema([(x, pa.int64()) for x in names])
 
-    def pairs(rows: list[tuple], emit) -> None:
-        first = 0
-        for k, (_, node, n, pos, component) in enumerate(rows):
-            while 100 * rows[first][2] < percent * n:  # sizes ascend: these are out of reach for good
-                first += 1
-            for j in range(first, min(k, first + 1) if star and k - first > block else k):
-                _, other, m, place, its = rows[j]
-                # Shingles before the first shared one differ: there may not be more of them than a link allows.
-                if its != component and (pos + place) * (100 + percent) <= (100 - percent) * (n + m):
-                    emit((other, node, 0, 0, 0))
-
-    def reach(rows: list[tuple]) -> int:
-        """The most sets that one set of the list has within reach."""
-        first = most = 0
-        for k, r in enumerate(rows):
-            while 100 * rows[first][2] < percent * r[2]:
-                first += 1
-            most = max(most, k - first + 1)
-        return most
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        seen: set[tuple] = set()
-        now: list[tuple] = []
-        spilled = 0  # rows of the present list that have left as members already
-
-        def emit(row: tuple) -> None:
-            if row not in seen:  # the same pair comes from many lists
-                if len(seen) >= 200_000:
-                    seen.clear()
-                seen.add(row)
-                out.append(row)
-
-        def close() -> None:
-            nonlocal spilled
-            if spilled or not star and len(now) > block and reach(now) > block and len({r[4] for r in now}) > 1:
-                out.extend((r[1], r[4], 1, r[0], r[2]) for r in now)
-            elif len(now) > 1:
-                pairs(now, emit)
-            now.clear()
-            spilled = 0
+        held = np.zeros((5, 0), np.int64)
+        pairs: list[np.ndarray] = []
+        spilled = None  # the shingle of a list whose first rows have left as members
+
+        def made(pairs: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+            pairs = np.unique(pairs, axis=1)  # the same pair comes from many lists
+            zero = np.zeros(pairs.shape[1], np.int64)
+            columns = [np.concatenate(x) for x in zip((pairs[0], pairs[1], zero, zero, zero), (members[1], members[4], np.ones(members.shape[1], np.int64), members[0], members[2]))]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=schema)
+
+        def close(rows: np.ndarray) -> np.ndarray:
+            """Collects the pairs of whole lists; returns rows that leave as members."""
+            cut = int(np.searchsorted(rows[0] != spilled, True)) if spilled is not None else 0  # rows of the spilled list come first
+            lists = _Lists(rows[:, cut:], percent) if cut < rows.shape[1] else None
+            if lists is None:
+                return rows
+            found, members = (lists.stars(), rows[:, :0]) if star else lists.split(block)
+            pairs.append(found)
+            return np.concatenate((rows[:, :cut], members), axis=1)
 
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if now and r[0] != now[0][0]:
-                    close()
-                if len(now) >= 50_000:  # memory stays bounded whatever a list's length
-                    if star:
-                        pairs(now, emit)
-                        del now[1:]
-                    else:
-                        out.extend((x[1], x[4], 1, x[0], x[2]) for x in now[1:])
-                        del now[1:]
-                        spilled += 1
-                now.append(r)
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
-                    out = []
-        if now:
-            close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
+            held = np.concatenate((held, np.stack([batch.column(k).to_numpy() for k in range(5)])), axis=1)
+            last = int(np.searchsorted(held[0], held[0, -1]))
+            if last:
+                members = close(held[:, :last])
+                held, spilled = held[:, last:], None if spilled != held[0, -1] else spilled
+                if members.shape[1]:
+                    yield made(np.zeros((2, 0), np.int64), members)
+            if held.shape[1] > most_rows:
+                if star:
+                    pairs.append(_Lists(held, percent).stars())
+                    held = held[:, :1]
+                else:
+                    yield made(np.zeros((2, 0), np.int64), held)
+                    held, spilled = held[:, :0], int(batch.column(0)[-1].as_py())
+            if sum(x.shape[1] for x in pairs) >= 50_000:
+                yield made(np.concatenate(pairs, axis=1), held[:, :0])
+                pairs.clear()
+        members = close(held) if held.shape[1] else held
+        if pairs or members.shape[1]:
+            yield made(np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1), members)
 
     dealt = index.select("shingle", "node", "n", "pos", "component").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
     return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
@@ -212,7 +281,8 @@ def _tile_links(rows: list[tuple], cross: bool, percent: int) -> list[tuple[int,
     sets = [np.asarray(r[4], np.int64) for r in rows]
     size = np.asarray([r[2] for r in rows], np.int64)
     side = np.asarray([r[3] for r in rows])
-    bits = np.stack([(np.bincount((x.view(np.uint64) >> np.uint64(8)).astype(np.int64) % PARITY, minlength=PARITY) & 1) for x in sets]).astype(np.float32)
+    width = min(8 * PARITY, max(PARITY, 1 << (int(size.max()) - 1).bit_length()))
+    bits = np.stack([_parity_bits(x.view(np.uint64), width) for x in sets]).astype(np.float32)
     ones = bits.sum(axis=1)
     names: dict[int, int] = {}
     group = np.asarray([names.setdefault(r[1], len(names)) for r in rows])
@@ -239,8 +309,10 @@ def _tile_links(rows: list[tuple], cross: bool, percent: int) -> list[tuple[int,
 
 
 def _long_lists(members: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """a, b: links within long lists (shingle, node, component, n), by blocks of at most about tile sets."""
-    many = members.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("blocks"))
+    """a, b: links within long lists (shingle, node, component, n), by blocks that hold about tile shingles, each set
+    being counted as PARITY of them at least."""
+    held = F.ceil(F.sum(F.greatest(F.col("n"), F.lit(PARITY))) / tile).cast("int").alias("blocks")
+    many = members.groupBy("shingle").agg(held, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "blocks")
     held = members.join(many, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A set meets every block: as the first side from its own block on, as the second up to it.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -282,8 +354,8 @@ class _Verifier:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, n, shingles of the nodes."""
-        wanted = self.nodes.join(nodes, "node").select("node", "__file", "__row")
-        texts = self.docs.join(maybe_broadcast(wanted, 32), ["__file", "__row"])
+        wanted = self.nodes.join(nodes, "node").select("node", FILE, ROW)
+        texts = self.docs.join(maybe_broadcast(wanted, 32), [FILE, ROW])
         return self._kept(_sets(texts, self.size, self.percent, region=False))
 
     def _kept(self, df: DataFrame) -> DataFrame:
@@ -298,8 +370,8 @@ class _Verifier:
         least = self.percent if percent is None else percent
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         of = lambda k: self.bits.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(apart * (100 + least) <= (100 - least) * (F.col("n_a") + F.col("n_b")))
+        near = _apart(F.col("bits_a"), F.col("bits_b")) * (100 + least) <= (100 - least) * (F.col("n_a") + F.col("n_b"))
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(near)
         pairs = self._kept(pairs.select("a", "b"))
         sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -309,15 +381,15 @@ class _Verifier:
         return self._kept(met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
 
 
-def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 64, early: int = 6, tile: int = 4096, frequent: int = 32, most_frequent: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 64, early: int = 6, tile: int = 1 << 21, frequent: int = 32, most_frequent: int = 500_000, most_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, links): every row's class, one node for each class, and all verified links that components need."""
-    docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__file", "__row")
+    docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), FILE, ROW)
     rows = written(_classes(docs, size))
     key = ["n", "s1", "s2"]
-    best = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min(F.struct("__file", "__row")).alias("place"))
+    best = rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min(F.struct(FILE, ROW)).alias("place"))
     nodes = written(best.select(*key, "rep", "place.*").withColumn("node", F.monotonically_increasing_id()))
-    reps = nodes.select("node", "__file", "__row")
-    regions = written(_sets(docs.join(maybe_broadcast(reps, 32), ["__file", "__row"]), size, percent, region=True))
+    reps = nodes.select("node", FILE, ROW)
+    regions = written(_sets(docs.join(maybe_broadcast(reps, 32), [FILE, ROW]), size, percent, region=True))
     first = F.slice("shingles", F.lit(1), (F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).cast("int"))
     df = regions.select(F.explode(first).alias("shingle")).groupBy("shingle").count().where(F.col("count") >= frequent)
     hot = np.sort(np.asarray([r[0] for r in df.orderBy(F.desc("count"), "shingle").limit(most_frequent).select("shingle").collect()], np.int64))
@@ -325,11 +397,11 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
     verify = _Verifier(nodes, docs, regions, size, percent)
     similar = lambda x: x.where(F.col("both") * 100 >= percent * F.col("either")).select("a", "b")
     start = index.where(F.col("pos") < early).withColumn("component", F.col("node"))
-    early_pairs = written(_list_pairs(start, percent, 0, star=True))
+    early_pairs = written(_list_pairs(start, percent, 0, True, most_rows))
     links = early_links = written(similar(verify(early_pairs)))
     known = written(components(links))
     rest = index.join(maybe_broadcast(known, 24), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    listed = written(_list_pairs(rest, percent, block, star=False))
+    listed = written(_list_pairs(rest, percent, block, False, most_rows))
     links = links.union(similar(verify(listed.where("kind = 0"))))
     members = listed.where("kind = 1").select("shingle", F.col("a").alias("node"), F.col("b").alias("component"), "n")
     if not members.isEmpty():
@@ -340,14 +412,14 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id, group (null for an empty set), and its locator __file, __row."""
+    """A row per row of docs: doc_id, n_shingles, component_id, group (null for an empty set), and its locator (FILE, ROW)."""
     rows, nodes, links = link_classes(docs, size, percent, **options)
     found = components(links)
     named = nodes.join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     names = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     of = named.join(names, "group").select("n", "s1", "s2", "group", "component_id")
     out = rows.join(of, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group", "__file", "__row")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "group", FILE, ROW)
 
 
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80, **options) -> DataFrame:
@@ -356,13 +428,13 @@ def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80, **op
     Rows with an empty set are in no group and stay.
     """
     docs = located(docs)
-    found = written(near_duplicates(docs, size, percent, **options).select("doc_id", "group", "__file", "__row"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__file"), F.col("__row"))).alias("first")
-    kept = found.where("group is not null").groupBy("group").agg(first).select("first.__file", "first.__row")
-    kept = kept.unionByName(found.where("group is null").select("__file", "__row"))
-    return docs.join(maybe_broadcast(kept, 16), ["__file", "__row"], "left_semi").drop("__file", "__row")
+    found = written(near_duplicates(docs, size, percent, **options).select("doc_id", "group", FILE, ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(FILE), F.col(ROW))).alias("first")
+    kept = found.where("group is not null").groupBy("group").agg(first).select(F.col(f"first.{FILE}"), F.col(f"first.{ROW}"))
+    kept = kept.unionByName(found.where("group is null").select(FILE, ROW))
+    return docs.join(maybe_broadcast(kept, 16), [FILE, ROW], "left_semi").drop(FILE, ROW)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shingle count and component under 4-word shingles and Jaccard of 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85).drop("group", "__file", "__row")
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85).drop("group", FILE, ROW)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrow import map_batches
-from palimpsest.llm.common import WHITE, table
+from palimpsest.llm.common import FILE, ROW, WHITE, table
 
 SYMBOLS = "#*$%&|<>"
 
@@ -111,7 +111,7 @@ def sample_order(docs: DataFrame, sample: int = 400, seed: int = 7, text_col: st
 def judge(docs: DataFrame, order: list[str] | None = None, sample: int = 400, id_col: str = "doc_id", text_col: str = "text", place: bool = False) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and failed_rule (the first rule that rejected; null if kept)."""
     order = order or sample_order(docs, sample, text_col=text_col)
-    where = ["__file", "__row"] if place else []
+    where = [FILE, ROW] if place else []
 
     def make():
         cascade = [(name, RULES[name]) for name in order]

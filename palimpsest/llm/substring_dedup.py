@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.arrow import map_batches
-from palimpsest.llm.common import located, small_enough, table, written
+from palimpsest.llm.common import FILE, ROW, located, small_enough, table, written
 from palimpsest.llm.lyndon_sort import suffix_order, suffix_orders
 from palimpsest.llm.shingles import _power, in_chunks, mix
 
@@ -93,7 +93,7 @@ def _segments(texts: DataFrame, least: int) -> DataFrame:
 
         return call
 
-    return map_batches(texts.select("text", "__file", "__row"), "h long, s long, low long, shape long, __file long, __row long", make)
+    return map_batches(texts.select("text", FILE, ROW), f"h long, s long, low long, shape long, {FILE} long, {ROW} long", make)
 
 
 def repeated_in(segments: list[bytes], least: int) -> list[np.ndarray]:
@@ -184,10 +184,10 @@ def _sorted_marks(content: DataFrame, least: int, batch_bytes: int = 2_500_000,
 
 def _by_place(places: DataFrame, docs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """(docs that are named in places, with their lists of the columns; the other docs)."""
-    lists = places.groupBy("__file", "__row").agg(F.collect_list(F.struct(*columns)).alias("places"))  # as long as one document at most
-    named = places.select("__file", "__row").distinct()
+    lists = places.groupBy(FILE, ROW).agg(F.collect_list(F.struct(*columns)).alias("places"))  # as long as one document at most
+    named = places.select(FILE, ROW).distinct()
     named = F.broadcast(named) if small_enough(named, 16) else named
-    key = ["__file", "__row"]
+    key = [FILE, ROW]
     return docs.join(named, key, "left_semi").join(lists.hint("shuffle_merge"), key), docs.join(named, key, "left_anti")
 
 
@@ -318,11 +318,11 @@ def cut_repeats(docs: DataFrame, least: int = 200, most_bytes: int = 1 << 18, id
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row of docs."""
     if not GRAM <= least < 1024:
         raise ValueError(f"least must be {GRAM} to 1023")
-    docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__file", "__row")
+    docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), FILE, ROW)
     every = written(_segments(docs, least))
     twice = written(every.groupBy("h").count().where("count > 1").select("h"))  # a table, so that the join can split a hot anchor
     shared = written(every.join(twice.hint("shuffle_merge"), "h"))
-    distinct = shared.groupBy("h", "s", "shape").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("__file", "__row", "low")).alias("one"))
+    distinct = shared.groupBy("h", "s", "shape").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(FILE, ROW, "low")).alias("one"))
     distinct = written(distinct.select("h", "s", "shape", "count", "one.*"))
     content = written(_fetched(distinct, docs, least))
     crowd = _crowded(content, most_bytes)
@@ -330,7 +330,7 @@ def cut_repeats(docs: DataFrame, least: int = 200, most_bytes: int = 1 << 18, id
     if not crowd.isEmpty():
         marks = marks.union(_crowded_marks(content.join(crowd, "h", "left_semi"), least, most_bytes))
     marks = written(marks)
-    places = written(shared.join(marks.hint("shuffle_merge"), ["h", "s", "shape"]).select("__file", "__row", "low", "shape", "marks"))
+    places = written(shared.join(marks.hint("shuffle_merge"), ["h", "s", "shape"]).select(FILE, ROW, "low", "shape", "marks"))
     named, rest = _by_place(places, docs, "low", "shape", "marks")
     both = named.select("doc_id", "text", "places").unionByName(rest.select("doc_id", "text", F.lit(None).cast("array<struct<low:long,shape:long,marks:binary>>").alias("places")))
 

@@ -216,8 +216,8 @@ def test_exact_dedup(spark):
 
 
 def test_exact_dedup_in_several_batches_and_after_a_digest_collision(spark, monkeypatch, tmp_path):
-    one = sorted(map(key, exact_dedup.dedup_exact(documents(spark)).drop("__file", "__row").collect()))
-    many = exact_dedup.dedup_exact(documents(spark).repartition(5), files_per_batch=1).drop("__file", "__row")
+    one = sorted(map(key, exact_dedup.dedup_exact(documents(spark)).drop(FILE, ROW).collect()))
+    many = exact_dedup.dedup_exact(documents(spark).repartition(5), files_per_batch=1).drop(FILE, ROW)
     strip = lambda rows: sorted(re.sub("kept=(True|False)", "", x) for x in rows)  # noqa: E731  which of repeated rows stays may differ
     assert strip(map(key, many.collect())) == strip(one)
     from pyspark.sql import functions as F

@@ -59,7 +59,7 @@ def edited(seed):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 2, "frequent": 2}, {"block": 3, "early": 1, "tile": 16, "most_frequent": 0}])
+@pytest.mark.parametrize("options", [{}, {"block": 2, "frequent": 2}, {"block": 3, "early": 1, "tile": 1 << 14, "most_frequent": 0}, {"block": 2, "early": 1, "frequent": 2, "most_rows": 9}])
 def test_jaccard_join(spark, options):
     texts = TEXTS + [(5000 + d, t) for d, t in edited(3)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
@@ -102,7 +102,7 @@ def test_components_with_few_nodes_held_at_a_time(spark, in_one_task):
 
 
 def test_last_forest_holds_all_nodes_of_the_largest_task():
-    low = 10 + 2 * np.arange(2_000_000 - 2)
+    low = 10 + 2 * np.arange(500_000 - 2)
     batch = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=components.SCHEMA)
     batches = [batch([2], [1]), *(batch(low[k : k + 50_000] + 1, low[k : k + 50_000]) for k in range(0, len(low), 50_000)), batch([3], [2])]
     small = [row for b in components._forest(iter(batches)) for row in zip(*(c.to_pylist() for c in b.columns)) if row[0] < 10]
