@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: The byte set that separates words everywhere in this subpackage.
 WHITE = " \t\n\x0b\f\r"
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Columns that name a physical row. The names are made anew by each driver, so no caller's column can have them.
 FILE, ROW = (f"__{x}_{uuid.uuid4().hex}" for x in ("file", "row"))
 
@@ -33,10 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    Meanwhile batches for Python hold BATCH_BYTES at most, so that rows of any width take bounded memory on both sides.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(BATCH, before) if before is not None else spark.conf.unset(BATCH)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -5,10 +5,11 @@ the smallest hash. Equal windows have equal anchors at the same distance, so the
 all windows of a text that share an anchor form one segment of less than 2 * ``least`` bytes.
 
 1. Segments whose anchor hash occurs once in the corpus hold no repeated window and are left out.
-2. Segments that are equal as a whole are taken together with a count; one text of each is fetched.
-3. Under each anchor hash, the suffix array of the distinct segments is built by Lyndon groups (lyndon_sort): short
-   collections many at a time, long ones one by one. Windows that begin at neighbouring suffixes and agree in all
-   bytes are repeated, and so are all windows of a segment that occurs more than once.
+2. Segments that are equal as a whole (same anchor hash, same shape, same SHA-1 to 64 bits) are taken together with a
+   count; one text of each is fetched. All windows of a segment that occurs more than once are repeated.
+3. Under each anchor hash with more than one distinct segment, the suffix array of these is built by Lyndon groups
+   (lyndon_sort): short collections many at a time, long ones one by one. Windows that begin at neighbouring suffixes
+   and agree in all bytes are repeated. A segment that is alone under its hash but for its own copies needs no array.
 4. An anchor hash with more than ``most_bytes`` of distinct segments is dealt anew: its windows are grouped by
    sixteen neighbouring distances to the anchor, and each group goes under the hash of the bytes that all its windows
    share. What is still crowded is dealt by whole windows: each window is a collection of its own, whose count alone
@@ -41,13 +42,14 @@ def _range_hashes(total: np.ndarray, down: np.ndarray, start: np.ndarray, stop:
 
 
 def anchors(texts: list[str | None], least: int = 200) -> tuple[np.ndarray, ...]:
-    """(text, low, distance, span, anchor hash, segment hash) of every segment of the texts.
+    """(text, low, distance, span, anchor hash, segment digest) of every segment of the texts.
 
     A segment has the windows that start at low .. low + span; its anchor lies ``distance`` bytes after low.
     """
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.asarray([len(c) for c in coded], np.int64)
-    data = np.frombuffer(b"".join(coded), np.uint8)
+    joined = b"".join(coded)
+    data = np.frombuffer(joined, np.uint8)
     up, down = _power(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
@@ -74,8 +76,9 @@ def anchors(texts: list[str | None], least: int = 200) -> tuple[np.ndarray, ...]
     head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
     low, span = starts[head], np.diff(np.append(head, len(starts))) - 1
     distance = anchor[head] - low
-    segment = _range_hashes(total, down, low, low + span + least) ^ mix((distance * 1024 + span).astype(np.uint64))
-    return owner[head], low - begin[owner[head]], distance, span, grams[anchor[head]].view(np.int64), segment.view(np.int64)
+    # A cryptographic digest: segments of one anchor hash and shape that agree in it count as equal in all bytes.
+    segment = np.frombuffer(b"".join([hashlib.sha1(joined[a:b]).digest()[:8] for a, b in zip(low.tolist(), (low + span + least).tolist())]), "<i8")
+    return owner[head], low - begin[owner[head]], distance, span, grams[anchor[head]].view(np.int64), segment
 
 
 def _segments(texts: DataFrame, least: int) -> DataFrame:
@@ -102,7 +105,7 @@ def repeated_in(segments: list[bytes], least: int) -> list[np.ndarray]:
 
 
 def _repeated(collections: list[list[bytes]], least: int) -> list[list[np.ndarray]]:
-    """repeated_in for many collections at once; collections of one segment are sorted like all others."""
+    """repeated_in for many collections at once."""
     data = b"".join(s + b"\0" for c in collections for s in c)
     raw = np.frombuffer(data, np.uint8)
     lengths = np.asarray([sum(len(s) + 1 for s in c) for c in collections], np.int64)
@@ -143,6 +146,7 @@ def _sorted_marks(content: DataFrame, least: int, batch_bytes: int = 2_500_000,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple]] = []
+        whole: list[tuple] = []  # lone segments, all of whose windows are repeated
         size = 0
 
         def flush(collections: list[list[tuple]]) -> pa.RecordBatch:
@@ -152,10 +156,19 @@ def _sorted_marks(content: DataFrame, least: int, batch_bytes: int = 2_500_000,
                     m = np.ones(len(m), bool) if count > 1 else m
                     if m.any():
                         rows.append((h, s, shape, np.packbits(m).tobytes()))
+            return batch_of(rows)
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
         def close(c: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
+            if len(c) == 1 and c[0][3] > 1:
+                whole.append((*c[0][:3], np.packbits(np.ones(len(c[0][4]) - least + 1, bool)).tobytes()))
+                if len(whole) >= 5_000:
+                    yield batch_of(whole)
+                    whole.clear()
+                return
             own = sum(len(x[4]) + 1 for x in c)
             if own > short:
                 yield flush([c])
@@ -177,6 +190,8 @@ def _sorted_marks(content: DataFrame, least: int, batch_bytes: int = 2_500_000,
             yield from close(now)
         if held:
             yield flush(held)
+        if whole:
+            yield batch_of(whole)
 
     dealt = content.select("h", "s", "shape", "count", "segment").repartition("h").sortWithinPartitions("h", "s")
     return dealt.mapInArrow(run, "h long, s long, shape long, marks binary")
