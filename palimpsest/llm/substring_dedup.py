@@ -1,7 +1,7 @@
 """Removal of repeated substrings of ``least`` bytes, found in suffix arrays.
 
 A string of ``least`` bytes is here called a window. Every window has one anchor: the leftmost of its k-grams with
-the smallest hash. Equal windows have equal anchors at the same distance, so they meet under the anchor's hash, and
+the smallest hash (upper half). Equal windows have equal anchors at the same distance, so they meet under the anchor's hash, and
 all windows of a text that share an anchor form one segment of less than 2 * ``least`` bytes.
 
 1. Segments whose anchor hash occurs once in the corpus hold no repeated window and are left out.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ from palimpsest.llm.lyndon_sort import suffix_order, suffix_orders
 from palimpsest.llm.shingles import _power, in_chunks, mix
 
 GRAM = 48
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def _range_hashes(total: np.ndarray, down: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -60,19 +62,19 @@ def anchors(texts: list[str | None], least: int = 200) -> tuple[np.ndarray, ...]
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     at = np.arange(n)
     grams = _range_hashes(total, down, at, at + GRAM)
-    # The leftmost minimum of each run of ``width`` grams, from runs of doubling length.
-    best, run = at, 1
+    # The leftmost minimum of each run of ``width`` grams, from runs of doubling length: a gram's place under the upper
+    # half of its hash, so that one comparison settles both.
+    best, run = grams & ~LOW | at.astype(np.uint64), 1
     while run < width:
         step = min(run, width - run)
-        left, right = best[: len(best) - step], best[step:]
-        best = np.where(grams[right] < grams[left], right, left)
+        best = np.minimum(best[: len(best) - step], best[step:])
         run += step
     begin = np.cumsum(sizes) - sizes
     starts = np.concatenate([np.arange(b, b + s - least + 1) for b, s in zip(begin.tolist(), sizes.tolist()) if s >= least] or [np.zeros(0, np.int64)])
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     owner = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - least + 1))
-    anchor = best[starts]
+    anchor = (best[starts] & LOW).astype(np.int64)
     head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
     low, span = starts[head], np.diff(np.append(head, len(starts))) - 1
     distance = anchor[head] - low
@@ -145,9 +147,9 @@ def _sorted_marks(content: DataFrame, least: int, batch_bytes: int = 2_500_000,
     schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("shape", pa.int64()), ("marks", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple]] = []
+        held: dict[int, list[list[tuple]]] = {}  # by size class: rounds are as many as the longest collection needs
+        sizes: dict[int, int] = {}
         whole: list[tuple] = []  # lone segments, all of whose windows are repeated
-        size = 0
 
         def flush(collections: list[list[tuple]]) -> pa.RecordBatch:
             rows = []
@@ -162,7 +164,6 @@ def _sorted_marks(content: DataFrame, least: int, batch_bytes: int = 2_500_000,
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
         def close(c: list[tuple]) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
             if len(c) == 1 and c[0][3] > 1:
                 whole.append((*c[0][:3], np.packbits(np.ones(len(c[0][4]) - least + 1, bool)).tobytes()))
                 if len(whole) >= 5_000:
@@ -173,11 +174,12 @@ def _sorted_marks(content: DataFrame, least: int, batch_bytes: int = 2_500_000,
             if own > short:
                 yield flush([c])
                 return
-            held.append(c)
-            size += own
-            if size >= batch_bytes:
-                yield flush(held)
-                held, size = [], 0
+            kind = (own // 400).bit_length()
+            held.setdefault(kind, []).append(c)
+            sizes[kind] = sizes.get(kind, 0) + own
+            if sizes[kind] >= batch_bytes:
+                yield flush(held.pop(kind))
+                sizes[kind] = 0
 
         now: list[tuple] = []
         for batch in batches:
@@ -188,8 +190,8 @@ def _sorted_marks(content: DataFrame, least: int, batch_bytes: int = 2_500_000,
                 now.append(r)
         if now:
             yield from close(now)
-        if held:
-            yield flush(held)
+        for c in held.values():
+            yield flush(c)
         if whole:
             yield batch_of(whole)
 
@@ -316,17 +318,29 @@ def _crowded_marks(content: DataFrame, least: int, most_bytes: int) -> DataFrame
     return map_batches(lists, "h long, s long, shape long, marks binary", make)
 
 
-def _cut(data: bytes, places: list[dict], least: int) -> tuple[int, int, bytes]:
-    """(bytes removed, spans removed, what is left) of a text with repeated windows."""
-    low = np.asarray([p["low"] for p in places])
-    windows = np.asarray([p["shape"] % 1024 + 1 for p in places])
-    bits = [np.unpackbits(np.frombuffer(p["marks"], np.uint8), count=n) for p, n in zip(places, windows.tolist())]
-    starts = np.unique(np.repeat(low - np.cumsum(windows) + windows, windows)[(flat := np.concatenate(bits)).astype(bool)] + np.flatnonzero(flat))
-    # Runs of windows that touch or overlap are removed as one span.
+def _cut(texts: list[bytes], places: pa.ListArray, least: int) -> list[tuple[int, int, bytes]]:
+    """(bytes removed, spans removed, what is left) of each text with repeated windows; a text without places stays whole."""
+    flat = places.flatten()
+    if not len(flat):
+        return [(0, 0, t) for t in texts]
+    doc = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False))
+    marks = flat.field("marks").to_pylist()
+    size = np.fromiter(map(len, marks), np.int64, len(marks))
+    bit = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(marks), np.uint8)))
+    ends = np.cumsum(size)
+    place = np.searchsorted(8 * ends, bit, "right")  # whose mark each bit is
+    base = flat.field("low").to_numpy(zero_copy_only=False) - 8 * (ends - size)
+    starts = np.unique((doc[place].astype(np.int64) << 32) + base[place] + bit)
+    # Runs of windows that touch or overlap are removed as one span; texts lie further apart than any window.
     first = np.flatnonzero(np.concatenate(([True], starts[1:] - starts[:-1] > least)))
     begin, end = starts[first], starts[np.append(first[1:], len(starts)) - 1] + least
-    kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(data)]))
-    return len(data) - len(kept), len(begin), kept
+    spans = np.searchsorted(begin >> 32, np.arange(len(texts) + 1))
+    begin, end, out = (begin & 0xFFFFFFFF).tolist(), (end & 0xFFFFFFFF).tolist(), []
+    for k, t in enumerate(texts):
+        a, b = spans[k], spans[k + 1]
+        kept = b"".join(t[x:y] for x, y in zip([0, *end[a:b]], [*begin[a:b], len(t)]))
+        out.append((len(t) - len(kept), int(b - a), kept))
+    return out
 
 
 def cut_repeats(docs: DataFrame, least: int = 200, most_bytes: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,12 +365,8 @@ def cut_repeats(docs: DataFrame, least: int = 200, most_bytes: int = 1 << 18, id
 
     def make():
         def call(batch: pa.RecordBatch) -> list:
-            out: list[list] = [[] for _ in range(4)]
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                for column, x in zip(out, (len(data), *(_cut(data, places, least) if places else (0, 0, data)))):
-                    column.append(x)
-            return [batch.column(0), *out]
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            return [batch.column(0), [len(t) for t in texts], *zip(*_cut(texts, batch.column(2), least))]
 
         return call
 
