@@ -1,16 +1,23 @@
 """Quality classifier from supervised subword embeddings, trained by numpy stochastic gradient descent.
 
 Features of a text are its words, its character 4-grams inside words (with the white space on either side as a
-border), and for each pair of adjacent words whether the text had that pair before; all are hashed into ``buckets``. A document's vector is the average of its features' learned vectors; a softmax over
-two outputs follows. Both layers are trained together on a bounded sample: the ``most`` labelled training rows with
-the smallest hash of doc_id (a parameter). Training runs in one task, whose memory the sample's bound limits; the
-model that comes back has a fixed size. Scoring sends every row through the model where it lies.
+border), and its pairs of adjacent words. Each kind is hashed into a range of ``buckets`` of its own, and each bucket
+has a learned vector. Two more tokens stand beside every word pair, one where the text has not had the pair before and
+one where it has: hashed pairs alone cannot tell a text that repeats itself, since each repeats its own words. A document's vector is the average of its features' vectors; a softmax over two outputs follows.
+Both layers are trained together by stochastic gradient descent. The step of a feature's vector is the gradient's
+direction with the feature's count (at most 1) in the place of its share of the text: an average over hundreds of
+features would hardly move any.
+
+The training sample is bounded by parameters: the ``most`` labelled training rows with the smallest hash of doc_id,
+as far as their texts are ``most_bytes`` in all. Training runs in one task, whose memory these bounds limit; the model
+that comes back has a fixed size. Scoring sends every row, whole, through the model where it lies; a row's score depends
+on its text alone.
 
 Only the text is an input. Held out are rows whose crc32 of doc_id as text is 0 modulo 5; their labels are never
 read in training. A null or empty text has no features and gets the score of the bias alone. A doc_id that is
 labelled several times counts once, with its highest label; labels that are null are left out; without any label
 every score is one half. A doc_id that several rows have is trained on once, with the least of its texts. Repeated
-rows get equal scores.
+rows get equal scores. An empty table has no scores. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -46,15 +53,17 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_byte[data])))
     # A word is hashed by its bytes' mixed sum, its first and last grams and its length.
     edge = gram[np.minimum(start, n - 1)].astype(np.uint64) << np.uint64(32) | gram[np.maximum(stop - 4, 0)].astype(np.uint64)
-    words = mix(total[stop] - total[start] + mix(edge) + (stop - start).astype(np.uint64)) % np.uint64(buckets // 2) + np.uint64(buckets // 2)
+    words = mix(total[stop] - total[start] + mix(edge) + (stop - start).astype(np.uint64)) % np.uint64(buckets // 4) + np.uint64(buckets // 2)
     ends = np.cumsum([len(c) for c in coded])
-    # A word pair is one of two features: first met in its text, or met again.
-    pair = mix(words[:-1] * np.uint64(buckets) + words[1:] + (np.searchsorted(ends, start[1:], "right").astype(np.uint64) << np.uint64(40)))
-    again = np.ones(len(pair), np.uint64)
-    again[np.unique(pair, return_index=True)[1]] = 0
-    place = np.concatenate((inner, start, start[1:]))
+    # Words of one text are neighbours; a pair never crosses a text's end.
+    text = np.searchsorted(ends, start, "right")
+    second = np.flatnonzero(text[1:] == text[:-1]) + 1
+    pairs = mix(words[second - 1] * np.uint64(buckets) + words[second]) % np.uint64(buckets // 4) + np.uint64(3 * buckets // 4)
+    again = np.full(len(second), buckets + 1, np.uint64)
+    again[np.unique(mix(words[second - 1] * np.uint64(buckets) + words[second] + (text[second].astype(np.uint64) << np.uint64(40))), return_index=True)[1]] = buckets
+    place = np.concatenate((inner, start, start[second], start[second]))
     order = np.argsort(place, kind="stable")
-    return np.concatenate((grams, words, again))[order].astype(np.int64), np.searchsorted(place[order], ends)
+    return np.concatenate((grams, words, pairs, again))[order].astype(np.int64), np.searchsorted(place[order], ends)
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: float = 0.5, seed: int = 5, buckets: int = BUCKETS, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, float]:
@@ -66,7 +75,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: flo
         for k, (lo, hi) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends)):
             ids, counts = np.unique(found[lo:hi], return_counts=True)
             rows.append((ids.astype(np.int32), (counts / max(1, hi - lo)).astype(np.float32), labels[a + k]))
-    vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets, dimensions)).astype(np.float32)
+    vectors = rng.uniform(-1 / dimensions, 1 / dimensions, (buckets + 2, dimensions)).astype(np.float32)
     out, bias = np.zeros((dimensions, 2), np.float32), np.zeros(2, np.float32)
     steps, done = epochs * max(1, len(rows)), 0
     for _ in range(epochs):
@@ -83,7 +92,6 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: flo
             out -= lr * np.outer(mean, error)
             bias -= 0.1 * lr * error
             if len(ids):
-                # The step is for the sum over a document's features: an average alone moves them too little.
                 vectors[ids] -= lr * np.minimum(1.0, share * len(ids))[:, None] * back / 2
     side = out[:, 1] - out[:, 0]
     return (vectors @ side).astype(np.float32), float(bias[1] - bias[0])
@@ -93,8 +101,8 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000) -> tuple[np.ndarray, float]:
-    """The model, from at most ``most`` labelled doc_ids that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, most_bytes: int = 64 << 20) -> tuple[np.ndarray, float]:
+    """The model, from at most ``most`` labelled doc_ids that are not held out, and at most ``most_bytes`` of their texts."""
     pool = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     chosen = pool.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # One row for each sampled doc_id, so that copies of a row take no other's place.
@@ -102,14 +110,31 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000) -> tuple[np.ndarra
     schema = pa.schema([("weights", pa.binary()), ("bias", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("label", pa.int32())])).to_pylist()
-        got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-        if got:
-            weights, bias = train([r["text"] for r in got], [r["label"] for r in got])
+        texts, labels, left = [], [], most_bytes
+        for batch in batches:
+            for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                left -= len((text or "").encode("utf-8", "surrogatepass"))
+                if left < 0:
+                    break
+                texts.append(text)
+                labels.append(label)
+        if texts:
+            weights, bias = train(texts, labels)
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], schema=schema)
 
-    model = rows.repartition(1).mapInArrow(run, "weights binary, bias double").collect()
-    return (np.frombuffer(model[0]["weights"], np.float32), model[0]["bias"]) if model else (np.zeros(BUCKETS, np.float32), 0.0)
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    model = ordered.select("doc_id", "text", "label").mapInArrow(run, "weights binary, bias double").collect()
+    return (np.frombuffer(model[0]["weights"], np.float32), model[0]["bias"]) if model else (np.zeros(BUCKETS + 2, np.float32), 0.0)
+
+
+def logits(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Each text's mean weight of its features plus the bias; each text is summed by itself."""
+    found, ends = features(texts)
+    begin = np.concatenate(([0], ends[:-1]))
+    total, full = np.zeros(len(texts)), np.flatnonzero(ends > begin)
+    if len(full):
+        total[full] = np.add.reduceat(weights[found].astype(np.float64), begin[full])
+    return total / np.maximum(1, ends - begin) + bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -122,10 +147,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
         def call(batch: pa.RecordBatch) -> list:
             texts, out = batch.column(1).to_pylist(), []
             for a, b in in_chunks(texts, 1 << 19):
-                found, ends = features(texts[a:b])
-                total = np.concatenate(([0.0], np.cumsum(weights[found], dtype=np.float64)))
-                begin = np.concatenate(([0], ends[:-1]))
-                logit = (total[ends] - total[begin]) / np.maximum(1, ends - begin) + bias
+                logit = logits(texts[a:b], weights, bias)
                 out += (1 / (1 + np.exp(-np.clip(logit, -500, 500)))).tolist()
             return [batch.column(0), out]
 
