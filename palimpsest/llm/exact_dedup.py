@@ -7,6 +7,10 @@ content locator (file and row). Partial aggregation before the shuffle keeps a g
 then checked on full bytes: all rows of groups of two or more are read again by locator and their normalised texts
 compared. Should a digest ever hold different texts, its rows are grouped anew by the text itself.
 
+The table comes in several micro-batches (a third of its files each, ``MOST_FILES`` at most), so a row is looked up
+among all that earlier batches have left in the state. An empty table runs none and gives an empty result. A text of
+any length is one value of one row; only its digest is kept. Further columns, whatever their names, are not read.
+
 Of equal texts the longest original (code points), then the smallest doc_id, then the first physical row stays;
 repeated rows therefore keep exactly one. A null text counts as empty; a null doc_id loses to any other.
 """
@@ -16,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import FILE, ROW, WHITE, located, shared_dir, small_enough, table, text_or_empty, written
+from palimpsest.llm.common import FILE, ROW, WHITE, located, maybe_broadcast, shared_dir, small_enough, table, text_or_empty, written
 
+MOST_FILES = 4096
 BEST = "struct<chars:int,id:long,file:long,row:long>"
 #: The state lives on disk; without fallocate a store with few keys takes the bytes of its keys, not of its empty logs.
 STORE = {
@@ -31,17 +36,14 @@ def _normal(text_col: str) -> Column:
     return F.translate(text_or_empty(text_col), WHITE, "")
 
 
-def _state(narrow_path: str, schema, spark: SparkSession, files_per_batch: int | None) -> DataFrame:
+def _state(narrow_path: str, schema, spark: SparkSession, files_per_batch: int) -> DataFrame:
     """digest, best, group_size: the stream's keyed state after all rows of the narrow table."""
     keep = {k: spark.conf.get(k, None) for k in STORE}
     for k, v in STORE.items():
         spark.conf.set(k, v)
     out, marks = shared_dir(spark), shared_dir(spark)
-    source = spark.readStream.schema(schema)
-    if files_per_batch:
-        source = source.option("maxFilesPerTrigger", files_per_batch)
     state = (
-        source.parquet(narrow_path)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(narrow_path)
         .groupBy("digest")
         .agg(F.max(F.struct("chars", F.bitwise_not("doc_id").alias("id"), F.bitwise_not(FILE).alias("file"), F.bitwise_not(ROW).alias("row"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
     )
@@ -58,7 +60,12 @@ def _state(narrow_path: str, schema, spark: SparkSession, files_per_batch: int |
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], f"digest string, best {BEST}, group_size long")
-    return rows.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("digest", "s.best", "s.group_size") if files_per_batch else rows.select("digest", "best", "group_size")
+    return rows.groupBy("digest").agg(F.max_by(F.struct("best", "group_size"), "batch").alias("s")).select("digest", "s.best", "s.group_size")
+
+
+def _files(spark: SparkSession, path: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getFileCount()
 
 
 def dedup_exact(docs: DataFrame, files_per_batch: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -70,13 +77,13 @@ def dedup_exact(docs: DataFrame, files_per_batch: int | None = None, text_col: s
     path = shared_dir(spark)
     narrow.write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(narrow.schema).parquet(path)
-    state = _state(path, narrow.schema, spark, files_per_batch)
+    state = _state(path, narrow.schema, spark, files_per_batch or min(MOST_FILES, -(-_files(spark, path) // 3)))
     joined = rows.join(state, "digest").select("doc_id", "digest", "chars", FILE, ROW, "group_size", "best")
     joined = written(joined)
     wrong = _differing(texts, joined)
     out = joined
     if wrong is not None:
-        out = joined.join(F.broadcast(wrong), "digest", "left_anti").unionByName(_by_text(texts, joined, wrong))
+        out = joined.join(maybe_broadcast(wrong, 100), "digest", "left_anti").unionByName(_by_text(texts, joined, wrong))
     kept = (F.col(FILE) == F.bitwise_not("best.file")) & (F.col(ROW) == F.bitwise_not("best.row"))
     return out.select("doc_id", F.bitwise_not("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"), FILE, ROW)
 
