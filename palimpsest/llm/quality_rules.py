@@ -1,11 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule judges one document from shared lazily computed counts. On a sample of documents (``sample`` of them, a
-parameter) every rule's cost in seconds and its share of rejections are measured; rules then run in descending order
-of rejections per cost, and a document leaves the cascade at its first rejection. The order changes the cost only:
-the verdict is the conjunction of all rules, so it is the same for every sample and every order.
-
-A null text has no words. Repeated rows are judged alike. Texts are judged whole, whatever their length.
+Each rule judges one document from shared lazily computed counts. The order comes from a sample of documents (at most
+``sample`` of them and ``sample_bytes`` in all, both parameters): rules are chosen one after another, each time the one
+with the most rejections per second among the documents that the rules before it have left, where counts that those
+rules have made already cost nothing. A document leaves the cascade at its first rejection. The order changes the cost
+and the name of the rule that rejects first; the verdict is the conjunction of all rules, so it is the same for every
+sample and every order.
+
+A null text has no words. Repeated rows are judged alike. Texts are judged whole, whatever their length. An empty table
+gives an empty result. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable
+from copy import copy
 from functools import cached_property
 
 import pandas as pd
@@ -90,22 +94,34 @@ RULES: dict[str, Callable[[Counts], bool]] = {
 
 
 def measured_order(texts: list[str | None], rules: dict = RULES) -> list[tuple[str, float, float]]:
-    """(name, cost in seconds a document, share rejected), best rejection per cost first; ties by name."""
-    found = []
-    for name, rule in rules.items():
-        t = time.perf_counter()
-        rejected = sum(rule(Counts(x)) for x in texts)
-        found.append((name, max(time.perf_counter() - t, 1e-9) / max(1, len(texts)), rejected / max(1, len(texts))))
-    return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0]))
-
-
-def sample_order(docs: DataFrame, sample: int = 400, seed: int = 7, text_col: str = "text") -> list[str]:
+    """(name, cost in seconds a document, share rejected) in the cascade's order, both of the documents left; ties by name."""
+    left, open_rules, found = [Counts(x) for x in texts], dict(rules), []
+    while open_rules:
+        tried = []
+        for name, rule in sorted(open_rules.items()):
+            own = [copy(c) for c in left]  # with the counts that earlier rules have made
+            t = time.perf_counter()
+            rejected = sum(map(rule, own))
+            tried.append((name, max(time.perf_counter() - t, 1e-9) / max(1, len(left)), rejected / max(1, len(left))))
+        best = min(tried, key=lambda x: (-x[2] / x[1], x[1], x[0]))
+        found.append(best)
+        rule = open_rules.pop(best[0])
+        left = [c for c in left if not rule(c)]
+    return found
+
+
+def sample_order(docs: DataFrame, sample: int = 400, sample_bytes: int = 4 << 20, seed: int = 7, text_col: str = "text") -> list[str]:
     """The cascade's order, from a bounded sample of documents spread over the whole table."""
     n = docs.count()
     if not n:
         return list(RULES)
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).sample(False, min(1.0, 1.5 * sample / n), seed).limit(sample).collect()
-    return [x[0] for x in measured_order([r[0] for r in rows])]
+    texts, held = [], 0
+    for row in docs.select(F.col(text_col).cast("string").alias("text")).sample(False, min(1.0, sample / n), seed).toLocalIterator():
+        held += len(row["text"] or "")
+        if len(texts) >= sample or texts and held > sample_bytes:
+            break
+        texts.append(row["text"])
+    return [x[0] for x in measured_order(texts)]
 
 
 def judge(docs: DataFrame, order: list[str] | None = None, sample: int = 400, id_col: str = "doc_id", text_col: str = "text", place: bool = False) -> DataFrame:
