@@ -10,14 +10,18 @@ has p-values near 0. False discoveries are controlled for each encoding and leng
 tokens say little: the number of random tokens in a class is estimated from its p-values over one half, and the
 class's threshold is the least on a grid at which the estimated share of text among what is reported is at most
 ``fdr``; a class in which no threshold reaches that reports nothing. Histograms for that cover all rows and have a
-fixed number of cells; a class of fewer than ``least`` tokens is estimated from all classes together. The battery only adds spans, and none that overlaps a pattern's span.
+fixed number of cells; a class of fewer than ``least`` tokens is estimated from its length in all encodings, and if these
+are too few as well, from all classes together. The battery only adds spans, and none that overlaps a pattern's span.
 
 Positions are code points, end exclusive. A null text counts as empty and has no spans. Rows are scanned one by one,
-so repeated rows, hot keys and long texts change nothing; no row is shuffled.
+so repeated rows, hot keys and long texts change nothing; no row is shuffled. An empty table gives an empty result.
+Further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ ENCODINGS = {
     "base64url": (r"[A-Za-z0-9+/_-]+", UPPER + LOWER + DIGIT + "-_"),
 }
 GRID = [1e-6, 1e-5, 1e-4, 1e-3, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4, 0.5]
+#: Before the names of helper columns; made anew by each driver, so no caller's column can have it.
+P = f"__{uuid.uuid4().hex}_"
 FOUND = "array<struct<start:int,stop:int,found:string>>"
 
 
@@ -109,13 +115,13 @@ def _stratum(encoding: Column, n: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, the spans of each kind and the battery's candidates, of every row of docs (with the columns in keep)."""
     text = F.translate(text_or_empty(text_col), OPEN + SHUT, "")
-    base = docs.select(*(F.col(c) for c in keep or [id_col]), text.alias("__text"))
-    spans = {f"__{kind}": _long_enough(find_all(F.col("__text"), pattern), pattern, group, least) for kind, (pattern, group, least) in KINDS.items()}
-    base = base.withColumns(spans | {"__tokens": F.filter(find_all(F.col("__text"), TOKEN), lambda m: m["found"].rlike(r"[0-9]|[a-z][A-Z]") & m["found"].rlike("[A-Za-z]") | m["found"].rlike("^[0-9]+=*$"))})
-    known = F.concat(*(F.col(f"__{k}") for k in KINDS))
-    free = F.filter("__tokens", lambda m: ~F.exists(known, lambda s: (s["start"] < m["stop"]) & (m["start"] < s["stop"])))
+    base = docs.select(*(F.col(c) for c in keep or [id_col]), text.alias(P + "text"))
+    spans = {f"{P}{kind}": _long_enough(find_all(F.col(P + "text"), pattern), pattern, group, least) for kind, (pattern, group, least) in KINDS.items()}
+    base = base.withColumns(spans | {P + "tokens": F.filter(find_all(F.col(P + "text"), TOKEN), lambda m: m["found"].rlike(r"[0-9]|[a-z][A-Z]") & m["found"].rlike("[A-Za-z]") | m["found"].rlike("^[0-9]+=*$"))})
+    known = F.concat(*(F.col(f"{P}{k}") for k in KINDS))
+    free = F.filter(P + "tokens", lambda m: ~F.exists(known, lambda s: (s["start"] < m["stop"]) & (m["start"] < s["stop"])))
     tested = F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), _battery(m["found"]).alias("t")))
-    return base.drop("__text").withColumn("__candidates", tested).drop("__tokens")
+    return base.drop(P + "text").withColumn(P + "candidates", tested).drop(P + "tokens")
 
 
 def thresholds(scanned: DataFrame, fdr: float = 0.05, least: int = 20) -> dict[str, float]:
@@ -123,14 +129,16 @@ def thresholds(scanned: DataFrame, fdr: float = 0.05, least: int = 20) -> dict[s
     bucket = F.lit(0)
     for g in GRID:
         bucket = bucket + (F.col("c.t.p") >= g).cast("int")
-    cells = scanned.select(F.explode("__candidates").alias("c")).select(_stratum(F.col("c.t.encoding"), F.col("c.t.n")).alias("stratum"), bucket.alias("bucket"))
+    cells = scanned.select(F.explode(P + "candidates").alias("c")).select(_stratum(F.col("c.t.encoding"), F.col("c.t.n")).alias("stratum"), bucket.alias("bucket"))
     counts: dict[str, list[int]] = {}
     for r in cells.groupBy("stratum", "bucket").count().collect():  # encodings x length classes x grid at most
         counts.setdefault(r["stratum"], [0] * (len(GRID) + 1))[r["bucket"]] = r["count"]
-    pooled = [sum(c[k] for c in counts.values()) for k in range(len(GRID) + 1)]
+    pooled = lambda members: [sum(counts[m][k] for m in members) for k in range(len(GRID) + 1)]
     out = {}
     for stratum, c in sorted(counts.items()):
-        c = c if sum(c) >= least else pooled  # too few tokens to estimate from
+        if sum(c) < least:  # too few tokens to estimate from: all encodings of that length, then all
+            c = pooled([m for m in counts if m.split("/")[1] == stratum.split("/")[1]])
+            c = c if sum(c) >= least else pooled(counts)
         random = c[-1] / (1 - GRID[-1])
         for k, g in enumerate(GRID, 1):
             reported = sum(c[k:])
@@ -145,14 +153,14 @@ def random_spans(limits: dict[str, float]) -> Column:
     if not limits:
         return F.expr("cast(array() as array<struct<start:int,stop:int>>)")
     of = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
-    passed = F.filter("__candidates", lambda c: F.coalesce(c["t"]["p"] >= F.try_element_at(of, _stratum(c["t"]["encoding"], c["t"]["n"])), F.lit(False)))
+    passed = F.filter(P + "candidates", lambda c: F.coalesce(c["t"]["p"] >= F.try_element_at(of, _stratum(c["t"]["encoding"], c["t"]["n"])), F.lit(False)))
     return F.transform(passed, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop")))
 
 
 def _listed(kinds: list[str]) -> Column:
     """kind:start:end by start, then kind as listed, joined by commas."""
     def of(i: int, kind: str) -> Column:
-        return F.transform(f"__{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("i"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))
+        return F.transform(f"{P}{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("i"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))
 
     every = F.concat(*(of(i, kind) for i, kind in enumerate(kinds)))
     return F.array_join(F.transform(F.array_sort(every), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -161,10 +169,10 @@ def _listed(kinds: list[str]) -> Column:
 def find_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256 and spans of every row of docs."""
     scanned = written(scan(docs))  # spans only: the texts are read once
-    out = scanned.withColumn("__random", random_spans(thresholds(scanned, fdr)))
+    out = scanned.withColumn(P + "random", random_spans(thresholds(scanned, fdr)))
     return out.select(
         "doc_id",
-        *(F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in [*KINDS, "random"]),
+        *(F.size(f"{P}{k}").cast("long").alias(f"n_{k}") for k in [*KINDS, "random"]),
         F.sha2(_listed(list(KINDS)), 256).alias("base_sha256"),
         _listed([*KINDS, "random"]).alias("spans"),
     )
@@ -172,9 +180,9 @@ def find_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = 0.05, text_col: str = "text") -> DataFrame:
     """docs with every secret in the text replaced by the mark; a null text stays null."""
-    limits = thresholds(scan(docs, keep=[], text_col=text_col), fdr)
-    out = scan(docs, keep=docs.columns, text_col=text_col).withColumn("__random", random_spans(limits))
-    every = F.array_sort(F.concat(*(F.col(f"__{k}") for k in [*KINDS, "random"])))
+    scanned = written(scan(docs, keep=docs.columns, text_col=text_col))  # each text is scanned once
+    out = scanned.withColumn(P + "random", random_spans(thresholds(scanned, fdr)))
+    every = F.array_sort(F.concat(*(F.col(f"{P}{k}") for k in [*KINDS, "random"])))
     text = F.col(text_col)
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["stop"]).alias("at"),
