@@ -6,12 +6,14 @@ partition packs its own pieces: a bin is filled greedily with the largest piece
 piece is given back if two unpacked pieces fill the gap so expanded more tightly. Pieces are held as counts by
 length, so a partition's memory is a few numbers for each piece and never a text.
 
-A null text is empty: its only id is the end id. Repeated rows are packed one by one. An empty table packs nothing.
+A null text is empty: its only id is the end id. Repeated rows are packed one by one. An empty table packs nothing. Texts
+are encoded whole, whatever their length. Further columns of the documents, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -167,8 +169,10 @@ def pack(parts: DataFrame, most: int = 2048, in_a_partition: int = 16_000) -> Da
         out = rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).cast(arrow)
         yield from out.to_batches(max_chunksize=10_000)
 
-    # A random deal gives every partition the same mix of lengths; a document that holds a third of all pieces is dealt piece by piece.
-    return parts.repartition(n, F.xxhash64("doc_id", "piece", "ids_crc32", "start")).mapInArrow(run, schema)
+    # A random deal of single pieces gives every partition the same mix of lengths, also of one row that is repeated often.
+    deal = f"__deal_{uuid.uuid4().hex}"
+    dealt = parts.withColumn(deal, F.xxhash64(F.monotonically_increasing_id())).repartition(n, deal).drop(deal)
+    return dealt.mapInArrow(run, schema)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
