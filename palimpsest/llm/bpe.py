@@ -5,7 +5,8 @@ that occurs inside no vocabulary token marks a certain cut: no merge can ever br
 are encoded independently (lowest rank first, leftmost among equals; a heap for long fragments) and their ids
 concatenated. Words repeat, so each task keeps the ids of the words it has met, up to a bounded number.
 
-A null text counts as empty; an empty text has no ids. A text of any length is encoded whole.
+A null text counts as empty; an empty text has no ids. A text of any length is encoded whole. Repeated rows get equal
+ids, and an empty table gives an empty result. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

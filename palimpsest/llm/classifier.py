@@ -41,7 +41,7 @@ _white[[0x20, 9, 10, 11, 12, 13]] = True
 
 def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """All features of all texts, one text after another, and the end of each text's features."""
-    coded = [b" " + (t or "").encode("utf-8", "surrogatepass") + b"   " for t in texts]
+    coded = [b"   " + (t or "").encode("utf-8", "surrogatepass") + b"   " for t in texts]  # no gram reaches another text
     data = np.frombuffer(b"".join([*coded, b"    "]), np.uint8)
     white, n = _white[data], len(data) - 3
     wide = data.astype(np.uint32)

@@ -85,8 +85,8 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def small_enough(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
-    """Whether df's counted rows, at row_bytes each, are within the bytes that may be broadcast."""
-    return df.count() * row_bytes <= limit
+    """Whether df's counted rows, at row_bytes each and what a hashed relation adds to a row, may be broadcast."""
+    return df.count() * (row_bytes + 48) <= limit
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:

@@ -22,7 +22,8 @@
 
 Texts are read whole. Null and empty texts, and those without words, have an empty set and are linked with nothing,
 also not with one another. Repeated rows and equal texts fall in one class. A null doc_id is never a component's name
-unless all its rows have none. Shingles are compared by 64-bit hash.
+unless all its rows have none. Shingles are compared by 64-bit hash. An empty table gives an empty result. Further
+columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations

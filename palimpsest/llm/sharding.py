@@ -7,7 +7,8 @@ where prefix sums pass equal targets. A cut inside a run of equal texts moves to
 unbalances a shard by at most ``slack`` of its size; longer runs are cut where they are.
 
 Nulls: a null text has size 1 and the CRC of no bytes; a null doc_id sorts first. Repeated rows each get a slot.
-An empty table gives an empty result.
+An empty table gives an empty result. A text of any length is one row of one shard. Further columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ all windows of a text that share an anchor form one segment of less than 2 * ``l
    decides, so that no task ever has to hold an unbounded collection.
 5. Repeated windows go back to their documents, which are cut in one pass.
 
-Texts are whole UTF-8 byte strings; matches never cross texts; nulls are empty; repeated rows repeat each other.
+Texts are whole UTF-8 byte strings of any length; matches never cross texts; nulls are empty; repeated rows repeat each
+other. An empty table gives an empty result. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -6,6 +6,8 @@ first hex digits of their SHA-256; a hit counts only if the full digests agree.
 wins, and of equally long ones ``block`` before ``allow``. Without a rule the verdict is ``default``.
 
 Nulls: a null url, or one without ``://``, has empty host and path, which no rule fits. Repeated rows each get a row.
+An empty table of pages gives an empty result; without rules every page gets the default. URLs are judged whole, whatever
+their length. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from palimpsest.llm import bpe, exact_dedup, packing, quality_rules, secrets, sharding, url_filters
+from palimpsest.llm.common import FILE, ROW
 from tests.llm.fixtures import clashing, documents, none, rows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
