@@ -2,7 +2,12 @@
 
 Each stage takes the documents that its predecessor kept, with their columns, and its decisions take effect: rejected
 documents and surplus copies go, secrets are replaced in the text, and what remains is packed into sequences. Stages
-hand over Parquet tables in the shared folder. Nulls and repeated rows are treated as each operator's module states.
+hand over Parquet tables in the shared folder.
+
+A null or empty text is too short for the quality rules and goes. Of repeated rows and equal texts one stays, of a group
+of near copies the one of the smallest doc_id; a null doc_id stays only where its group has no other. Texts of any length
+are treated whole, up to the last stage, which cuts them into pieces. An empty table gives an empty result. Further
+columns, whatever their names, reach the last stage unchanged.
 """
 
 from __future__ import annotations
