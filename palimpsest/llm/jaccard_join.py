@@ -14,9 +14,9 @@
    round takes all lists, and derives a set's answers from that one's: whatever is in the component already needs no
    comparison, and only pairs that would join two components are looked at. Pairs are verified on whole sets, but for
    those whose parity bits differ in too many places to be linked.
-   A list with more than ``block`` sets within reach is compared in square blocks of bounded bytes, in one pass of
-   matrix products over parity bits; only pairs that pass, and that no link found before connects, are verified
-   on their sets, and only such links leave the block: never more than the block has sets.
+   A list with more than ``block`` sets within reach is compared in square tiles of bounded bytes, in one pass of
+   matrix products over parity bits; pairs that pass and lie in two components are verified. A tile with very many of
+   them is compared on whole sets instead, and only links that connect something leave it.
 5. Components come from forests of verified links. Links inside a component that are not needed for it are never
    computed, so there is no number of links.
 
@@ -276,62 +276,63 @@ def _list_pairs(index: DataFrame, percent: int, block: int, star: bool, most_row
     return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
+def _tile_pairs(rows: list[tuple], cross: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of rows (node, component, n, side, bits) that may be links: of two components, within reach, and
+    with parity bits that differ in few enough places. rows is put in order first."""
+    rows.sort(key=lambda r: (r[3], r[2], r[0]))
+    size, side = (np.asarray([r[k] for r in rows]) for k in (2, 3))
+    component = np.asarray([r[1] for r in rows], np.int64)
+    width = np.asarray([64 * len(r[4]) for r in rows])
+    for w in np.unique(width).tolist():
+        own, others = np.flatnonzero(width == w), np.flatnonzero(width >= w)
+        # Wider bits are folded to this width, which keeps parities.
+        bits = np.stack([np.unpackbits(np.bitwise_xor.reduce(np.reshape(rows[k][4], (-1, w // 64)), axis=0).view(np.uint8)) for k in others]).astype(np.float32)
+        ones, at = bits.sum(axis=1), np.searchsorted(others, own)
+        for k in range(0, len(own), 256):
+            mine, i = at[k : k + 256], own[k : k + 256, None]
+            j = others[None, :]
+            differ = ones[mine, None] + ones[None, :] - 2 * (bits[mine] @ bits.T)
+            ok = differ * (100 + percent) <= (100 - percent) * (size[i] + size[j]) + 0.5
+            ok &= (size[i] * 100 >= percent * size[j]) & (size[j] * 100 >= percent * size[i]) & (component[i] != component[j])
+            ok &= ((width[j] > w) | (i < j)) & ((side[i] != side[j]) if cross else True)
+            x, y = np.nonzero(ok)
+            yield i[x, 0], others[y]
+
+
 def _tile_links(rows: list[tuple], cross: bool, percent: int) -> list[tuple[int, int]]:
     """Links that connect what is not connected yet among rows (node, component, n, side, shingles), each verified."""
-    rows.sort(key=lambda r: (r[3], r[2], r[0]))
-    sets = [np.asarray(r[4], np.int64) for r in rows]
-    size = np.asarray([r[2] for r in rows], np.int64)
-    side = np.asarray([r[3] for r in rows])
-    width = min(8 * PARITY, max(PARITY, 1 << (int(size.max()) - 1).bit_length()))
-    bits = np.stack([_parity_bits(x.view(np.uint64), width) for x in sets]).astype(np.float32)
-    ones = bits.sum(axis=1)
+    rows = [(*r[:4], np.asarray(_parity(r[4].view(np.uint64)), np.int64), r[4]) for r in rows]
     names: dict[int, int] = {}
-    group = np.asarray([names.setdefault(r[1], len(names)) for r in rows])
-    out = []
-    for at in range(0, len(rows), 256):
-        part = slice(at, at + 256)
-        differ = ones[part, None] + ones[None, :] - 2 * (bits[part] @ bits.T)
-        ok = differ * (100 + percent) <= (100 - percent) * (size[part, None] + size[None, :]) + 0.5
-        ok &= (size[part, None] * 100 >= percent * size[None, :]) & (size[None, :] * 100 >= percent * size[part, None])
-        ok &= group[part, None] != group[None, :]
-        if cross:
-            ok &= side[part, None] < side[None, :]
-        else:
-            ok &= np.arange(len(rows))[None, :] > np.arange(at, min(at + 256, len(rows)))[:, None]
-        for i, j in zip(*np.nonzero(ok)):
-            i += at
+    group, out = None, []
+    for left, right in _tile_pairs(rows, cross, percent):
+        if group is None:  # rows have their order now
+            group = np.asarray([names.setdefault(r[1], len(names)) for r in rows])
+        for i, j in zip(left.tolist(), right.tolist()):
             if group[i] == group[j]:
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            x, y = rows[i][5], rows[j][5]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
                 group[group == group[j]] = group[i]
                 out.append((rows[i][0], rows[j][0]))
     return out
 
 
-def _long_lists(members: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """a, b: links within long lists (shingle, node, component, n), by blocks that hold about tile shingles, each set
-    being counted as PARITY of them at least."""
-    held = F.ceil(F.sum(F.greatest(F.col("n"), F.lit(PARITY))) / tile).cast("int").alias("blocks")
-    many = members.groupBy("shingle").agg(held, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "blocks")
-    held = members.join(many, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A set meets every block: as the first side from its own block on, as the second up to it.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = held.select("shingle", "node", "component", "n", "own", other.alias("other"))
-    held = held.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "n", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _dealt_tiles(held: DataFrame, values: DataFrame, per_tile, columns: str) -> DataFrame:
+    """per_tile(key, rows) of every tile (shingle, i, j) of held; a row is node, component, n, side and the node's array in values."""
+    schema = pa.schema([(x.split()[0], pa.int64()) for x in columns.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list[tuple] = []
         key = None
 
         def close() -> pa.RecordBatch:
-            found = _tile_links(now, key[1] != key[2], percent)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+            found = per_tile(key, now)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(schema))], schema=schema)
 
         for batch in batches:
-            shingles = batch.column(7)
-            flat, ends = shingles.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.diff(shingles.offsets.to_numpy()))))
+            arrays = batch.column(7)
+            flat, ends = arrays.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.diff(arrays.offsets.to_numpy()))))
             for k, r in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)))):
                 if r[:3] != key:
                     if now:
@@ -341,8 +342,43 @@ def _long_lists(members: DataFrame, sets: DataFrame, percent: int, tile: int) ->
         if now:
             yield close()
 
-    dealt = held.join(sets.select("node", "shingles"), "node").select("shingle", "i", "j", "node", "component", "n", "side", "shingles")
-    return dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(run, "a long, b long")
+    dealt = held.join(values, "node").select("shingle", "i", "j", "node", "component", "n", "side", values.columns[1])
+    return dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(run, columns)
+
+
+def _long_lists(members: DataFrame, verify: _Verifier, percent: int, tile: int, most_pairs: int = 4) -> DataFrame:
+    """a, b: links within long lists (shingle, node, component, n), by tiles that hold about tile shingles, each set
+    being counted as PARITY of them at least.
+
+    Tiles compare parity bits alone and give the pairs that remain. Only a tile with more than most_pairs of them for
+    each of its rows gets whole sets, and gives no more links than connect its rows.
+    """
+    held = F.ceil(F.sum(F.greatest(F.col("n"), F.lit(PARITY))) / tile).cast("int").alias("blocks")
+    many = members.groupBy("shingle").agg(held, F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "blocks")
+    held = members.join(many, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A set meets every block: as the first side from its own block on, as the second up to it.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    held = held.select("shingle", "node", "component", "n", "own", other.alias("other"))
+    held = held.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "n", (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+    def pairs(key: tuple, rows: list[tuple]) -> list[tuple]:
+        found: list[tuple] = []
+        for left, right in _tile_pairs(rows, key[1] != key[2], percent):
+            found += zip([rows[i][0] for i in left.tolist()], [rows[j][0] for j in right.tolist()], *([x] * len(left) for x in key))
+            if len(found) > most_pairs * len(rows):
+                return [(None, None, *key)]
+        return found
+
+    def links(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return _tile_links(rows, key[1] != key[2], percent)
+
+    found = verify.kept(_dealt_tiles(held, verify.bits.select("node", "bits"), pairs, "a long, b long, shingle long, i long, j long"))
+    out = verify.similar(found.where("a is not null"))
+    dense = found.where("a is null").select("shingle", "i", "j")
+    if not dense.isEmpty():
+        rest = verify.kept(held.join(dense, ["shingle", "i", "j"]))
+        out = out.union(_dealt_tiles(rest, verify.sets(rest.select("node").distinct()).select("node", "shingles"), links, "a long, b long"))
+    return out
 
 
 class _Verifier:
@@ -357,12 +393,16 @@ class _Verifier:
         """node, n, shingles of the nodes."""
         wanted = self.nodes.join(nodes, "node").select("node", FILE, ROW)
         texts = self.docs.join(maybe_broadcast(wanted, 32), [FILE, ROW])
-        return self._kept(_sets(texts, self.size, self.percent, region=False))
+        return self.kept(_sets(texts, self.size, self.percent, region=False))
 
-    def _kept(self, df: DataFrame) -> DataFrame:
+    def kept(self, df: DataFrame) -> DataFrame:
         self.scratch.append(written(df))
         return self.scratch[-1]
 
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links."""
+        return self(pairs).where(F.col("both") * 100 >= self.percent * F.col("either")).select("a", "b")
+
     def __call__(self, pairs: DataFrame, percent: int | None = None) -> DataFrame:
         """a, b, both (shingles in common), either (shingles in the union) of the pairs (a, b) that can reach the percentage.
 
@@ -373,16 +413,16 @@ class _Verifier:
         of = lambda k: self.bits.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
         near = _apart(F.col("bits_a"), F.col("bits_b")) * (100 + least) <= (100 - least) * (F.col("n_a") + F.col("n_b"))
         pairs = pairs.join(of("a"), "a").join(of("b"), "b").where(near)
-        pairs = self._kept(pairs.select("a", "b"))
+        pairs = self.kept(pairs.select("a", "b"))
         sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         met = pairs.join(right, "b").join(left, "a")
         both = F.size(F.array_intersect("x", "y")).cast("long")
-        return self._kept(met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
+        return self.kept(met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
 
 
-def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 64, early: int = 6, tile: int = 1 << 21, frequent: int = 32, most_frequent: int = 500_000, most_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 64, early: int = 6, tile: int = 1 << 21, frequent: int = 32, most_frequent: int = 500_000, most_rows: int = 50_000, most_pairs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, links): every row's class, one node for each class, and all verified links that components need."""
     docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), FILE, ROW)
     rows = written(_classes(docs, size))
@@ -396,17 +436,16 @@ def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int =
     hot = np.sort(np.asarray([r[0] for r in df.orderBy(F.desc("count"), "shingle").limit(most_frequent).select("shingle").collect()], np.int64))
     index = written(_index(regions, hot, percent))
     verify = _Verifier(nodes, docs, regions, size, percent)
-    similar = lambda x: x.where(F.col("both") * 100 >= percent * F.col("either")).select("a", "b")
     start = index.where(F.col("pos") < early).withColumn("component", F.col("node"))
     early_pairs = written(_list_pairs(start, percent, 0, True, most_rows))
-    links = early_links = written(similar(verify(early_pairs)))
+    links = early_links = written(verify.similar(early_pairs))
     known = written(components(links))
     rest = index.join(maybe_broadcast(known, 24), "node", "left").withColumn("component", F.coalesce("component", "node"))
     listed = written(_list_pairs(rest, percent, block, False, most_rows))
-    links = links.union(similar(verify(listed.where("kind = 0"))))
+    links = links.union(verify.similar(listed.where("kind = 0")))
     members = listed.where("kind = 1").select("shingle", F.col("a").alias("node"), F.col("b").alias("component"), "n")
     if not members.isEmpty():
-        links = links.union(_long_lists(members, verify.sets(members.select("node").distinct()), percent, tile))
+        links = links.union(_long_lists(members, verify, percent, tile, most_pairs))
     links = written(links.distinct())
     forget(regions, index, early_pairs, early_links, known, listed, *verify.scratch)
     return rows, nodes, links

@@ -59,7 +59,7 @@ def edited(seed):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 2, "frequent": 2}, {"block": 3, "early": 1, "tile": 1 << 14, "most_frequent": 0}, {"block": 2, "early": 1, "frequent": 2, "most_rows": 9}])
+@pytest.mark.parametrize("options", [{}, {"block": 2, "frequent": 2}, {"block": 3, "early": 1, "tile": 1 << 14, "most_frequent": 0, "most_pairs": 0}, {"block": 2, "early": 1, "tile": 1 << 14}, {"block": 2, "early": 1, "frequent": 2, "most_rows": 9}])
 def test_jaccard_join(spark, options):
     texts = TEXTS + [(5000 + d, t) for d, t in edited(3)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
