@@ -32,11 +32,18 @@ def new_rows(batch: DataFrame, stored: DataFrame, key: list[str] = [*KEY, "obser
     """The batch without rows whose key is stored, one row for each key: what an idempotent append adds."""
     order = F.desc(tie) if tie else F.lit(1)
     once = batch.withColumn("__k", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("__k = 1").drop("__k")
-    return once.join(stored.select(*key), key, "left_anti")
+    known = stored.select(*(F.col(k).alias(f"__{k}") for k in key)).distinct()
+    same = F.lit(True)
+    for k in key:  # a null is a key like any other
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return once.join(known, same, "left_anti")
 
 
-def append_idempotent(batch: DataFrame, path: str, key: list[str] = [*KEY, "observed_at"], tie: str | None = None) -> int:
-    """Appends the batch's new rows to the Parquet store at path; gives their number."""
+def append_idempotent(batch: DataFrame, path: str, key: list[str] = [*KEY, "observed_at"], tie: str | None = None, date: str = "period_date") -> int:
+    """Appends the batch's new rows to the Parquet store at path; gives their number.
+
+    Of the store only rows within the batch's range of dates are read, where the date is part of the key.
+    """
     spark = batch.sparkSession
     try:
         stored = spark.read.parquet(path)
@@ -44,6 +51,10 @@ def append_idempotent(batch: DataFrame, path: str, key: list[str] = [*KEY, "obse
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         stored = batch.limit(0)
+    if date in key:
+        low, high, gaps = batch.agg(F.min(date), F.max(date), F.count_if(F.col(date).isNull())).first()
+        within = F.col(date).between(low, high) if low is not None else F.lit(False)
+        stored = stored.where(within | F.col(date).isNull() if gaps else within)
     fresh = new_rows(batch, stored, key, tie).persist()
     try:
         n = fresh.count()
@@ -98,3 +109,17 @@ def keep_last(df: DataFrame, key: list[str], order: str) -> DataFrame:
 def surrogate_id(*natural: Column) -> Column:
     """The same key gives the same id in every run."""
     return F.xxhash64(*natural)
+
+
+def recent_vintages(obs: DataFrame, most: int, series: str = "series_id", date: str = "period_date", vintage: str = "vintage", observed: str = "observed_at", tie: str | None = None) -> DataFrame:
+    """Rows of each series' last ``most`` vintage days: of each period what was known last on that day."""
+    days = obs.select(series, vintage).distinct()
+    kept = days.withColumn("__k", F.row_number().over(W.partitionBy(series).orderBy(F.desc(vintage)))).where(F.col("__k") <= most).drop("__k")
+    return as_of(obs.join(kept, [series, vintage]), None, [series, date, vintage], observed, tie)
+
+
+def update_starts(series: DataFrame, stored: DataFrame, first: str, key: str = "series_id", date: str = "period_date") -> DataFrame:
+    """key, start, initial: the day after the last stored date, or ``first`` for a series that has nothing stored."""
+    last = stored.groupBy(key).agg(F.max(date).alias("last"))
+    d = series.select(key).join(last, key, "left")
+    return d.select(key, F.coalesce(F.date_add("last", 1), F.lit(first).cast("date")).alias("start"), F.col("last").isNull().alias("initial"))

@@ -200,25 +200,19 @@ def var_design(y: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([np.ones(len(y) - lags), *(y[lags - k : len(y) - k] for k in range(1, lags + 1))]), y[lags:]
 
 
-def bvar_fit(y: np.ndarray, lags: int = 2, tight: float = 0.2, cross: float = 0.5, decay: float = 1.0) -> np.ndarray:
+def bvar_fit(y: np.ndarray, lags: int = 2, tight: float = 0.1, cross: float = 0.5, decay: float = 1.0) -> np.ndarray:
     """Posterior-mean coefficients (1 + lags * k rows, a column for each equation) under the Minnesota prior."""
     x, target = var_design(y, lags)
-    k, sd = y.shape[1], y.std(axis=0)
-    sd = np.where(sd > 1e-12, sd, 1.0)
-    noise = np.empty(k)
-    out = np.empty((1 + lags * k, k))
+    k, sd = y.shape[1], y.std(axis=0) + 1e-8
+    # A row for each coefficient, a column for each equation; the intercept is all but free.
+    lag, variable = np.divmod(np.arange(lags * k), k)
+    spread = tight / (lag + 1.0)[:, None] ** decay * np.where(variable[:, None] == np.arange(k), 1.0, cross * sd[variable][:, None] / sd)
+    precision = np.vstack([np.full((1, k), 1e-6), 1 / np.clip(spread**2, 1e-12, None)])
+    mean = np.zeros((1 + lags * k, k))
+    mean[1 : 1 + k] = np.eye(k)
+    out = np.empty_like(mean)
     for j in range(k):
-        own, made = var_design(y[:, j : j + 1], 1)
-        e = made - own @ np.linalg.lstsq(own, made, rcond=None)[0]
-        noise[j] = max(float((e**2).mean()), 1e-12)
-        mean, var = np.zeros(1 + lags * k), np.full(1 + lags * k, 1e6)
-        mean[1 + j] = 1.0
-        for lag in range(1, lags + 1):
-            for i in range(k):
-                at = 1 + (lag - 1) * k + i
-                var[at] = (tight / lag**decay) ** 2 if i == j else (tight * cross / lag**decay) ** 2 * (sd[j] / sd[i]) ** 2
-        precision = np.diag(1 / var)
-        out[:, j] = np.linalg.solve(x.T @ x / noise[j] + precision, x.T @ target[:, j] / noise[j] + precision @ mean)
+        out[:, j] = np.linalg.solve(x.T @ x + np.diag(precision[:, j]), x.T @ target[:, j] + precision[:, j] * mean[:, j])
     return out
 
 
@@ -233,25 +227,6 @@ def var_fit(y: np.ndarray, lags: int = 2) -> np.ndarray:
     return np.linalg.lstsq(*var_design(y, lags), rcond=None)[0]
 
 
-def factor_nowcast(x: np.ndarray, factors: int = 1, rounds: int = 20) -> np.ndarray:
-    """x (time x variable, standardised, gaps as nan) smoothed by common factors with AR(1) dynamics.
-
-    Gaps are filled by the factors' own fit, factors by principal components of what is filled, until it settles.
-    """
-    gaps = np.isnan(x)
-    z = np.where(gaps, 0.0, x)
-    for _ in range(rounds):
-        _, _, v = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
-        f = z @ v[:factors].T
-        for j in range(factors):
-            a = f[:-1, j] @ f[1:, j] / max(f[:-1, j] @ f[:-1, j], 1e-12)
-            edge = np.flatnonzero(gaps.mean(axis=1) > 0.5)
-            for t in edge[edge > 0]:
-                f[t, j] = 0.5 * f[t, j] + 0.5 * np.clip(a, -0.99, 0.99) * f[t - 1, j]
-        z = np.where(gaps, f @ v[:factors], x)
-    return f
-
-
 # Application per group ----------------------------------------------------------------------------------------------
 
 
@@ -304,13 +279,21 @@ def bvar_by_group(panel: DataFrame, group: str, lags: int = 2, steps: int = 3, b
 MODELS: dict[str, type[Model]] = {"elastic_net": ElasticNet, "ridge": Ridge, "pca_regression": PrincipalComponents}
 
 
+def _model(name: str) -> type[Model]:
+    if name == "dynamic_factor":
+        from palimpsest.operators.factor_model import DynamicFactor
+
+        return DynamicFactor
+    return MODELS[name]
+
+
 def backtest(panel: DataFrame, target: DataFrame, folds: DataFrame, model: str, params: dict | None = None, series: str = "series_id", date: str = "period_date", value: str = "value", y: str = "y") -> DataFrame:
     """fold, target_date, model, actual, predicted, n_features, status: every fold is fitted in a task of its own."""
     from pyspark.sql import functions as F
 
     from palimpsest.operators.sizes import broadcast_if_small
 
-    kind, options = MODELS[model], params or {}
+    kind, options = _model(model), params or {}
     small = broadcast_if_small(folds)
     x = panel.join(small, F.col(date).between(F.col("train_start"), F.col("test_end"))).select("fold", "train_end", date, series, value)
     t = target.join(small, F.col(date).between(F.col("train_start"), F.col("test_end"))).select("fold", "train_end", date, F.lit("__target").alias(series), F.col(y).alias(value))
@@ -363,3 +346,72 @@ def bridge(panel: DataFrame, target: DataFrame, p: int = 2, rule: str = "mean",
         return pd.DataFrame([(key[0], end.date(), float(b[0] + b[1] * low.iloc[-1]))], columns=names)
 
     return panel.select(series, date, value).groupBy(series).applyInPandas(run, f"{series} string, target_date date, predicted double")
+
+
+def evaluated(built: DataFrame, model: str, params: dict | None = None, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
+    """target_quarter, label, model, predicted, n_train, n_features, status: each vintage is fitted in a task of its own.
+
+    built comes from vintage.build: its target rows have the series "__target"; the last one, of the target quarter, is
+    what is predicted, from the features known at the cutoff.
+    """
+    kind, options = _model(model), params or {}
+    names = ["target_quarter", "label", "model", "predicted", "n_train", "n_features", "status"]
+
+    def run(key, d: pd.DataFrame) -> pd.DataFrame:
+        w = _wide(d, series, date, value)
+        predicted, n_train, n_features, status = np.nan, 0, 0, "failed: no target"
+        at = np.asarray([pd.Timestamp(i) == pd.Timestamp(key[0]) for i in w.index])
+        if "__target" in w and at.any():
+            train = w["__target"].notna().to_numpy() & ~at
+            f = w.drop(columns="__target")
+            f = f.loc[:, (f[train].notna().sum() > 1) & f[at].notna().any()]
+            n_train, n_features = int(train.sum()), f.shape[1]
+            try:
+                if n_train < 5 or n_features == 0:
+                    raise ValueError("too little data")
+                predicted = float(kind(**options).fit(f[train].to_numpy(float), w.loc[train, "__target"].to_numpy(float)).predict(f[at].to_numpy(float))[-1])
+                status = "success"
+            except (ValueError, np.linalg.LinAlgError) as e:
+                status = f"failed: {e}"
+        return pd.DataFrame([(key[0], int(key[1]), model, None if np.isnan(predicted) else predicted, n_train, n_features, status)], columns=names)
+
+    schema = "target_quarter date, label int, model string, predicted double, n_train int, n_features int, status string"
+    return built.select("target_quarter", "label", series, date, value).groupBy("target_quarter", "label").applyInPandas(run, schema)
+
+
+def prepared(panel: DataFrame, lag: int = 12, most_diffs: int = 2, winsor: float | None = 5.0, strict: bool = True, least: int = 36, least_years: float = 6.4, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
+    """A report row for each series and its prepared values as two arrays (dates, values).
+
+    Too few values, too short a span and constant series are dropped with their reason. Positive series become yearly log
+    differences, others yearly differences; then first differences follow as long as KPSS rejects stationarity, at most
+    most_diffs. A series that it still rejects is dropped when strict, else kept with the status 'nonstationary'. Values
+    are cut at winsor interquartile ranges beyond the quartiles (None leaves them).
+    """
+    names = [series, "dropped_reason", "transform_applied", "span_years", "initial_non_nan", "final_non_nan", "d0_kpss_p", "diffs_used", "status", "dates", "values"]
+
+    def run(key, d: pd.DataFrame) -> pd.DataFrame:
+        d = d.dropna(subset=[value]).sort_values(date)
+        x, days = d[value].to_numpy(float), pd.to_datetime(d[date])
+        n, years = len(x), (days.iloc[-1] - days.iloc[0]).days / 365.25 if len(x) else 0.0
+        reason = "min_obs" if n < least else "min_span" if years < least_years else "constant" if x.min() == x.max() else None
+        rule, z, p0, used, status = None, x, None, 0, "dropped"
+        if reason is None:
+            rule = f"dlog{lag}" if (x > 0).all() else f"diff{lag}"
+            base = np.log(x) if (x > 0).all() else x
+            z = base[lag:] - base[:-lag]
+            p = p0 = kpss(z)
+            while p is not None and p < 0.05 and used < most_diffs:
+                z, used = np.diff(z), used + 1
+                p = kpss(z)
+            status = "ok" if p is None or p >= 0.05 else "nonstationary"
+            if status == "nonstationary" and strict:
+                reason, status = "nonstationary", "dropped"
+            elif winsor is not None and len(z):
+                lo, hi = np.quantile(z, [0.25, 0.75])
+                z = np.clip(z, lo - winsor * (hi - lo), hi + winsor * (hi - lo))
+        kept = reason is None
+        row = (key[0], reason, rule, years, n, len(z) if kept else 0, p0, used, status, [i.date() for i in days.iloc[n - len(z) :]] if kept else [], z.tolist() if kept else [])
+        return pd.DataFrame([row], columns=names)
+
+    schema = f"{series} string, dropped_reason string, transform_applied string, span_years double, initial_non_nan int, final_non_nan int, d0_kpss_p double, diffs_used int, status string, dates array<date>, values array<double>"
+    return panel.select(series, date, value).groupBy(series).applyInPandas(run, schema)

@@ -48,3 +48,10 @@ def classify_raw(raw: Column, status: Column) -> tuple[Column, Column]:
     value = F.when(zero, F.lit(0.0)).when(~blank, number)
     reason = F.when(zero, "zero_status").when(blank, "blank").when(number.isNull(), "not_numeric").otherwise("ok")
     return value, reason
+
+
+def input_problems(panel: DataFrame, target_dates: DataFrame, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
+    """series, problem: 'all_null', 'no_overlap' with the target's dates, or null for a series fit as a model's input."""
+    known = F.col(value).isNotNull()
+    d = panel.join(target_dates.select(date).distinct().withColumn("__t", F.lit(True)), date, "left").groupBy(series).agg(F.count(value).alias("n"), F.count_if(known & F.col("__t")).alias("met"))
+    return d.select(series, F.when(F.col("n") == 0, "all_null").when(F.col("met") == 0, "no_overlap").alias("problem"))

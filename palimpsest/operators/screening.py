@@ -28,6 +28,12 @@ def correlations(panel: DataFrame, target: DataFrame, date: str = "period_date",
     return joined.groupBy(series).agg(F.count_if(both).alias("n"), correlation(F.col(value), F.col(y)).alias("corr"))
 
 
+def target_scores(panel: DataFrame, target: DataFrame, least_n: int = 6, **names) -> DataFrame:
+    """series, n, corr: correlations with the target, 0 where they are undefined or rest on fewer than least_n pairs."""
+    d = correlations(panel, target, **names)
+    return d.withColumn("corr", F.when(F.col("n") >= least_n, F.coalesce("corr", F.lit(0.0))).otherwise(0.0))
+
+
 def top_n(scores: DataFrame, n: int, score: str = "corr", series: str = "series_id", within: list[str] = ()) -> DataFrame:
     """The n rows of largest absolute score (within each group), ties by series."""
     if not within:

@@ -158,3 +158,17 @@ def varying(df: DataFrame, series: str = SERIES, value: str = VALUE) -> DataFram
     """df's rows of series with at least two different values."""
     keep = df.groupBy(series).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi")).where("__lo < __hi").select(series)
     return df.join(keep, series, "left_semi")
+
+
+def interpolate_by_time(panel: DataFrame, limit: int = 3, series: str = "series_id", date: str = "period_date", value: str = "value", out: str = "filled") -> DataFrame:
+    """Gaps between known values filled on the line through them, weighted by days; at most the first ``limit`` of a gap."""
+    w = W.partitionBy(series).orderBy(date)
+    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    known = lambda c: F.when(F.col(value).isNotNull(), c)
+    d = panel.withColumn("__n", F.row_number().over(w))
+    d = d.withColumns({
+        "__pv": F.last(value, True).over(before), "__pd": F.last(known(F.col(date)), True).over(before), "__pn": F.last(known(F.col("__n")), True).over(before),
+        "__nv": F.first(value, True).over(after), "__nd": F.first(known(F.col(date)), True).over(after),
+    })
+    line = F.col("__pv") + (F.col("__nv") - F.col("__pv")) * F.datediff(date, "__pd") / F.datediff("__nd", "__pd")
+    return d.withColumn(out, F.when(F.col(value).isNotNull(), F.col(value)).when(F.col("__n") - F.col("__pn") <= limit, line)).drop("__n", "__pv", "__pd", "__pn", "__nv", "__nd")

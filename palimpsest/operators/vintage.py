@@ -92,3 +92,49 @@ def recent_mean(panel: DataFrame, n: int = 12, series: str = "series_id", date:
     w = W.partitionBy(series).orderBy(F.desc(date))
     top = panel.where(F.col(value).isNotNull()).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= n)
     return top.groupBy(series).agg(F.max_by(value, date).alias("last_value"), F.avg(value).alias("recent_mean"))
+
+
+def build(panel: DataFrame, target: DataFrame, cutoff_table: DataFrame, fill: str = "locf", least_share: float = 0.0, days: int = 30, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
+    """Every vintage in one plan: target_quarter, label, series, date, value, split; the target's series is "__target".
+
+    panel has a release lag for each row; what was not published at the cutoff is null, then filled by the rule (none,
+    locf: the last known value, mean: the series' mean in its vintage). A series whose known share of a vintage's rows is
+    under least_share is left out of that vintage. The target is known ``days`` after its date; its row of the target
+    quarter is there in any case and has no value. split is 'test' on the target quarter, else 'train'.
+    """
+    key = ["target_quarter", "label", series]
+    seen = visible(panel, cutoff_table, date=date, value=value)
+    own = W.partitionBy(*key)
+    if least_share > 0:
+        seen = seen.withColumn("__share", F.count(value).over(own) / F.count(F.lit(1)).over(own)).where(F.col("__share") >= least_share).drop("__share")
+    if fill == "locf":
+        seen = seen.withColumn(value, F.last(value, ignorenulls=True).over(own.orderBy(date)))
+    elif fill == "mean":
+        seen = seen.withColumn(value, F.coalesce(value, F.avg(value).over(own)))
+    elif fill != "none":
+        raise ValueError("fill must be none, locf or mean")
+    known = visible_target(target, cutoff_table, days, date, value).where(F.col(date) < F.col("target_quarter")).select("target_quarter", "label", date, value)
+    asked = cutoff_table.select("target_quarter", "label", F.col("target_quarter").alias(date), F.lit(None).cast("double").alias(value))
+    rows = seen.select(*key, date, value).unionByName(known.unionByName(asked).select("target_quarter", "label", F.lit("__target").alias(series), date, value))
+    return rows.withColumn("split", F.when(F.col(date) == F.col("target_quarter"), "test").otherwise("train"))
+
+
+def umidas(panel: DataFrame, ratio: int = 3, lags: int = 2, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
+    """An unrestricted mixed-frequency design in long form: at each quarter's end, each of a series' ratio * lags latest
+    monthly values is a series of its own, named with its lag. panel is on a dense calendar."""
+    w = W.partitionBy(series).orderBy(date)
+    stack = F.array(*(F.struct(F.lit(k).alias("k"), F.lag(value, k).over(w).alias("v")) for k in range(ratio * lags)))
+    d = panel.select(series, date, stack.alias("__s")).where(F.month(date) % 3 == 0).select(series, date, F.explode("__s").alias("__x"))
+    return d.select(F.concat(F.col(series), F.lit("@"), F.col("__x.k").cast("string")).alias(series), date, F.col("__x.v").alias(value))
+
+
+def mixed_frequency(monthly: DataFrame, quarterly: DataFrame | None, target: str, series: str = "series_id", date: str = "period_date", value: str = "value") -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(monthly, quarterly, y): the target is taken out of the quarterly panel, else out of the monthly one as each
+    quarter's last known value."""
+    if quarterly is not None and not quarterly.where(F.col(series) == target).isEmpty():
+        return monthly, quarterly.where(F.col(series) != target), quarterly.where((F.col(series) == target) & F.col(value).isNotNull()).select(date, value)
+    from palimpsest.functions.periods import quarter_end
+
+    own = monthly.where((F.col(series) == target) & F.col(value).isNotNull())
+    y = own.groupBy(quarter_end(F.col(date)).alias("__q")).agg(F.max_by(value, date).alias(value)).select(F.col("__q").alias(date), value)
+    return monthly.where(F.col(series) != target), quarterly, y

@@ -6,7 +6,7 @@ import importlib
 
 from palimpsest.plans import base
 
-MODULES = ["series_queries", "store_queries", "vintage_queries", "model_queries", "source_queries", "sink_queries"]
+MODULES = ["series_queries", "store_queries", "vintage_queries", "model_queries", "source_queries", "sink_queries", "search_queries", "metadata_queries", "build_queries"]
 
 
 def _loaded():

@@ -12,8 +12,7 @@ from palimpsest.sources import sinks
 
 
 def _place(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest"
-    return f"{root.rstrip('/')}/sink-{uuid.uuid4().hex}"
+    return f"{sinks.scratch(spark)}/sink-{uuid.uuid4().hex}"
 
 
 @query("partitioned_write", f"SELECT left(series_id, 1) AS provider, count(*) AS n, round(sum(value), 2) AS total FROM ({PANEL}) WHERE left(series_id, 1) IN ('A', 'R') GROUP BY 1")

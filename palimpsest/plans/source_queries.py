@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from palimpsest.plans.base import PANEL, REVISED, Tables, panel, query, revised
-from palimpsest.sources import files, paged, sdmx
+from palimpsest.sources import files, paged, sdmx, sinks
 from palimpsest.streaming import ingest
 
 
@@ -65,8 +65,7 @@ def paged_query(spark, sf):
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{sinks.scratch(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_append", f"SELECT series_id, period_date, event_type, count(*) AS n FROM (SELECT DISTINCT series_id, period_date, event_type FROM ({REVISED})) GROUP BY 1, 2, 3")

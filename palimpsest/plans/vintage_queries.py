@@ -95,10 +95,10 @@ def midas_stack(spark, sf):
     return d.select("series_id", "period_date", *(F.round(F.col("stack")[3 - k], 4).alias(f"t{k}") for k in (3, 2, 1, 0)))
 
 
-@query("locf_fill", f"SELECT target_quarter, label, series_id, period_date, round(last_value(value IGNORE NULLS) OVER (PARTITION BY target_quarter, label, series_id ORDER BY period_date ROWS UNBOUNDED PRECEDING), 4) AS filled FROM ({MASKED}) WHERE target_quarter = DATE '2000-12-31'")
+@query("locf_fill", f"SELECT target_quarter, label, series_id, period_date, round(last_value(value IGNORE NULLS) OVER (PARTITION BY target_quarter, label, series_id ORDER BY period_date ROWS UNBOUNDED PRECEDING), 4) AS filled FROM ({MASKED})")
 def locf_fill(spark, sf):
     t = Tables(spark, sf)
-    m = vt.visible(lagged_panel(t), cuts(t).where("target_quarter = date'2000-12-31'"))
+    m = vt.visible(lagged_panel(t), cuts(t))
     return vt.locf(m, ["target_quarter", "label", "series_id"]).select("target_quarter", "label", "series_id", "period_date", F.round("filled", 4).alias("filled"))
 
 
@@ -117,11 +117,11 @@ def growth(t: Tables):
 CORR = "covar_samp({x}, {y}) / nullif(stddev_samp({x}) * stddev_samp({y}), 0)"
 
 
-@query("corr_topn", f"SELECT series_id, n, round(corr, 6) AS corr FROM (SELECT series_id, count(*) AS n, {CORR.format(x='value', y='y')} AS corr FROM ({GROWTH}) JOIN (SELECT period_date, y FROM ({TARGET}) WHERE y IS NOT NULL) USING (period_date) WHERE value IS NOT NULL GROUP BY 1) ORDER BY abs(corr) DESC, series_id LIMIT 10")
+@query("corr_topn", f"SELECT series_id, n, round(CASE WHEN n > 5 THEN coalesce(c, 0) ELSE 0 END, 6) AS corr FROM (SELECT series_id, count(value) AS n, {CORR.format(x='CASE WHEN y IS NOT NULL THEN value END', y='CASE WHEN value IS NOT NULL THEN y END')} AS c FROM ({GROWTH}) JOIN (SELECT period_date, y FROM ({TARGET}) WHERE y IS NOT NULL) USING (period_date) GROUP BY 1) ORDER BY abs(CASE WHEN n > 5 THEN coalesce(c, 0) ELSE 0 END) DESC, series_id LIMIT 10")
 def corr_topn(spark, sf):
     t = Tables(spark, sf)
-    d = sc.correlations(growth(t), target(t).where("y is not null"))
-    return sc.top_n(d.where("n > 0"), 10).select("series_id", "n", F.round("corr", 6).alias("corr"))
+    d = sc.target_scores(growth(t), target(t).where("y is not null"))
+    return sc.top_n(d, 10).select("series_id", "n", F.round("corr", 6).alias("corr"))
 
 
 def _lagcorr() -> str:

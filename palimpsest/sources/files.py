@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
+import random
 import re
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -133,3 +137,38 @@ def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
 def read_results(spark: SparkSession, folder: str, pattern: str = "*predictions_*.csv") -> DataFrame:
     """All result files under a folder, however deep, with their file name; broken lines go to _corrupt_record."""
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).csv(folder, header=True, mode="PERMISSIVE").withColumn("file", F.col("_metadata.file_name"))
+
+
+def consolidated(spark: SparkSession, paths: list[str], date: str = "period_date") -> DataFrame:
+    """Wide chunk files with different columns as one long panel: series_id, date, value (null where a chunk has a gap)."""
+    out = None
+    for p in paths:
+        wide = spark.read.parquet(p)
+        long = wide.unpivot([date], [f"`{c}`" for c in wide.columns if c != date], "series_id", "value").withColumn("series_id", F.regexp_replace("series_id", "^`|`$", ""))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
+def first_config(paths: list[str]) -> dict:
+    """The first of the JSON files that is there; YAML too where its library is."""
+    for p in paths:
+        if os.path.exists(p):
+            with open(p) as f:
+                if p.endswith((".yml", ".yaml")):
+                    import yaml
+
+                    return yaml.safe_load(f)
+                return json.load(f)
+    raise FileNotFoundError(", ".join(paths))
+
+
+def with_retry(read: Callable[[], DataFrame], tries: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """read(), again after a pause that doubles, with up to a second of jitter, until the tries are used up."""
+    for k in range(tries):
+        try:
+            return read()
+        except Exception:
+            if k == tries - 1:
+                raise
+            sleep(wait**k + random.random())
+    raise ValueError("tries must be 1 or more")

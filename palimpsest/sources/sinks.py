@@ -9,6 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where they are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file:///tmp/palimpsest"
+    return root.rstrip("/")
+
+
 def write_long(df: DataFrame, path: str, by: list[str] = ("provider",), mode: str = "overwrite") -> None:
     """Hive-partitioned long panel, clustered by series inside each file so that min/max statistics prune."""
     sort = [c for c in ("series_id", "period_date") if c in df.columns]

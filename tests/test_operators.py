@@ -211,17 +211,6 @@ def test_selectors_find_what_matters():
     assert sl.Identity().fit(x).transform(x) is x
 
 
-def test_factor_nowcast_recovers_a_common_factor_through_gaps():
-    rng = np.random.default_rng(7)
-    f = np.zeros(150)
-    for t in range(1, 150):
-        f[t] = 0.8 * f[t - 1] + rng.normal()
-    x = np.outer(f, np.ones(10)) + 0.5 * rng.normal(size=(150, 10))
-    x = (x - x.mean(axis=0)) / x.std(axis=0)
-    x[-2:, 3:] = np.nan
-    assert abs(np.corrcoef(md.factor_nowcast(x, 1)[:, 0], f)[0, 1]) > 0.95
-
-
 def test_cached_decisions_hold_while_series_hardly_grow(spark):
     from palimpsest.sources.sinks import audit_row, reuse_cache
 
