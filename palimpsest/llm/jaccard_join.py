@@ -14,8 +14,8 @@
    round takes all lists, and derives a set's answers from that one's: whatever is in the component already needs no
    comparison, and only pairs that would join two components are looked at. Pairs are verified on whole sets, but for
    those whose parity bits differ in too many places to be linked.
-   A list with more than ``block`` sets within reach is compared in square tiles of bounded bytes, in one pass of
-   matrix products over parity bits; pairs that pass and lie in two components are verified. A tile with very many of
+   A list with more than ``block`` sets within reach is compared in square tiles of bounded bytes, by counts of the
+   places in which parity bits differ; pairs that pass and lie in two components are verified. A tile with very many of
    them is compared on whole sets instead, and only links that connect something leave it.
 5. Components come from forests of verified links. Links inside a component that are not needed for it are never
    computed, so there is no number of links.
@@ -286,15 +286,17 @@ def _tile_pairs(rows: list[tuple], cross: bool, percent: int) -> Iterator[tuple[
     for w in np.unique(width).tolist():
         own, others = np.flatnonzero(width == w), np.flatnonzero(width >= w)
         # Wider bits are folded to this width, which keeps parities.
-        bits = np.stack([np.unpackbits(np.bitwise_xor.reduce(np.reshape(rows[k][4], (-1, w // 64)), axis=0).view(np.uint8)) for k in others]).astype(np.float32)
-        ones, at = bits.sum(axis=1), np.searchsorted(others, own)
-        for k in range(0, len(own), 256):
-            mine, i = at[k : k + 256], own[k : k + 256, None]
+        bits = np.stack([np.bitwise_xor.reduce(np.reshape(rows[k][4], (-1, w // 64)), axis=0) for k in others], axis=1).view(np.uint64)
+        at = np.searchsorted(others, own)
+        for k in range(0, len(own), 64):
+            mine, i = at[k : k + 64], own[k : k + 64, None]
             j = others[None, :]
-            differ = ones[mine, None] + ones[None, :] - 2 * (bits[mine] @ bits.T)
-            ok = differ * (100 + percent) <= (100 - percent) * (size[i] + size[j]) + 0.5
-            ok &= (size[i] * 100 >= percent * size[j]) & (size[j] * 100 >= percent * size[i]) & (component[i] != component[j])
+            ok = (size[i] * 100 >= percent * size[j]) & (size[j] * 100 >= percent * size[i]) & (component[i] != component[j])
             ok &= ((width[j] > w) | (i < j)) & ((side[i] != side[j]) if cross else True)
+            differ = np.zeros(ok.shape, np.int32)
+            for word in bits:
+                differ += np.bitwise_count(word[mine, None] ^ word[None, :])
+            ok &= differ * (100 + percent) <= (100 - percent) * (size[i] + size[j])
             x, y = np.nonzero(ok)
             yield i[x, 0], others[y]
 
@@ -422,7 +424,7 @@ class _Verifier:
         return self.kept(met.select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either")))
 
 
-def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 64, early: int = 6, tile: int = 1 << 21, frequent: int = 32, most_frequent: int = 500_000, most_rows: int = 50_000, most_pairs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 64, early: int = 6, tile: int = 1 << 22, frequent: int = 32, most_frequent: int = 500_000, most_rows: int = 50_000, most_pairs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, links): every row's class, one node for each class, and all verified links that components need."""
     docs = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), FILE, ROW)
     rows = written(_classes(docs, size))

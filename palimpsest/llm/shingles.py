@@ -73,7 +73,7 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
-def in_chunks(texts: list[str | None], most: int = 1 << 20):
+def in_chunks(texts: list[str | None], most: int = 1 << 18):
     """(first, last) ranges of texts of about ``most`` characters in all; a longer text is a range of its own."""
     first, held = 0, 0
     for k, t in enumerate(texts):
