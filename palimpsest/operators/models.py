@@ -352,18 +352,22 @@ def evaluated(built: DataFrame, model: str, params: dict | None = None, series:
     """target_quarter, label, model, predicted, n_train, n_features, status: each vintage is fitted in a task of its own.
 
     built comes from vintage.build: its target rows have the series "__target"; the last one, of the target quarter, is
-    what is predicted, from the features known at the cutoff.
+    what is predicted, from the features known at the cutoff (each one's last value where the quarter has none yet).
     """
     kind, options = _model(model), params or {}
     names = ["target_quarter", "label", "model", "predicted", "n_train", "n_features", "status"]
 
     def run(key, d: pd.DataFrame) -> pd.DataFrame:
         w = _wide(d, series, date, value)
+        if not any(pd.Timestamp(i) == pd.Timestamp(key[0]) for i in w.index):  # nothing is known of the target quarter yet
+            w.loc[pd.Timestamp(key[0]) if isinstance(w.index, pd.DatetimeIndex) else key[0]] = np.nan
         predicted, n_train, n_features, status = np.nan, 0, 0, "failed: no target"
         at = np.asarray([pd.Timestamp(i) == pd.Timestamp(key[0]) for i in w.index])
         if "__target" in w and at.any():
             train = w["__target"].notna().to_numpy() & ~at
-            f = w.drop(columns="__target")
+            f = w.drop(columns="__target").astype(float)
+            if f[at].isna().all(axis=None):
+                f[at] = f.ffill()[at]  # the last known values stand for a quarter that has none
             f = f.loc[:, (f[train].notna().sum() > 1) & f[at].notna().any()]
             n_train, n_features = int(train.sum()), f.shape[1]
             try:
