@@ -6,6 +6,7 @@ from palimpsest.llm.bpe import op2_bpe
 from palimpsest.llm.classifier import op8_classifier
 from palimpsest.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from palimpsest.llm.jaccard_join import op7_jaccard_join
+from palimpsest.llm.line_dedup import OP11_SQL, op11_line_dedup
 from palimpsest.llm.packing import op9_packing
 from palimpsest.llm.quality_rules import OP4_SQL, op4_quality_rules
 from palimpsest.llm.secrets import op5_secrets
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_classifier": op8_classifier,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
+        "op11_line_dedup": op11_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_url_filters": OP10_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_line_dedup": OP11_SQL}
