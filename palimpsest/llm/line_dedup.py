@@ -213,7 +213,8 @@ def drop_repeated_lines(docs: DataFrame, least: int = 5, min_chars: int = 40, **
 
         return call
 
-    marked = docs.join(repeated_lines(docs, least, min_chars, **options), [FILE, ROW], "left").select(F.col("doc_id").cast("long"), "text", "places")
+    # A merge join at every size: places grow with the documents, and texts are shuffled once.
+    marked = docs.join(repeated_lines(docs, least, min_chars, **options).hint("merge"), [FILE, ROW], "left").select(F.col("doc_id").cast("long"), "text", "places")
     return map_batches(marked, "doc_id long, n_lines long, n_dropped long, text string", make)
 
 
