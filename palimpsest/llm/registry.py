@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from palimpsest.llm.bpe import op2_bpe
 from palimpsest.llm.classifier import op8_classifier
+from palimpsest.llm.collocations import OP12_SQL, op12_collocations
 from palimpsest.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from palimpsest.llm.jaccard_join import op7_jaccard_join
 from palimpsest.llm.line_dedup import OP11_SQL, op11_line_dedup
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
         "op11_line_dedup": op11_line_dedup,
+        "op12_collocations": op12_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_line_dedup": OP11_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_collocations": OP12_SQL}
