@@ -6,6 +6,7 @@ from palimpsest.llm.bpe import op2_bpe
 from palimpsest.llm.classifier import op8_classifier
 from palimpsest.llm.collocations import OP12_SQL, op12_collocations
 from palimpsest.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from palimpsest.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from palimpsest.llm.jaccard_join import op7_jaccard_join
 from palimpsest.llm.line_dedup import OP11_SQL, op11_line_dedup
 from palimpsest.llm.packing import op9_packing
@@ -30,8 +31,9 @@ def queries() -> dict:
         "op10_url_filters": op10_url_filters,
         "op11_line_dedup": op11_line_dedup,
         "op12_collocations": op12_collocations,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_collocations": OP12_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op10_url_filters": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_collocations": OP12_SQL, "op13_hard_negatives": OP13_SQL}
