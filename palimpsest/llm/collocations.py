@@ -242,7 +242,7 @@ class _Shard:
                 yield from made(langs.take(pa.array(ids[at])), phrase, shortest[k : k + 100_000], count[k : k + 100_000])
 
 
-def phrase_states(texts: DataFrame, longest: int, bits: int, maps: list[Broadcast], words: int = 1 << 22, letters: int = 64 << 20) -> DataFrame:
+def phrase_states(texts: DataFrame, longest: int, bits: int, maps: list[Broadcast], words: int = 1 << 19, letters: int = 16 << 20) -> DataFrame:
     """lang, phrase, shortest, count of the states of all shards' automata; the root has the empty phrase."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("shortest", pa.int32()), ("count", pa.int64())])
 
@@ -264,7 +264,7 @@ def _joined(words: Column) -> Column:
     return F.array_join(words, " ")
 
 
-def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, bits: int = 24, words: int = 1 << 22) -> DataFrame:
+def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, bits: int = 26, words: int = 1 << 19) -> DataFrame:
     """lang, phrase, f of every phrase of up to longest words with f >= least; the empty phrase has the number of words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     maps: list[Broadcast] = []
