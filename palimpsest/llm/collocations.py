@@ -3,12 +3,12 @@
 Texts, A-Z lower-cased, are split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those at blanks and tabs into words. f(phrase)
 is the number of contiguous occurrences of a phrase of up to ``longest`` words within pieces of its language.
 
-1. Every phrase that is counted ``least`` times has only words and shorter parts that are. For words, and then for
-   pairs, tasks add up hashed counts in an array of fixed size (each count up to ``least``, so nothing overflows),
+1. Every phrase that is counted ``least`` times has only words and shorter parts that are. Length by length,
+   tasks add up hashed counts in an array of fixed size (each count up to ``least``, so nothing overflows),
    and the sums become a bitmap of 2**``bits`` bits. A phrase whose bit is unset is rarer than ``least`` for certain; a
    shared bit costs work, never a result. These bitmaps are all that is broadcast.
-2. Tasks cut their share of the texts at words and pairs whose bits are unset, and hold the runs that remain, up to
-   ``words`` of them at a time, in a suffix automaton of bounded depth (PhraseAutomaton). Its states are classes of phrases that end at the
+2. Tasks cut their share of the texts at phrases whose bits are unset, and hold the runs that remain, up to ``words``
+   words at a time, in a suffix automaton of bounded depth (PhraseAutomaton). Its states are classes of phrases that end at the
    same places; the root's end positions are all words. A state leaves as its longest phrase, the length of its shortest
    one and the count, and is unfolded into all its phrases afterwards.
 3. Counts are added up by language and phrase. Candidates look up the counts of their parts; a candidate's suffix link
@@ -85,15 +85,14 @@ def _grams(hashes: np.ndarray, follows: np.ndarray, maps: list[np.ndarray], bits
 
 
 class PhraseAutomaton:
-    """Suffix automaton, to a depth of ``longest``, of the runs of words ids; joined: a word continues the run before it.
+    """Suffix automaton, to a depth of ``longest``, of words ids; depth: the words of the longest phrase that ends at each.
 
     Level d has the phrases of d words. end: a place where a phrase ends; link: its suffix link's row one level below;
     count: its end positions. A phrase and its link that end at the same places are one state.
     """
 
-    def __init__(self, ids: np.ndarray, joined: np.ndarray, longest: int):
-        self.ids, places = ids, np.arange(len(ids))
-        run = places - np.maximum.accumulate(np.where(joined, 0, places)) + 1
+    def __init__(self, ids: np.ndarray, depth: np.ndarray, longest: int):
+        self.ids, places, run = ids, np.arange(len(ids)), depth
         n = int(ids.max()) + 1 if len(ids) else 0
         state, self.end, self.link, tops = ids.astype(np.int64), [np.zeros(n, np.int64)], [np.zeros(n, np.int64)], []
         self.end[0][ids[::-1]] = places[::-1]
@@ -198,7 +197,7 @@ class _Shard:
         self.words: list[bytes] = []
         self.lang: list[str] = []
         self.ids: list[np.ndarray] = []
-        self.joined: list[np.ndarray] = []
+        self.depth: list[np.ndarray] = []
         self.total: dict[str, int] = {}
         self.held = self.letters = 0
 
@@ -206,10 +205,9 @@ class _Shard:
         data, start, stop, text, follows, hashes = _words(texts, salts)
         for k, n in enumerate(np.bincount(text, minlength=len(texts)).tolist()):
             self.total[langs[k]] = self.total.get(langs[k], 0) + n
-        # Words whose own bit is unset go; a pair whose bit is set joins its second word to the first.
-        possible = _grams(hashes, follows, maps, bits)[2]
-        at = np.flatnonzero(possible[0]) if possible else np.arange(len(hashes))
-        joined = possible[1] if len(possible) > 1 else follows & possible[0] & _back(possible[0]) if possible else follows
+        # Words whose own bit is unset go; the others end phrases as long as bits are set.
+        depth = sum(x.astype(np.int64) for x in _grams(hashes, follows, maps, bits)[2])
+        at = np.flatnonzero(depth)
         distinct, first, row = np.unique(hashes[at], return_index=True, return_inverse=True)
         own = np.empty(len(distinct), np.int64)
         for k, (h, place) in enumerate(zip(distinct.tolist(), at[first].tolist())):
@@ -220,7 +218,7 @@ class _Shard:
                 self.letters += len(self.words[-1])
             own[k] = got
         self.ids.append(own[row])
-        self.joined.append(joined[at])
+        self.depth.append(depth[at])
         self.held += len(at)
 
     def states(self, longest: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -234,7 +232,7 @@ class _Shard:
             return
         words, langs = pa.array(self.words, pa.binary()).cast(pa.string()), pa.array(self.lang, pa.string())
         ids = np.concatenate(self.ids)
-        for length, end, shortest, count in PhraseAutomaton(ids, np.concatenate(self.joined), longest).states():
+        for length, end, shortest, count in PhraseAutomaton(ids, np.concatenate(self.depth), longest).states():
             for k in range(0, len(end), 100_000):
                 at = end[k : k + 100_000]
                 parts = [words.take(pa.array(ids[at - back])) for back in range(length - 1, -1, -1)]
@@ -268,7 +266,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, bits: int
     """lang, phrase, f of every phrase of up to longest words with f >= least; the empty phrase has the number of words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     maps: list[Broadcast] = []
-    for _ in range(min(longest - 1, 2)):
+    for _ in range(longest):
         maps.append(_bitmap(texts, least, bits, maps))
     w = F.split("phrase", " ")
     inner = F.transform(F.sequence("shortest", F.size(w)), lambda k: _joined(F.slice(w, -k, k)))

@@ -81,7 +81,7 @@ def test_states_are_classes_of_equal_end_positions(longest):
     r = random.Random(longest)
     runs = [[r.randrange(4) for _ in range(r.randrange(1, 12))] for _ in range(40)]
     ids = np.asarray([x for run in runs for x in run])
-    joined = np.asarray([k > 0 for run in runs for k in range(len(run))])
+    depth = np.asarray([min(k + 1, longest) for run in runs for k in range(len(run))])
     ends, at = defaultdict(set), 0
     for run in runs:
         for e in range(len(run)):
@@ -89,7 +89,7 @@ def test_states_are_classes_of_equal_end_positions(longest):
                 ends[tuple(run[e - k + 1 : e + 1])].add(at + e)
         at += len(run)
     found, classes = {}, Counter(map(frozenset, ends.values()))
-    for length, end, shortest, count in collocations.PhraseAutomaton(ids, joined, longest).states():
+    for length, end, shortest, count in collocations.PhraseAutomaton(ids, depth, longest).states():
         for e, low, n in zip(end.tolist(), shortest.tolist(), count.tolist()):
             phrases = [tuple(ids[e - k + 1 : e + 1].tolist()) for k in range(low, length + 1)]
             assert len({frozenset(ends[p]) for p in phrases}) == 1 and classes[frozenset(ends[phrases[0]])] == len(phrases)
