@@ -293,8 +293,11 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     links = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("k") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("k") - n + 1), lambda i: _joined(F.slice("w", i, n))))))
     over = found.where("k > 2").select("lang", links.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = scored.join(over, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("lowest.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    ranked = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(32)))
+    # First in 32 parts of each language, so that its last task reads 32 * top rows whatever the number of partitions.
+    for within in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*within).orderBy(F.desc("lowest.score"), F.desc("a"), "phrase")
+        ranked = ranked.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     totals = maybe_broadcast(counts.where("phrase = ''").select("lang", F.col("f").alias("n")), 64)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "lowest.l", "lowest.r", "n", "lowest.score")
 
