@@ -113,9 +113,12 @@ def fitted(x: np.ndarray, factors: int = 1, order: int = 1, rounds: int = 50, to
 class DynamicFactor(Model):
     """The target is one more series of the panel; its nowcast is what the filtered factors say of it.
 
-    Series without values or variance in training take no part. Test rows follow training rows in time.
+    Series without values or variance in training take no part. Test rows follow training rows in time. Rows without a
+    target (nan) move the factors like any other.
     """
 
+    gaps = True
+
     def __init__(self, factors: int = 2, order: int = 1, rounds: int = 50):
         self.factors, self.order, self.rounds = factors, order, rounds
 

@@ -279,48 +279,6 @@ def bvar_by_group(panel: DataFrame, group: str, lags: int = 2, steps: int = 3, b
 MODELS: dict[str, type[Model]] = {"elastic_net": ElasticNet, "ridge": Ridge, "pca_regression": PrincipalComponents}
 
 
-def _model(name: str) -> type[Model]:
-    if name == "dynamic_factor":
-        from palimpsest.operators.factor_model import DynamicFactor
-
-        return DynamicFactor
-    return MODELS[name]
-
-
-def backtest(panel: DataFrame, target: DataFrame, folds: DataFrame, model: str, params: dict | None = None, series: str = "series_id", date: str = "period_date", value: str = "value", y: str = "y") -> DataFrame:
-    """fold, target_date, model, actual, predicted, n_features, status: every fold is fitted in a task of its own."""
-    from pyspark.sql import functions as F
-
-    from palimpsest.operators.sizes import broadcast_if_small
-
-    kind, options = _model(model), params or {}
-    small = broadcast_if_small(folds)
-    x = panel.join(small, F.col(date).between(F.col("train_start"), F.col("test_end"))).select("fold", "train_end", date, series, value)
-    t = target.join(small, F.col(date).between(F.col("train_start"), F.col("test_end"))).select("fold", "train_end", date, F.lit("__target").alias(series), F.col(y).alias(value))
-
-    def run(key, d: pd.DataFrame) -> pd.DataFrame:
-        names = ["fold", "target_date", "model", "actual", "predicted", "n_features", "status"]
-        w = _wide(d, series, date, value)
-        if "__target" not in w:
-            return pd.DataFrame(columns=names)
-        w = w[w["__target"].notna()]
-        train = np.asarray([pd.Timestamp(i) <= pd.Timestamp(d["train_end"].iloc[0]) for i in w.index])
-        f = w.drop(columns="__target")
-        f = f.loc[:, f[train].notna().sum() > 1]
-        test = w.index[~train]
-        try:
-            if train.sum() < 5 or f.shape[1] == 0:
-                raise ValueError("too little data")
-            out, status = kind(**options).fit(f[train].to_numpy(float), w.loc[train, "__target"].to_numpy(float)).predict(f[~train].to_numpy(float)), "success"
-        except (ValueError, np.linalg.LinAlgError) as e:
-            out, status = np.full(len(test), np.nan), f"failed: {e}"
-        rows = [(int(key[0]), i, model, float(w.loc[i, "__target"]), None if np.isnan(p) else float(p), f.shape[1], status) for i, p in zip(test, out)]
-        return pd.DataFrame(rows, columns=names)
-
-    schema = "fold int, target_date date, model string, actual double, predicted double, n_features int, status string"
-    return x.unionByName(t).groupBy("fold").applyInPandas(run, schema)
-
-
 def bridge(panel: DataFrame, target: DataFrame, p: int = 2, rule: str = "mean", series: str = "series_id", date: str = "period_date", value: str = "value", y: str = "y") -> DataFrame:
     """series_id, target_date, predicted: each series is carried by AR(p) to its quarter's end, averaged, and regressed on."""
     q = target.select(date, y).toPandas().dropna() if target.limit(10_001).count() <= 10_000 else None  # one low-frequency series
@@ -354,7 +312,9 @@ def evaluated(built: DataFrame, model: str, params: dict | None = None, series:
     built comes from vintage.build: its target rows have the series "__target"; the last one, of the target quarter, is
     what is predicted, from the features known at the cutoff (each one's last value where the quarter has none yet).
     """
-    kind, options = _model(model), params or {}
+    from palimpsest.operators.backtests import model_class
+
+    kind, options = model_class(model), params or {}
     names = ["target_quarter", "label", "model", "predicted", "n_train", "n_features", "status"]
 
     def run(key, d: pd.DataFrame) -> pd.DataFrame:
@@ -381,41 +341,3 @@ def evaluated(built: DataFrame, model: str, params: dict | None = None, series:
 
     schema = "target_quarter date, label int, model string, predicted double, n_train int, n_features int, status string"
     return built.select("target_quarter", "label", series, date, value).groupBy("target_quarter", "label").applyInPandas(run, schema)
-
-
-def prepared(panel: DataFrame, lag: int = 12, most_diffs: int = 2, winsor: float | None = 5.0, strict: bool = True, least: int = 36, least_years: float = 6.4, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
-    """A report row for each series and its prepared values as two arrays (dates, values).
-
-    Too few values, too short a span and constant series are dropped with their reason. Positive series become yearly log
-    differences, others yearly differences; then first differences follow as long as KPSS rejects stationarity, at most
-    most_diffs. A series that it still rejects is dropped when strict, else kept with the status 'nonstationary'. Values
-    are cut at winsor interquartile ranges beyond the quartiles (None leaves them).
-    """
-    names = [series, "dropped_reason", "transform_applied", "span_years", "initial_non_nan", "final_non_nan", "d0_kpss_p", "diffs_used", "status", "dates", "values"]
-
-    def run(key, d: pd.DataFrame) -> pd.DataFrame:
-        d = d.dropna(subset=[value]).sort_values(date)
-        x, days = d[value].to_numpy(float), pd.to_datetime(d[date])
-        n, years = len(x), (days.iloc[-1] - days.iloc[0]).days / 365.25 if len(x) else 0.0
-        reason = "min_obs" if n < least else "min_span" if years < least_years else "constant" if x.min() == x.max() else None
-        rule, z, p0, used, status = None, x, None, 0, "dropped"
-        if reason is None:
-            rule = f"dlog{lag}" if (x > 0).all() else f"diff{lag}"
-            base = np.log(x) if (x > 0).all() else x
-            z = base[lag:] - base[:-lag]
-            p = p0 = kpss(z)
-            while p is not None and p < 0.05 and used < most_diffs:
-                z, used = np.diff(z), used + 1
-                p = kpss(z)
-            status = "ok" if p is None or p >= 0.05 else "nonstationary"
-            if status == "nonstationary" and strict:
-                reason, status = "nonstationary", "dropped"
-            elif winsor is not None and len(z):
-                lo, hi = np.quantile(z, [0.25, 0.75])
-                z = np.clip(z, lo - winsor * (hi - lo), hi + winsor * (hi - lo))
-        kept = reason is None
-        row = (key[0], reason, rule, years, n, len(z) if kept else 0, p0, used, status, [i.date() for i in days.iloc[n - len(z) :]] if kept else [], z.tolist() if kept else [])
-        return pd.DataFrame([row], columns=names)
-
-    schema = f"{series} string, dropped_reason string, transform_applied string, span_years double, initial_non_nan int, final_non_nan int, d0_kpss_p double, diffs_used int, status string, dates array<date>, values array<double>"
-    return panel.select(series, date, value).groupBy(series).applyInPandas(run, schema)

@@ -15,6 +15,41 @@ class Identity:
         return x
 
 
+class Correlated:
+    """The k columns of largest absolute correlation with the target over pairs without gaps, ties by position."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def fit(self, x, y):
+        score = np.zeros(x.shape[1])
+        for j in range(x.shape[1]):
+            ok = ~(np.isnan(x[:, j]) | np.isnan(y))
+            a, b = x[ok, j], y[ok]
+            if ok.sum() > 2 and a.std() > 1e-12 and b.std() > 1e-12:
+                score[j] = abs(np.corrcoef(a, b)[0, 1])
+        self.columns = np.sort(np.argsort(-score, kind="stable")[: self.k])
+        return self
+
+    def transform(self, x):
+        return x[:, self.columns]
+
+
+class Varying:
+    """Columns whose variance in training is above ``least``."""
+
+    def __init__(self, least: float = 1e-12):
+        self.least = least
+
+    def fit(self, x, y=None):
+        with np.errstate(all="ignore"):
+            self.columns = np.flatnonzero(np.nan_to_num(np.nanvar(np.where(np.isnan(x).all(axis=0), 0.0, x), axis=0)) > self.least)
+        return self
+
+    def transform(self, x):
+        return x[:, self.columns]
+
+
 class Penalised(Standardised):
     """Columns with non-zero elastic-net weights, at most ``most``; the five largest least-squares weights if there is none."""
 
@@ -106,3 +141,30 @@ class Informative:
 
     def transform(self, x):
         return x[:, self.columns]
+
+
+KINDS = {"identity": Identity, "correlated": Correlated, "varying": Varying, "penalised": Penalised, "components": Components, "factors": Factors, "informative": Informative}
+
+
+class Chain:
+    """Selectors and compressors applied in turn, each learnt from what the one before leaves of the training rows.
+
+    A chain is a value, (name, options) pairs: every fit starts from it anew, so that nothing goes from one fold to another.
+    """
+
+    def __init__(self, steps=()):
+        self.steps = [(name, dict(options)) for name, options in steps]
+
+    def fit(self, x, y):
+        self.fitted = []
+        for name, options in self.steps:
+            self.fitted.append(KINDS[name](**options).fit(x, y))
+            x = self.fitted[-1].transform(x)
+            if not x.shape[1]:
+                raise ValueError(f"no column is left after {name}")
+        return self
+
+    def transform(self, x):
+        for step in self.fitted:
+            x = step.transform(x)
+        return x

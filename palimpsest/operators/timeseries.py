@@ -43,10 +43,11 @@ def resample(df: DataFrame, to: str = "month", rule: str = "mean", fill_grid: bo
     return dense(out, to, series, date) if fill_grid and to != "week" else out
 
 
-def impute_gaps(df: DataFrame, most: int = 3, series: str = SERIES, date: str = DATE, value: str = VALUE) -> DataFrame:
+def impute_gaps(df: DataFrame, most: int = 3, run_length: str | None = None, series: str = SERIES, date: str = DATE, value: str = VALUE) -> DataFrame:
     """df (dense) with filled and was_imputed: runs of up to ``most`` nulls between two values on a straight line.
 
-    A run of one becomes its neighbours' mean by the same formula; longer runs and runs at an edge stay null.
+    A run of one becomes its neighbours' mean by the same formula; longer runs and runs at an edge stay null. run_length
+    names a further column with the length of the run that a null is in.
     """
     w = by_series(series, date)
     before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
@@ -62,6 +63,8 @@ def impute_gaps(df: DataFrame, most: int = 3, series: str = SERIES, date: str =
     line = F.col("__pv") + (F.col("__nv") - F.col("__pv")) * (F.col("__n") - F.col("__pn")) / (run + 1)
     missing = F.col(value).isNull()
     out = out.withColumn("filled", F.when(~missing, F.col(value)).when(run.between(1, most), line))
+    if run_length:
+        out = out.withColumn(run_length, F.when(missing, run))
     return out.withColumn("was_imputed", missing & F.col("filled").isNotNull()).drop("__n", "__pv", "__pn", "__nv", "__nn")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.operators import backtests as bt
 from palimpsest.operators import evaluation as ev
 from palimpsest.operators import models as md
 from palimpsest.operators import quality as qu
@@ -66,7 +67,7 @@ def _growth(t: Tables):
 def umidas_backtest(spark, sf):
     t = Tables(spark, sf)
     y = target(t).where("y is not null")
-    return md.backtest(vt.umidas(_growth(t)).where("value is not null"), y, ev.folds(y, 10, 1), "ridge", {"alpha": 1.0})
+    return bt.backtest(vt.umidas(_growth(t)).where("value is not null"), y, ev.folds(y, 10, 1), "ridge", {"alpha": 1.0})
 
 
 @query("dfm_nowcast")
@@ -74,7 +75,7 @@ def dfm_nowcast(spark, sf):
     """Expanding-window nowcasts of the dynamic factor model."""
     t = Tables(spark, sf)
     y = target(t).where("y is not null")
-    return md.backtest(_growth(t).where("value is not null"), y, ev.folds(y, 10, 1), "dynamic_factor", {"factors": 1, "order": 1})
+    return bt.backtest(_growth(t).where("value is not null"), y, ev.folds(y, 10, 1), "dynamic_factor", {"factors": 1, "order": 1})
 
 
 @query("dfm_vintages")
@@ -82,15 +83,49 @@ def dfm_vintages(spark, sf):
     return md.evaluated(built(Tables(spark, sf), "none"), "dynamic_factor", {"factors": 1, "order": 1})
 
 
+_PREPARED = f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY period_date) AS n FROM ({GAPPY_DENSE})), k AS (
+    SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN value IS NOT NULL THEN n END IGNORE NULLS) OVER b AS pn,
+           first_value(value IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN value IS NOT NULL THEN n END IGNORE NULLS) OVER a AS nn FROM n
+    WINDOW b AS (PARTITION BY series_id ORDER BY period_date ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY series_id ORDER BY period_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  ), i AS (SELECT series_id, period_date, value, nn - pn - 1 AS run, CASE WHEN value IS NOT NULL THEN value WHEN nn - pn - 1 BETWEEN 1 AND 3 THEN pv + (nv - pv) * (n - pn) / (nn - pn) END AS filled FROM k),
+  look AS (SELECT series_id, coalesce(max(CASE WHEN value IS NOT NULL THEN period_date END) - min(CASE WHEN value IS NOT NULL THEN period_date END), 0) / 365.25 AS span_years, count(value) AS initial_non_nan,
+      CAST(count_if(value IS NULL AND filled IS NOT NULL AND run = 1) AS BIGINT) AS gaps_avg_1, CAST(count_if(value IS NULL AND filled IS NOT NULL AND run > 1) AS BIGINT) AS gaps_linear_23 FROM i GROUP BY 1),
+  c AS (SELECT series_id, period_date, e - avg(e) OVER (PARTITION BY series_id) AS c FROM (SELECT series_id, period_date, filled - lag(filled) OVER (PARTITION BY series_id ORDER BY period_date) AS e FROM i WHERE filled IS NOT NULL) WHERE e IS NOT NULL),
+  acf AS (SELECT series_id, count(c) AS n, sum(c * l) / sum(c * c) AS acf FROM (SELECT *, lag(c, 12) OVER (PARTITION BY series_id ORDER BY period_date) AS l FROM c) GROUP BY 1),
+  seas AS (SELECT look.*, CASE WHEN span_years < 5 THEN 'too_short_span' WHEN initial_non_nan < 36 THEN 'too_few_obs_initial' END AS dropped_reason, coalesce(n + 1 > 24 AND n > 12 AND acf > 0.2, false) AS is_seasonal FROM look LEFT JOIN acf USING (series_id)),
+  z AS (SELECT series_id, CASE WHEN is_seasonal THEN v - lag(v, 12) OVER w ELSE v - lag(v) OVER w END AS z FROM (
+      SELECT series_id, period_date, is_seasonal, CASE WHEN min(filled) OVER (PARTITION BY series_id) > 0 THEN ln(filled) ELSE filled END AS v FROM i JOIN seas USING (series_id) WHERE dropped_reason IS NULL) WINDOW w AS (PARTITION BY series_id ORDER BY period_date))
+  SELECT series_id, round(span_years, 6) AS span_years, initial_non_nan, gaps_avg_1, gaps_linear_23, dropped_reason, CASE WHEN dropped_reason IS NULL THEN is_seasonal END AS is_seasonal, n_z, total FROM seas
+  LEFT JOIN (SELECT series_id, count(z) AS n_z, round(sum(z), 6) AS total FROM z GROUP BY 1) USING (series_id)"""
+
+
+@query("preparation_stages", _PREPARED)
+def preparation_stages(spark, sf):
+    """All of preparation but the stationarity test: calendar, gaps, first checks, seasonality, base transformation."""
+    from palimpsest.operators import preparation as pr
+
+    dense = pr.regular(gappy(Tables(spark, sf)))
+    look = pr.first_look(dense, 36, 5.0)
+    going = dense.join(look.where("dropped_reason is null").select("series_id"), "series_id", "left_semi")
+    found = pr.seasonality(going)
+    z = pr.base_transformed(going, found).groupBy("series_id").agg(F.count("z").alias("n_z"), F.round(F.sum("z"), 6).alias("total"))
+    d = look.join(found.select("series_id", "is_seasonal"), "series_id", "left").join(z, "series_id", "left")
+    return d.select("series_id", F.round("span_years", 6).alias("span_years"), "initial_non_nan", "gaps_avg_1", "gaps_linear_23", "dropped_reason", "is_seasonal", "n_z", "total")
+
+
 @query("preparation_report")
 def preparation_report(spark, sf):
-    return md.prepared(gappy(Tables(spark, sf))).drop("dates", "values")
+    from palimpsest.operators import preparation as pr
+
+    return pr.prepared(gappy(Tables(spark, sf)), least=36, least_years=5.0)[0]
 
 
 @query("mixed_preparation_report")
 def mixed_preparation_report(spark, sf):
     """The options of mixed-frequency preparation: one further difference, no cutting, nonstationary series stay."""
-    return md.prepared(gappy(Tables(spark, sf)), most_diffs=1, winsor=None, strict=False).drop("dates", "values")
+    from palimpsest.operators import preparation as pr
+
+    return pr.prepared(gappy(Tables(spark, sf)), mixed=True, least=36, least_years=5.0, ragged_limit=4)[0]
 
 
 @query("input_problems", f"""SELECT series_id, CASE WHEN count(value) = 0 THEN 'all_null' WHEN count(CASE WHEN value IS NOT NULL AND known THEN 1 END) = 0 THEN 'no_overlap' END AS problem
@@ -137,9 +172,12 @@ def chunk_consolidation(spark, sf):
     return out.groupBy("series_id").agg(F.count("value").alias("n"), F.round(F.sum("value"), 2).alias("total")).where("n > 0")
 
 
-@query("flow_ingest", f"SELECT status, rows_inserted, n FROM (SELECT 'ok' AS status, count(*) AS rows_inserted, count(*) AS n FROM (SELECT DISTINCT series_id, period_date, observed_at FROM ({REVISED})) UNION ALL SELECT 'skipped', 0, (SELECT count(*) FROM (SELECT DISTINCT series_id, period_date, observed_at FROM ({REVISED}))))")
+_KEYS = f"SELECT count(*) FROM (SELECT DISTINCT series_id, period_date, observed_at FROM ({REVISED}))"
+
+
+@query("flow_ingest", f"SELECT run, status, rows_inserted, n FROM (VALUES (0, 'ok'), (1, 'skipped'), (2, 'ok'), (3, 'ok')) r(run, status), (SELECT ({_KEYS}) AS n), LATERAL (SELECT CASE WHEN run = 0 THEN n ELSE 0 END AS rows_inserted)")
 def flow_ingest(spark, sf):
-    """One flow twice: the first run stores every key, the second finds the payload's digest and stores nothing."""
+    """One flow four times: all of it, the same again, with values gone, and as at first: only a scope's last release counts."""
     import uuid
 
     from palimpsest.sources import sinks
@@ -147,6 +185,7 @@ def flow_ingest(spark, sf):
 
     root = f"{sinks.scratch(spark)}/flow-{uuid.uuid4().hex}"
     rows = revised(Tables(spark, sf)).select("series_id", "period_date", "observed_at", "value", "event_id")
-    logs = [ingest_flow(rows, root, ["series_id", "period_date", "observed_at"], tie="event_id") for _ in range(2)]
+    gone = rows.withColumn("value", F.when(F.col("event_id") % 2 == 0, F.col("value")))
+    logs = [ingest_flow(d, root, ["series_id", "period_date", "observed_at"], tie="event_id", scope="events") for d in (rows, rows, gone, rows)]
     n = spark.read.parquet(f"{root}/observations").count()
-    return spark.createDataFrame([(x["status"], x["rows_inserted"], n) for x in logs], "status string, rows_inserted long, n long")
+    return spark.createDataFrame([(k, x["status"], x["rows_inserted"], n) for k, x in enumerate(logs)], "run int, status string, rows_inserted long, n long")

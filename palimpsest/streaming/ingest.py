@@ -37,22 +37,35 @@ def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def ingest_flow(rows: DataFrame, root: str, key: list[str], tie: str | None = None, dry_run: bool = False) -> dict:
-    """One batch ingest into root: a payload whose digest a release has already is skipped; else its new keys are appended
+RELEASES = "scope string, release long, content_hash string, rows_inserted long"
+
+
+def payload_digest(rows: DataFrame) -> str:
+    """The same for the same multiset of rows in whatever order: two sums of hashes over each row's JSON, nulls written out."""
+    text = F.to_json(F.struct(*(F.col(c) for c in sorted(rows.columns))), {"ignoreNullFields": "false"})
+    sums = [F.sum(F.xxhash64(*seed, text).cast("decimal(38,0)")) for seed in ((), (F.lit(1),))]
+    n, first, second = rows.agg(F.count(F.lit(1)), *sums).first()
+    return f"{n}:{first}:{second}"
+
+
+def ingest_flow(rows: DataFrame, root: str, key: list[str], tie: str | None = None, dry_run: bool = False, scope: str = "") -> dict:
+    """One batch ingest into root: a payload that is its scope's last release is skipped; else its new keys are appended
     to observations, and the digest to releases. Gives status, rows_inserted and content_hash; a dry run stores nothing.
 
-    The digest is an order-free sum over rows, so it needs one pass and no sort.
+    A payload that an earlier release had, but not the last one, is a release of its own. The digest is an order-free sum
+    over rows, so it needs one pass and no sort.
     """
     spark = rows.sparkSession
-    row = F.xxhash64(*rows.columns).cast("decimal(38,0)")
-    n, total = rows.agg(F.count(F.lit(1)), F.sum(row)).first()
-    digest = f"{n}:{total}"
+    digest = payload_digest(rows)
     try:
-        seen = not spark.read.parquet(f"{root}/releases").where(F.col("content_hash") == digest).isEmpty()
+        stored = spark.read.schema(RELEASES).parquet(f"{root}/releases").where(F.col("scope") == scope)
+        last = stored.agg(F.max("release").alias("release"), F.max_by("content_hash", "release").alias("content_hash")).first()
     except AnalysisException:
-        seen = False
+        last = None
+    seen = last is not None and last.content_hash == digest
     if seen or dry_run:
         return {"status": "skipped" if seen else "dry_run", "rows_inserted": 0, "content_hash": digest}
     inserted = append_idempotent(rows, f"{root}/observations", key, tie)
-    spark.createDataFrame([(digest, inserted)], "content_hash string, rows_inserted long").coalesce(1).write.mode("append").parquet(f"{root}/releases")
+    number = 1 if last is None or last.release is None else last.release + 1
+    spark.createDataFrame([(scope, number, digest, inserted)], RELEASES).coalesce(1).write.mode("append").parquet(f"{root}/releases")
     return {"status": "ok", "rows_inserted": inserted, "content_hash": digest}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import periods as pf
 from palimpsest.operators import bitemporal as bt
+from palimpsest.operators import backtests as bk
 from palimpsest.operators import evaluation as ev
 from palimpsest.operators import models as md
 from palimpsest.operators import timeseries as ts
@@ -166,7 +167,7 @@ def test_backtest_folds_see_only_their_past(spark):
     y = spark.createDataFrame([(d, float(2 * xs[k, 0] - xs[k, 1])) for k, d in enumerate(days)], "period_date date, y double")
     f = ev.folds(y, 20, 5)
     assert f.where("train_end >= test_end").isEmpty() and f.count() == 4
-    out = md.backtest(p, y, f, "ridge", {"alpha": 1e-6}).collect()
+    out = bk.backtest(p, y, f, "ridge", {"alpha": 1e-6}).collect()
     assert len(out) == 20 and max(abs(r.actual - r.predicted) for r in out) < 1e-3
 
 

@@ -94,23 +94,6 @@ def test_minnesota_posterior_of_uneven_scales_solves_the_normal_equations():
         assert np.allclose(left, x.T @ target[:, j] + np.asarray(mean) / np.asarray(var), rtol=1e-6)
 
 
-def test_preparation_reports_every_reason(spark):
-    rng = np.random.default_rng(1)
-    dates = pd.date_range("2000-01-31", periods=120, freq="ME")
-    walk = np.exp(np.cumsum(rng.normal(size=120)) / 10 + 5)
-    made = {"ok": np.exp(rng.normal(size=120) / 10), "walk": np.cumsum(np.cumsum(rng.normal(size=120))) - 1000, "flat": np.ones(120), "short": walk[:20], "sign": rng.normal(size=120)}
-    rows = [(k, d.date(), float(v)) for k, x in made.items() for d, v in zip(dates, x)]
-    panel = spark.createDataFrame(rows, "series_id string, period_date date, value double")
-    got = {r.series_id: r for r in md.prepared(panel).collect()}
-    assert got["flat"].dropped_reason == "constant" and got["short"].dropped_reason == "min_obs"
-    assert got["ok"].transform_applied == "dlog12" and got["sign"].transform_applied == "diff12" and got["ok"].status == "ok"
-    assert len(got["ok"]["values"]) == len(got["ok"]["dates"]) == got["ok"].final_non_nan == 108 - got["ok"].diffs_used
-    assert got["ok"]["dates"][-1] == dates[-1].date()
-    lenient = {r.series_id: r for r in md.prepared(panel, most_diffs=0, strict=False).collect()}
-    strict = {r.series_id: r for r in md.prepared(panel, most_diffs=0).collect()}
-    assert lenient["walk"].status == "nonstationary" and strict["walk"].dropped_reason == "nonstationary"
-
-
 def test_evaluated_vintages_use_what_was_known(spark):
     rng = np.random.default_rng(2)
     quarters = pd.date_range("2000-03-31", periods=40, freq="QE")
