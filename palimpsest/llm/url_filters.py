@@ -1,17 +1,19 @@
 """URL allow and block rules by expression expansion and hash-prefix joins. DataFrame operations only.
 
-Each distinct (host, path) is expanded into host suffixes (on label borders) joined with the path prefixes that a
-rule can have (one for each distinct length of a rule's path). Expressions meet the rules by an equi-join on the
+Each distinct (host, path) is expanded into the host suffixes (on label borders) and path prefixes that a rule can have:
+one for each distinct number of labels of a rule's host, and each distinct length of a rule's path. Expressions meet the rules by an equi-join on the
 first hex digits of their SHA-256; a hit counts only if the full digests agree. Of the confirmed rules the longest
 wins, and of equally long ones ``block`` before ``allow``. Without a rule the verdict is ``default``.
 
 Nulls: a null url, or one without ``://``, has empty host and path, which no rule fits. Repeated rows each get a row.
-An empty table of pages gives an empty result; without rules every page gets the default. URLs are judged whole, whatever
-their length. Further columns, whatever their names, are not read.
+An empty table of pages gives an empty result; without rules every page gets the default. URLs are judged whole, in time
+that grows with their length. Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from palimpsest.llm.common import maybe_broadcast, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The query's rules: verdict, host, path. (fixed values)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: A helper column's name, made anew by each driver.
+LONE = f"__{uuid.uuid4().hex}"
 SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -33,12 +37,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", pref
     )
     digest = lambda x: F.sha2(x, 256)
     rule = F.concat("host", "path")
-    listed = rules.dropna(subset=["verdict", "host", "path"]).select(rule.alias("rule"), "verdict", F.length("path").alias("path_chars"))
-    listed = listed.groupBy("rule", "path_chars").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
-    lengths = [r[0] for r in listed.select("path_chars").distinct().collect()]  # a rule's path has at most as many lengths as a URL has characters
+    count = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1  # noqa: E731  of labels
+    listed = rules.dropna(subset=["verdict", "host", "path"]).select(rule.alias("rule"), "verdict", F.length("path").alias("path_chars"), count(F.col("host")).alias("labels"))
+    listed = listed.groupBy("rule", "path_chars", "labels").agg(F.max("verdict").alias("verdict"))  # block sorts after allow
+    # Rules' hosts and paths have at most as many counts and lengths as a URL has characters.
+    lengths, depths = (sorted(r[0] for r in listed.select(c).distinct().collect()) for c in ("path_chars", "labels"))
     keyed = listed.select("rule", "verdict", digest(F.col("rule")).alias("rule_digest")).withColumn("key", F.substring("rule_digest", 1, prefix_hex))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.filter(F.array(*[F.when(count(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in depths]), lambda x: x.isNotNull()) if depths else F.array().cast("array<string>")
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
     # One expansion for each distinct key: a URL or host that holds a third of all rows is expanded once.
     keys = split.where(F.col("host") != "").select("host", "path").distinct()
@@ -46,7 +51,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", pref
     expanded = expanded.withColumn("digest", digest(F.col("expression"))).withColumn("key", F.substring("digest", 1, prefix_hex))
     hits = expanded.join(maybe_broadcast(keyed, 300), "key").where(F.col("digest") == F.col("rule_digest"))
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule"), F.col("verdict"), F.col("rule"))).alias("best"))
-    return split.join(best, ["host", "path"], "left").select(
+    # Pages without a host fit no rule: they are dealt by their id, not by the one key that they share.
+    lone = F.when(F.col("host") == "", F.pmod(F.xxhash64(id_col), F.lit(1024))).otherwise(F.lit(-1))
+    return split.withColumn(LONE, lone).join(best.withColumn(LONE, F.lit(-1).cast("long")), [LONE, "host", "path"], "left").select(
         id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
 

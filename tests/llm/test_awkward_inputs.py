@@ -128,8 +128,13 @@ def plain_battery(token):
     n, k = len(x), len(alphabet)
     chi = k / n * (np.bincount(x.astype(int), minlength=k) ** 2).sum() - n
     z1 = (np.cbrt(max(0.0, chi / (k - 1))) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
-    high = x > (k - 1) / 2
-    z2 = abs((high[1:] != high[:-1]).sum() - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+    kind = lambda c: 0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3
+    kinds, share = [kind(c) for c in body], [sum(kind(c) == j for c in alphabet) / k for j in range(4)]
+    if 1.0 in share:  # one kind: halves
+        kinds, share = list(x > (k - 1) / 2), [0.5, 0.5]
+    change = 1 - sum(p * p for p in share)
+    spread = (n - 1) * change * (1 - change) + 2 * (n - 2) * (sum(p * (1 - p) ** 2 for p in share) - change**2)
+    z2 = abs(sum(a != b for a, b in zip(kinds, kinds[1:])) - (n - 1) * change) / math.sqrt(spread)
     centred = x - (k - 1) / 2
     z3 = abs((centred[1:] * centred[:-1]).sum() / ((k * k - 1) / 12)) / math.sqrt(n - 1)
     return encoding, n, min(1.0, 3 * min(tail(z1), 2 * tail(z2), 2 * tail(z3)))
@@ -145,19 +150,23 @@ def test_battery_by_a_second_implementation(spark):
 
 
 def plain_thresholds(found, fdr, least):
-    counts = {}
+    strata = {}
     for encoding, n, p in found:
-        counts.setdefault((encoding, min(8, n // 8)), []).append(p)
+        strata.setdefault((encoding, min(8, n // 8)), []).append(p)
+    text = lambda ps: sum(p < 0.01 for p in ps)
     out = {}
-    for (encoding, length), own in counts.items():
-        if len(own) < least:
-            own = [p for (_, x), v in counts.items() if x == length for p in v]
-        if len(own) < least:
-            own = [p for v in counts.values() for p in v]
-        random_tokens = 2 * sum(p >= 0.5 for p in own)
+    for (encoding, length), own in strata.items():
+        pool = own
+        if text(pool) < least:
+            pool = [p for (_, x), v in strata.items() if x == length for p in v]
+        if text(pool) < least:
+            pool = [p for v in strata.values() for p in v]
+        scale = 1 if pool is own else len(own) / max(1, text(pool))
+        third, second = sum(1e-4 <= p < 1e-3 for p in pool), sum(1e-3 <= p < 0.01 for p in pool)
+        q = min(1, second / third) if third else (1 if second else 0)
         for g in secrets.GRID:
-            reported = sum(p >= g for p in own)
-            if reported and 1 - min(1.0, random_tokens * (1 - g) / reported) <= fdr:
+            above = sum(g <= p < 0.01 for p in pool) + second * (q + q * q) if g < 0.01 else second * q * (1 + q) * q ** math.log10(g / 0.01)
+            if any(p >= g for p in own) and scale * above <= fdr * sum(p >= g for p in own) + 1e-12:
                 out[f"{encoding}/{length}"] = g
                 break
     return out
@@ -172,6 +181,47 @@ def test_thresholds_by_a_second_implementation(spark):
         assert secrets.thresholds(secrets.scan(docs), 0.05, least) == plain_thresholds([plain_battery(t) for t in tokens], 0.05, least)
 
 
+def planted(seed, words=4000):
+    """(tokens of words and numbers, a random token of each encoding and length)."""
+    r = random.Random(seed)
+    syllables = ["an", "the", "tion", "or", "re", "st", "ou", "ing", "er", "ent", "al", "ic", "us", "pro", "con", "ver"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    text = []
+    for k in range(words):
+        parts = [[word(), word().title(), word().upper(), str(r.randrange(1990, 2030)), f"{r.randrange(1000):04d}"][r.randrange(5)] for _ in range(12)]
+        token = "".join(x + r.choice(["", "", "-", "_", "/"]) for x in parts)[: r.choice([20, 24, 33, 42, 70])]
+        text.append(token if re.search("[0-9]", token) else token + "2024")
+    return text, [(e, n, "".join(r.choice(a) for _ in range(n))) for e, (_, a) in secrets.ENCODINGS.items() for n in (24, 33, 42, 64, 80) if e != "hex" or n < 32]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_random_token_of_each_kind_is_found_among_thousands_of_words(spark, seed):
+    text, hidden = planted(seed)
+    rows = [(k, f"see {t} there") for k, t in enumerate([*text, *(t for _, _, t in hidden)])]
+    found = {x.doc_id: x.n_random + x.n_hex for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    long = [found[len(text) + k] for k, (_, n, _) in enumerate(hidden) if n >= 33]  # shorter ones are too like words
+    assert sum(long) >= 0.85 * len(long) and sum(found[k] for k in range(len(text))) <= 0.05 * sum(long) + 1
+
+
+def test_many_matches_in_one_text_and_long_hosts_take_linear_time(spark):
+    import time
+
+    from palimpsest.llm import url_filters
+
+    text = "".join(f"token = abcdefgh{k:06d} xY1{'q' * 20}{k % 7} " for k in range(30_000))
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    secrets.find_secrets(df.limit(1)).count()  # compiled
+    began = time.time()
+    assert [r.n_assign for r in secrets.find_secrets(df).orderBy("doc_id").collect()] == [30_000, 0]
+    clean = secrets.redacted(df).where("doc_id = 1").first().text
+    assert clean.count("[secret]") >= 30_000 and "abcdefgh" not in clean
+    host = ".".join(["a"] * 100_000)
+    pages = spark.createDataFrame([(1, f"http://{host}.net/x"), (2, f"http://{host}.example.com/de/1"), (3, "http://" + host), (4, None)], "page_id long, url string")
+    rules = spark.createDataFrame(url_filters.RULES, "verdict string, host string, path string")
+    assert {r.page_id: r.verdict for r in url_filters.filter_urls(pages, rules).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    assert time.time() - began < 100  # hours, where each match copies the ones before
+
+
 def test_packing_splits_a_row_that_is_repeated_often(spark):
     import public_tokenizers
 
