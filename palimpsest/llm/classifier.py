@@ -34,7 +34,7 @@ from palimpsest.llm.common import table
 from palimpsest.llm.shingles import in_chunks, mix
 
 _byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-BUCKETS, DIMENSIONS = 1 << 18, 12
+BUCKETS, DIMENSIONS, LONGER = 1 << 18, 12, 200.0
 _white = np.zeros(256, bool)
 _white[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -66,6 +66,17 @@ def features(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarra
     return np.concatenate((grams, words, pairs, again))[order].astype(np.int64), np.searchsorted(place[order], ends)
 
 
+def gradient(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, share: np.ndarray, label: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(loss, gradients of a document's vectors, of the output weights and of the biases); share: each feature's part of the document."""
+    mean = share @ vectors
+    logits = mean @ out + bias
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    error = p.copy()
+    error[label] -= 1
+    return -float(np.log(max(p[label], 1e-30))), np.outer(share, out @ error), np.outer(mean, error), error
+
+
 def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: float = 0.5, seed: int = 5, buckets: int = BUCKETS, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, float]:
     """(weight of each feature, bias): a document's logit is the mean weight of its features plus the bias."""
     rng = np.random.default_rng(seed)
@@ -83,16 +94,11 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 6, rate: flo
             ids, share, label = rows[k]
             lr = rate * (1 - done / steps)
             done += 1
-            mean = share @ vectors[ids] if len(ids) else np.zeros(dimensions, np.float32)
-            logits = mean @ out + bias
-            p = np.exp(logits - logits.max())
-            error = p / p.sum()
-            error[label] -= 1
-            back = out @ error
-            out -= lr * np.outer(mean, error)
-            bias -= 0.1 * lr * error
-            if len(ids):
-                vectors[ids] -= lr * np.minimum(1.0, share * len(ids))[:, None] * back / 2
+            _, by_vector, by_weight, by_bias = gradient(vectors[ids], out, bias, share, label)
+            # A feature is a small part of a document, so vectors take longer steps.
+            vectors[ids] -= LONGER * lr * by_vector
+            out -= lr * by_weight
+            bias -= 0.1 * lr * by_bias
     side = out[:, 1] - out[:, 0]
     return (vectors @ side).astype(np.float32), float(bias[1] - bias[0])
 

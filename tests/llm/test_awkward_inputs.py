@@ -119,6 +119,22 @@ def test_training_sample_is_bounded_in_bytes(spark):
     assert classifier.fit(docs, labels, most_bytes=0)[1] == 0.0
 
 
+def test_the_classifiers_step_is_the_gradient():
+    r = np.random.default_rng(2)
+    vectors, out, bias, share = r.normal(size=(5, 3)), r.normal(size=(3, 2)), r.normal(size=2), r.dirichlet(np.ones(5))
+    _, *found = classifier.gradient(vectors, out, bias, share, 1)
+    for part, got in zip((vectors, out, bias), found):
+        for place in np.ndindex(part.shape):
+            sides = []
+            for step in (1e-6, -1e-6):
+                part[place] += step
+                sides.append(classifier.gradient(vectors, out, bias, share, 1)[0])
+                part[place] -= step
+            assert math.isclose((sides[0] - sides[1]) / 2e-6, got[place], rel_tol=1e-5, abs_tol=1e-8)
+    none = classifier.gradient(np.zeros((0, 3)), out, bias, np.zeros(0), 0)
+    assert none[1].shape == (0, 3) and math.isfinite(none[0])
+
+
 def plain_battery(token):
     """(encoding, n, p) of a token, by numpy."""
     body = token.rstrip("=")
