@@ -36,6 +36,44 @@ def kpss(x: np.ndarray) -> float | None:
     return float(np.interp(stat, CRITICAL, LEVELS))
 
 
+#: Dickey-Fuller's tau with a constant: largest statistic of the left branch, and both branches' response surfaces
+#: (MacKinnon 1994; fixed values).
+TAU_STAR, TAU_SMALL, TAU_LARGE = -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+
+
+def adf(x: np.ndarray, least: int = 15) -> tuple[float, float, int] | None:
+    """(statistic, p-value, lags) of the augmented Dickey-Fuller test with a constant; None under ``least`` values or
+    without variance. The number of lags has the least AIC on the sample that all of them share."""
+    x = x[~np.isnan(x)]
+    n = len(x)
+    if n < least or not x.std() > 0:
+        return None
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    d = np.diff(x)
+
+    def regression(lags: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        y = d[first:]
+        z = np.column_stack([x[first:-1], np.ones(len(y)), *(d[first - k : len(d) - k] for k in range(1, lags + 1))])
+        b = np.linalg.lstsq(z, y, rcond=None)[0]
+        return z, b, y - z @ b
+
+    def score(lags: int) -> float:
+        z, _, e = regression(lags, most)
+        return len(e) * math.log(max(e @ e / len(e), 1e-300)) + 2 * z.shape[1]
+
+    lags = min(range(most + 1), key=lambda k: (score(k), k))
+    z, b, e = regression(lags, lags)
+    free = len(e) - z.shape[1]
+    if free < 1:
+        return None
+    spread = math.sqrt(max(e @ e / free * np.linalg.pinv(z.T @ z)[0, 0], 1e-300))
+    stat = float(b[0] / spread)
+    if stat > 2.74:
+        return stat, 1.0, lags
+    surface = TAU_SMALL if stat <= TAU_STAR else TAU_LARGE
+    return stat, 0.5 * math.erfc(-sum(c * max(stat, -18.83) ** k for k, c in enumerate(surface)) / math.sqrt(2)), lags
+
+
 def needed_diffs(x: np.ndarray, alpha: float = 0.05, most: int = 2) -> int:
     """How many first differences, up to ``most``, until level stationarity is no longer rejected."""
     for d in range(most):
@@ -240,6 +278,16 @@ def kpss_by_series(panel: DataFrame, series: str = "series_id", date: str = "per
     return panel.select(series, date, value).groupBy(series).applyInPandas(run, f"{series} string, n long, p_value double, diffs_needed int")
 
 
+def adf_by_series(panel: DataFrame, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
+    """series_id, n, statistic, p_value, lags; nulls where a series is too short or constant."""
+
+    def run(key, d: pd.DataFrame) -> pd.DataFrame:
+        x = d.sort_values(date)[value].to_numpy(float)
+        return pd.DataFrame([(key[0], int((~np.isnan(x)).sum()), *(adf(x) or (None, None, None)))], columns=[series, "n", "statistic", "p_value", "lags"])
+
+    return panel.select(series, date, value).groupBy(series).applyInPandas(run, f"{series} string, n long, statistic double, p_value double, lags int")
+
+
 def ragged_fill(panel: DataFrame, until: str, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
     """series_id, period_date, value, status for the months after each series' last value up to ``until``."""
     end = pd.Timestamp(until)

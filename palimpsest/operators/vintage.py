@@ -98,7 +98,8 @@ def build(panel: DataFrame, target: DataFrame, cutoff_table: DataFrame, fill: st
     """Every vintage in one plan: target_quarter, label, series, date, value, split; the target's series is "__target".
 
     panel has a release lag for each row; what was not published at the cutoff is null, then filled by the rule (none,
-    locf: the last known value, mean: the series' mean in its vintage). A series whose known share of a vintage's rows is
+    locf: the last known value, mean: the series' mean in its vintage, arima: the months after the last known value by
+    a seasonal ARIMA, then locf for gaps inside). A series whose known share of a vintage's rows is
     under least_share is left out of that vintage. The target is known ``days`` after its date; its row of the target
     quarter is there in any case and has no value. split is 'test' on the target quarter, else 'train'.
     """
@@ -111,14 +112,52 @@ def build(panel: DataFrame, target: DataFrame, cutoff_table: DataFrame, fill: st
         seen = seen.withColumn(value, F.last(value, ignorenulls=True).over(own.orderBy(date)))
     elif fill == "mean":
         seen = seen.withColumn(value, F.coalesce(value, F.avg(value).over(own)))
+    elif fill == "arima":
+        seen = forecast_tails(seen, panel, key, series, date, value)
+        seen = seen.withColumn(value, F.last(value, ignorenulls=True).over(own.orderBy(date)))
     elif fill != "none":
-        raise ValueError("fill must be none, locf or mean")
+        raise ValueError("fill must be none, locf, mean or arima")
     known = visible_target(target, cutoff_table, days, date, value).where(F.col(date) < F.col("target_quarter")).select("target_quarter", "label", date, value)
     asked = cutoff_table.select("target_quarter", "label", F.col("target_quarter").alias(date), F.lit(None).cast("double").alias(value))
     rows = seen.select(*key, date, value).unionByName(known.unionByName(asked).select("target_quarter", "label", F.lit("__target").alias(series), date, value))
     return rows.withColumn("split", F.when(F.col(date) == F.col("target_quarter"), "test").otherwise("train"))
 
 
+def forecast_tails(masked: DataFrame, panel: DataFrame, key: list[str], series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
+    """masked with the rows after each key's last known value forecast from the panel up to that value.
+
+    Many vintages end a series at the same month: each month is forecast from once, as far as any vintage asks.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from palimpsest.operators.arima import forecast
+
+    known = F.max(F.when(F.col(value).isNotNull(), F.col(date)))
+    ends = masked.groupBy(*key).agg(known.alias("__end"), F.max(date).alias("__until")).where("__end < __until")
+    asks = ends.groupBy(series, "__end").agg(F.max("__until").alias("__until"))
+    past = panel.where(F.col(value).isNotNull()).select((F.col(series)).alias("__s"), F.col(date).alias("__d"), F.col(value).cast("double").alias("__v"))
+
+    def run(keys, asked: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        own = pd.Series(d["__v"].to_numpy(float), pd.DatetimeIndex(pd.to_datetime(d["__d"])).to_period("M")).sort_index()
+        own = own[~own.index.duplicated(keep="last")]
+        out = []
+        for end, until in zip(pd.to_datetime(asked["__end"]), pd.to_datetime(asked["__until"])):
+            to = end.to_period("M")
+            head = own[own.index <= to]
+            if len(head):
+                head = head.reindex(pd.period_range(head.index[0], to, freq="M"))
+            months = pd.date_range(end + pd.offsets.MonthEnd(1), until, freq="ME")
+            values, _ = forecast(head.to_numpy(float), len(months))
+            out += [(keys[0], end.date(), m.date(), float(v) if np.isfinite(v) else None) for m, v in zip(months, values)]
+        return pd.DataFrame(out, columns=[series, "__end", date, "__forecast"])
+
+    kind = masked.schema[series].dataType.simpleString()
+    made = asks.groupBy(series).cogroup(past.groupBy("__s")).applyInPandas(run, f"{series} {kind}, __end date, {date} date, __forecast double")
+    d = masked.join(ends.select(*key, "__end"), key, "left").join(made, [series, "__end", date], "left")
+    return d.withColumn(value, F.coalesce(value, F.when(F.col(date) > F.col("__end"), F.col("__forecast")))).drop("__end", "__forecast")
+
+
 def umidas(panel: DataFrame, ratio: int = 3, lags: int = 2, series: str = "series_id", date: str = "period_date", value: str = "value") -> DataFrame:
     """An unrestricted mixed-frequency design in long form: at each quarter's end, each of a series' ratio * lags latest
     monthly values is a series of its own, named with its lag. panel is on a dense calendar."""

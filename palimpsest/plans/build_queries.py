@@ -43,6 +43,13 @@ def vintage_evaluation(spark, sf):
     return md.evaluated(built(Tables(spark, sf)), "ridge", {"alpha": 1.0})
 
 
+@query("arima_vintages")
+def arima_vintages(spark, sf):
+    """Each vintage's series with the months that were not published yet forecast from those that were."""
+    d = built(Tables(spark, sf), "arima", 0.5)
+    return d.groupBy("target_quarter", "label", "series_id", "split").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_known"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("mixed_frequency_load", f"""SELECT period_date, round(value, 4) AS value, 'y' AS part FROM (SELECT {QEND.format(d='period_date')} AS period_date, arg_max(value, period_date) AS value FROM ({PANEL}) WHERE series_id = 'AF' GROUP BY 1)
   UNION ALL SELECT period_date, round(sum(value), 4), 'monthly' FROM ({PANEL}) WHERE series_id <> 'AF' GROUP BY 1""")
 def mixed_frequency_load(spark, sf):

@@ -62,6 +62,19 @@ def pca_regression(spark, sf):
     return _backtest(spark, sf, "pca_regression", {"k": 2})
 
 
+@query("adf_pvalues")
+def adf_pvalues(spark, sf):
+    return md.adf_by_series(gappy(Tables(spark, sf)))
+
+
+@query("arima_fill")
+def arima_fill(spark, sf):
+    """Every series carried to the last month by a seasonal ARIMA of its own."""
+    from palimpsest.operators.arima import ragged_forecasts
+
+    return ragged_forecasts(gappy(Tables(spark, sf)), "2001-12-31", season=12)
+
+
 @query("boosted_backtest")
 def boosted_backtest(spark, sf):
     """Boosted trees on each quarter's mean growth."""
