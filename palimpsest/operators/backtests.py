@@ -20,6 +20,7 @@ from palimpsest.operators.evaluation import accuracy
 from palimpsest.operators.models import MODELS, Model
 from palimpsest.operators.search import promoted
 from palimpsest.operators.sizes import broadcast_if_small
+from palimpsest.sources.sinks import stored
 
 SCHEMA = "config_id string, fold int, target_date date, model string, actual double, predicted double, n_features int, n_selected int, status string"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -160,14 +161,3 @@ def staged_search(panel: DataFrame, target: DataFrame, folds: DataFrame, configs
     best = promoted(coarse, top).select("config_id")
     fine = scores(run_all(panel, target, folds, configs.join(F.broadcast(best), "config_id", "left_semi"), **options))
     return coarse.withColumn("stage", F.lit("coarse")).unionByName(fine.withColumn("stage", F.lit("fine")))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so that what builds on it does not run it again."""
-    import uuid
-
-    from palimpsest.sources.sinks import scratch
-
-    path = f"{scratch(df.sparkSession)}/results-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

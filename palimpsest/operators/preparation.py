@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import metadata, models
 from palimpsest.operators import timeseries as ts
+from palimpsest.sources.sinks import stored
 
 PERIODS = {"month": 12, "quarter": 4}
 REPORT = ["series_id", "mode", "dropped_reason", "transform_applied", "span_years", "initial_non_nan", "gaps_avg_1", "gaps_linear_23", "is_seasonal", "is_sa", "detect_reason", "d0_kpss_p", "diffs_used", "final_non_nan", "final_kpss_p", "status"]
@@ -89,10 +90,11 @@ def prepared(panel: DataFrame, to: str = "month", rule: str = "last", mixed: boo
 
     mixed: one further difference at most, no clipping, and a series that stays nonstationary is kept and said so.
     cache: series_id, obs_count, transform_applied, is_seasonal, is_sa, diffs_used of an earlier run; decisions hold while
-    a series has grown by at most a tenth. ragged_limit: how far the last value is carried on; None not at all.
+    a series has grown by at most a tenth. ragged_limit: how far the last value is carried on; None not at all. Stages
+    that several later ones read are stored in the shared folder, so that each runs once.
     """
     most_diffs = (1 if mixed else 2) if most_diffs is None else most_diffs
-    dense = regular(panel, to, rule)
+    dense = stored(regular(panel, to, rule))
     look = first_look(dense, least, least_years)
     going = dense.join(look.where("dropped_reason is null").select("series_id"), "series_id", "left_semi")
     found = seasonality(going, to, meta, seasonal_mode)
@@ -104,9 +106,9 @@ def prepared(panel: DataFrame, to: str = "month", rule: str = "last", mixed: boo
         found = found.select("series_id", pick("c_seasonal", "is_seasonal"), pick("c_sa", "is_sa"), F.when(F.col("cached"), "loaded_from_cache").otherwise(F.col("detect_reason")).alias("detect_reason"), F.when(F.col("cached"), F.col("c_diffs")).alias("c_diffs"))
     else:
         found = found.withColumn("c_diffs", F.lit(None).cast("int"))
-    base = base_transformed(going, found, to)
+    base = stored(base_transformed(going, found, to))
     tested = _tested(base, "z", most_diffs, alpha)
-    decided = found.join(tested, "series_id").select("series_id", "is_seasonal", "is_sa", "detect_reason", F.when(F.col("c_diffs").isNull(), F.col("p")).alias("d0_kpss_p"), F.coalesce("c_diffs", "diffs_used").alias("diffs_used"))
+    decided = stored(found.join(tested, "series_id").select("series_id", "is_seasonal", "is_sa", "detect_reason", F.when(F.col("c_diffs").isNull(), F.col("p")).alias("d0_kpss_p"), F.coalesce("c_diffs", "diffs_used").alias("diffs_used")))
     d, w = base.join(decided.select("series_id", "diffs_used"), "series_id"), W.partitionBy("series_id").orderBy("period_date")
     steps, now = [F.col("z")], F.col("z")
     for k in range(1, max(2, most_diffs) + 1):
@@ -122,6 +124,7 @@ def prepared(panel: DataFrame, to: str = "month", rule: str = "last", mixed: boo
         d = ts.winsorize(d, 0.01, 0.99).select("series_id", "period_date", F.col("clipped").alias("value"))
     if ragged_limit is not None:
         d = ts.fill_forward(d, ragged_limit).select("series_id", "period_date", F.col("filled").alias("value"))
+    d = stored(d)
     flat = ts.almost_constant(d).select("series_id", F.col("n").alias("final_non_nan"), "constant")
     after = decided.join(flat, "series_id").join(_tested(d, "value", 0, alpha).select("series_id", F.col("p").alias("final_kpss_p")), "series_id")
     unsteady = F.col("final_kpss_p") < alpha
@@ -137,3 +140,35 @@ def prepared(panel: DataFrame, to: str = "month", rule: str = "last", mixed: boo
         F.when(F.coalesce("early", "late").isNotNull(), "dropped").when(F.coalesce(unsteady, F.lit(False)), "nonstationary").otherwise("success").alias("status"),
     )
     return report, d.join(report.where("dropped_reason is null").select("series_id"), "series_id", "left_semi").where("value is not null")
+
+
+def search_prepared(panel: DataFrame, how: str = "yoy", least: int = 36, least_years: float = 14.0) -> DataFrame:
+    """series_id, period_date, value of search-interest series: monthly means, gaps filled, the level, its difference
+    or its yearly difference (how: level, diff, yoy), clipped. Short series are left out before and after."""
+    steps = {"level": 0, "diff": 1, "yoy": 12}[how]
+    dense = regular(panel, "month", "mean")
+    look = first_look(dense, least, least_years).where("dropped_reason is null").select("series_id")
+    d = dense.join(look, "series_id", "left_semi")
+    moved = F.col("filled") - F.lag("filled", steps).over(ts.by_series()) if steps else F.col("filled")
+    d = ts.winsorize(d.select("series_id", "period_date", moved.alias("value"))).select("series_id", "period_date", F.col("clipped").alias("value")).where("value is not null")
+    enough = d.groupBy("series_id").agg(F.count("value").alias("n")).where(F.col("n") >= least).select("series_id")
+    return d.join(enough, "series_id", "left_semi")
+
+
+def assembled(monthly: DataFrame, quarterly: DataFrame, search: DataFrame, target: str, how: str = "yoy", **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(series_id, frequency, period_date, value of all that stay; series_id, frequency; period_date, y of the target).
+
+    Monthly and quarterly series are prepared by their own calendars, search series by theirs and named with gt_; a date
+    that one stream has and another lacks is simply a row less: the long form is their full outer join. The target is
+    taken out of the quarterly stream, and y is its yearly log difference.
+    """
+    own = [k for k in ("least", "least_years") if k in options]
+    streams = [
+        prepared(monthly, "month", "mean", **options)[1].withColumn("frequency", F.lit("M")),
+        prepared(quarterly.where(F.col("series_id") != target), "quarter", "mean", **options)[1].withColumn("frequency", F.lit("Q")),
+        search_prepared(search.withColumn("series_id", F.concat(F.lit("gt_"), "series_id")), how, **{k: options[k] for k in own}).withColumn("frequency", F.lit("GT")),
+    ]
+    whole = stored(streams[0].unionByName(streams[1]).unionByName(streams[2]).select("series_id", "frequency", "period_date", "value"))
+    y = ts.resample(quarterly.where(F.col("series_id") == target), "quarter", "mean")
+    y = ts.seasonal_diff(y, 4, "y").where("y is not null").select("period_date", "y")
+    return whole, whole.select("series_id", "frequency").distinct(), y

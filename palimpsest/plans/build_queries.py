@@ -135,6 +135,33 @@ def mixed_preparation_report(spark, sf):
     return pr.prepared(gappy(Tables(spark, sf)), mixed=True, least=36, least_years=5.0, ragged_limit=4)[0]
 
 
+@query("search_streams", f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY period_date) AS n FROM ({GAPPY_DENSE})), k AS (
+    SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN value IS NOT NULL THEN n END IGNORE NULLS) OVER b AS pn,
+           first_value(value IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN value IS NOT NULL THEN n END IGNORE NULLS) OVER a AS nn FROM n
+    WINDOW b AS (PARTITION BY series_id ORDER BY period_date ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY series_id ORDER BY period_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  ), i AS (SELECT series_id, period_date, count(value) OVER (PARTITION BY series_id) AS known, CASE WHEN value IS NOT NULL THEN value WHEN nn - pn - 1 BETWEEN 1 AND 3 THEN pv + (nv - pv) * (n - pn) / (nn - pn) END AS filled FROM k),
+  z AS (SELECT series_id, period_date, filled - lag(filled, 12) OVER (PARTITION BY series_id ORDER BY period_date) AS z FROM i WHERE known >= 36),
+  q AS (SELECT series_id, quantile_cont(z, 0.01) AS lo, quantile_cont(z, 0.99) AS hi, count(z) AS m FROM z GROUP BY 1)
+  SELECT 'gt_' || series_id AS series_id, count(*) AS n, round(sum(greatest(least(z, hi), lo)), 2) AS total FROM z JOIN q USING (series_id) WHERE z IS NOT NULL AND m >= 36 GROUP BY 1""")
+def search_streams(spark, sf):
+    from palimpsest.operators import preparation as pr
+
+    d = gappy(Tables(spark, sf)).withColumn("series_id", F.concat(F.lit("gt_"), "series_id"))
+    return pr.search_prepared(d, "yoy", 36, 1.0).groupBy("series_id").agg(F.count("value").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("frequency_assembly")
+def frequency_assembly(spark, sf):
+    """Monthly, quarterly and search streams under one frequency map: rows and dates of each."""
+    from palimpsest.operators import preparation as pr
+
+    t = Tables(spark, sf)
+    quarterly = gappy(t).where(F.col("series_id").endswith("1-URGENT"))
+    whole, frequencies, y = pr.assembled(panel(t), quarterly, gappy(t).where(F.col("series_id").endswith("5-LOW")), "3/1-URGENT", least=16, least_years=4.0)
+    d = whole.join(frequencies, ["series_id", "frequency"], "left_semi").unionByName(y.select(F.lit("y").alias("series_id"), F.lit("target").alias("frequency"), "period_date", F.col("y").alias("value")))
+    return d.groupBy("frequency", "series_id").agg(F.count("value").alias("n"), F.min("period_date").alias("first"), F.max("period_date").alias("last"))
+
+
 @query("input_problems", f"""SELECT series_id, CASE WHEN count(value) = 0 THEN 'all_null' WHEN count(CASE WHEN value IS NOT NULL AND known THEN 1 END) = 0 THEN 'no_overlap' END AS problem
   FROM (SELECT series_id, CASE WHEN series_id LIKE '1/%' THEN NULL ELSE value END AS value, y IS NOT NULL AS known FROM ({GAPPY}) LEFT JOIN (SELECT period_date, y FROM ({TARGET}) WHERE y IS NOT NULL) USING (period_date)) GROUP BY 1""")
 def input_problems(spark, sf):

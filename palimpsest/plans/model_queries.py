@@ -119,12 +119,12 @@ def _searched(spark, sf):
     import json
     import uuid
 
-    from palimpsest.sources.sinks import scratch
+    from palimpsest.sources.sinks import scratch, stored
 
     t = Tables(spark, sf)
     y = target(t).where("y is not null")
     folds = ev.folds(y, 10, 1)
-    growth, y, folds = (bt.stored(x) for x in (_growth(t), y, folds))
+    growth, y, folds = (stored(x) for x in (_growth(t), y, folds))
     n = folds.count()
 
     def run(configs, budget):

@@ -84,3 +84,31 @@ def prepared_panel(spark, sf):
     d = ts.impute_gaps(ts.dense(gappy(Tables(spark, sf)))).select("series_id", "period_date", F.col("filled").alias("value"))
     d = ts.seasonal_diff(d, 12, "z").select("series_id", "period_date", F.col("z").alias("value"))
     return ts.winsorize(d).where("clipped is not null").select("series_id", "period_date", F.round("clipped", 6).alias("value"))
+
+
+_YEARS = "SELECT c_nationkey AS nation, year(CAST(o_orderdate AS DATE)) AS year, count(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
+
+
+@query("chunked_run", f"SELECT y.*, 25 AS first_run, 1 AS second_run FROM ({_YEARS}) y")
+def chunked_run(spark, sf):
+    """Orders by nation and year, a chunk for each nation; a broken file is moved aside, and a lost chunk alone runs again."""
+    import uuid
+
+    from palimpsest.sources import chunks
+
+    t = Tables(spark, sf)
+    root, schema = f"{sinks.scratch(spark)}/chunks-{uuid.uuid4().hex}", "nation int, year int, n long, total double"
+    tasks = t.customer.select(F.col("c_nationkey").alias("chunk"), "c_custkey")
+
+    def make(asked):
+        d = t.orders.join(asked, F.col("o_custkey") == F.col("c_custkey"))
+        amount = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+        return d.groupBy("chunk", F.col("chunk").cast("int").alias("nation"), F.year(F.col("o_orderdate").cast("date")).alias("year")).agg(F.count(F.lit(1)).alias("n"), amount.alias("total"))
+
+    _, first = chunks.run(tasks, make, root, schema)
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.mode("append").text(f"{root}/results/chunk=3")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    lost = hadoop.Path(f"{root}/results/chunk=7")
+    lost.getFileSystem(spark._jsc.hadoopConfiguration()).delete(lost, True)
+    out, second = chunks.run(tasks, make, root, schema)
+    return out.select("*", F.lit(first).alias("first_run"), F.lit(second).alias("second_run"))

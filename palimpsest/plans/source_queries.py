@@ -33,25 +33,73 @@ def json_records(spark, sf):
     return files.json_records(bodies, "$.data.records", "event_id bigint, user_id bigint, event_type string")
 
 
-CUBE = {
-    "structure": {"dimensions": {"series": [{"id": "geo", "values": [{"id": "LT"}, {"id": "LV"}]}, {"id": "unit", "values": [{"id": "EUR"}]}], "observation": [{"id": "time", "values": [{"id": "2020Q1"}, {"id": "2020Q2"}]}]}},
-    "dataSets": [{"series": {"0:0": {"observations": {"0": [1.5, 0], "1": [2.5]}}, "1:0": {"observations": {"1": [None], "7": [9]}}}}, {"observations": {"1:0:0": [4], "0:1": [5], "9:0:0:1": [6.25]}}],
-}
+def _codelist(name: str, rows, code: str, title: str):
+    """One codelist of the rows' distinct codes, in their order, as XML with prefixes."""
+    codes = rows.select(F.col(code).cast("string").alias("code"), F.col(title).alias("title")).distinct().groupBy().agg(F.array_sort(F.collect_list(F.struct("code", "title"))).alias("c"))
+    items = F.transform("c", lambda c: F.concat(F.lit('<str:Code id="'), c["code"], F.lit('"><com:Name xml:lang="en">'), c["title"], F.lit("</com:Name></str:Code>")))
+    return codes.select(F.concat(F.lit(f'<str:Codelist id="{name}"><com:Name xml:lang="en">{name}</com:Name>'), F.array_join(items, ""), F.lit("</str:Codelist>")).alias("x"))
 
 
-@query("sdmx_decode", "SELECT * FROM (VALUES ('LT', 'EUR', '2020Q1', 1.5::DOUBLE), ('LT', 'EUR', '2020Q2', 2.5), ('LV', 'EUR', '2020Q2', NULL), ('LV', 'EUR', '2020Q1', 4), ('LT', 'EUR', '2020Q2', 6.25)) t(geo, unit, label, value)")
-def sdmx_decode(spark, sf):
-    d = sdmx.decode(spark.createDataFrame([(json.dumps(CUBE),)], "body string"))
-    return d.select(F.col("dims")["geo"].alias("geo"), F.col("dims")["unit"].alias("unit"), F.col("dims")["time"].alias("label"), "value")
+def _document(lists, dimensions: str = ""):
+    """A structure message of codelists and a dataflow with its dimensions."""
+    head = '<mes:Structure xmlns:mes="m" xmlns:str="s" xmlns:com="c"><str:Dataflow id="SHIPPED" agencyID="LSD"><com:Name xml:lang="en">Shipped amounts</com:Name></str:Dataflow><str:Codelists>'
+    return lists.groupBy().agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("x")), ""), F.lit(f"</str:Codelists>{dimensions}</mes:Structure>")).alias("body"))
+
 
+def _dimension(name: str, position: int, codes: str | None, kind: str = "Dimension") -> str:
+    inner = f'<str:LocalRepresentation><str:Enumeration><Ref id="{codes}"/></str:Enumeration></str:LocalRepresentation>' if codes else "<str:LocalRepresentation/>"
+    return f'<str:{kind} id="{name}" position="{position}">{inner}</str:{kind}>'
 
-XML = """<mes:Structure xmlns:mes="m" xmlns:str="s" xmlns:com="c"><str:Codelists><str:Codelist id="CL_GEO"><com:Name xml:lang="en">Geo</com:Name>
-<str:Code id="LT"><com:Name xml:lang="en">Lithuania</com:Name></str:Code><str:Code id="LV"><com:Name xml:lang="en">Latvia</com:Name></str:Code></str:Codelist></str:Codelists></mes:Structure>"""
 
+def _flow_document(t: Tables):
+    shipped = t.lineitem.select("l_returnflag", "l_linestatus", F.concat(F.lit("flag "), "l_returnflag").alias("flag"), F.concat(F.lit("status "), "l_linestatus").alias("status"))
+    lists = _codelist("CL_FLAG", shipped, "l_returnflag", "flag").unionByName(_codelist("CL_STATUS", shipped, "l_linestatus", "status"))
+    return _document(lists, _dimension("flag", 1, "CL_FLAG") + _dimension("status", 2, "CL_STATUS") + _dimension("time", 3, None, "TimeDimension"))
 
-@query("sdmx_codelist", "SELECT * FROM (VALUES ('CL_GEO', 'LT', 'Lithuania'), ('CL_GEO', 'LV', 'Latvia')) t(list_id, code, name)")
+
+@query("sdmx_decode", f"SELECT flow, left(series_id, 1) AS flag, right(series_id, 1) AS status, strftime(period_date, '%Y-%m') AS label, value, CASE month(period_date) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'E' END AS quality, 'status ' || right(series_id, 1) AS status_name FROM ({PANEL}), (SELECT 'SHIPPED' AS flow)")
+def sdmx_decode(spark, sf):
+    """The monthly panel as messages, a flag each: the status has its values in the structure document alone, and each
+    observation has an attribute's index."""
+    t = Tables(spark, sf)
+    p = panel(t).select(F.substring("series_id", 1, 1).alias("flag"), F.substring("series_id", 2, 1).alias("status"), F.date_format("period_date", "yyyy-MM").alias("label"), F.month("period_date").alias("month"), "value")
+    labels = p.groupBy("flag").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    codes = p.groupBy(F.lit(1).alias("one")).agg(F.array_sort(F.collect_set("status")).alias("codes"))
+    d = p.join(labels, "flag").withColumn("one", F.lit(1)).join(F.broadcast(codes), "one")
+    index = lambda of, what: (F.array_position(of, F.col(what)) - 1).cast("string")
+    cell = F.array(F.col("value").cast("string"), F.when(F.col("month") % 3 < 2, (F.col("month") % 3).cast("string")))
+    series = d.groupBy("flag", "labels", index("codes", "status").alias("s")).agg(F.map_from_entries(F.collect_list(F.struct(index("labels", "label"), cell))).alias("observations"))
+    whole = series.groupBy("flag", "labels").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("0:"), "s"), F.struct("observations")))).alias("series"))
+    values = lambda of: F.transform(of, lambda v: F.struct(v.alias("id")))
+    dimension = lambda name, of: F.struct(F.lit(name).alias("id"), values(of).alias("values"))
+    none = F.array().cast("array<string>")
+    dimensions = F.struct(F.array(dimension("flag", F.array("flag")), dimension("status", none)).alias("series"), F.array(dimension("time", F.col("labels"))).alias("observation"))
+    attributes = F.struct(F.array(dimension("quality", F.array(F.lit("A"), F.lit("E")))).alias("observation"))
+    body = F.to_json(F.struct(F.struct(dimensions.alias("dimensions"), attributes.alias("attributes")).alias("structure"), F.array(F.struct("series")).alias("dataSets")))
+    document = _flow_document(t)
+    out = sdmx.decode(whole.select(body.alias("body")), lists=sdmx.dimension_codes(document))
+    out = out.select(*(F.col("dims")[c].alias(n) for c, n in (("flag", "flag"), ("status", "status"), ("time", "label"))), "value", F.col("attributes")["quality"].alias("quality"))
+    names = sdmx.codelist(document).where("list_id = 'CL_STATUS'").select(F.col("code").alias("status"), F.col("name").alias("status_name"))
+    flow = sdmx.structure(document).where("dimension = 'status'").select("flow", F.lit("CL_STATUS").alias("list"))
+    return out.join(names, "status").withColumn("list", F.lit("CL_STATUS")).join(F.broadcast(flow), "list").drop("list")
+
+
+@query("sdmx_codelist", "SELECT 'CL_NATION_' || r_regionkey AS list_id, CAST(n_nationkey AS VARCHAR) AS code, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def sdmx_codelist(spark, sf):
-    return sdmx.codelist(spark.createDataFrame([(XML,)], "body string"))
+    """A codelist of nations for each region, and back."""
+    t = Tables(spark, sf)
+    lists = None
+    for key in range(5):
+        own = _codelist(f"CL_NATION_{key}", t.nation.where(F.col("n_regionkey") == key), "n_nationkey", "n_name")
+        lists = own if lists is None else lists.unionByName(own)
+    return sdmx.codelist(_document(lists)).select("list_id", "code", "name")
+
+
+@query("sdmx_structure", "SELECT * FROM (VALUES ('flag', 1, 'CL_FLAG'), ('status', 2, 'CL_STATUS'), ('time', 3, NULL)) d(dimension, position, list_id), (SELECT 'SHIPPED' AS flow, 'LSD' AS agency, 'Shipped amounts' AS title, count(DISTINCT l_returnflag) AS n_flags, count(DISTINCT l_linestatus) AS n_status FROM lineitem)")
+def sdmx_structure(spark, sf):
+    document = _flow_document(Tables(spark, sf))
+    n = sdmx.codelist(document).groupBy(F.lit(1).alias("one")).agg(*(F.count_if(F.col("list_id") == x).alias(c) for x, c in (("CL_FLAG", "n_flags"), ("CL_STATUS", "n_status"))))
+    return sdmx.structure(document).withColumn("one", F.lit(1)).join(F.broadcast(n), "one").drop("one")
 
 
 def _page(number: int) -> str:

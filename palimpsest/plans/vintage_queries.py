@@ -236,16 +236,25 @@ def actual_lookup(spark, sf):
     return forecasts(t).join(broadcast_if_small(y), "target_quarter", "left").select("model", "target_quarter", F.col("label").cast("long").alias("label"), "y")
 
 
-@query("config_grid", "SELECT md5('{\"k\":' || k || ',\"lags\":' || lags || ',\"train\":' || train || '}') AS config_id, k, lags, train FROM (SELECT unnest([1, 2, 3, 5, 8]) AS k), (SELECT unnest([1, 2, 3]) AS lags), (SELECT unnest([80, 120]) AS train)")
+_OPTIONS = "(SELECT DISTINCT p_size AS k FROM part), (SELECT DISTINCT r_regionkey AS lags FROM region), (SELECT unnest([80, 120]) AS train)"
+
+
+def _options(t: Tables) -> dict[str, list]:
+    """Option lists from the tables: part sizes and regions, a few dozen values whatever the scale."""
+    return {"k": sorted(r[0] for r in t.part.select("p_size").distinct().collect()), "lags": sorted(r[0] for r in t.region.select("r_regionkey").distinct().collect())}
+
+
+@query("config_grid", f"SELECT md5('{{\"k\":' || k || ',\"lags\":' || lags || ',\"train\":' || train || '}}') AS config_id, CAST(k AS INTEGER) AS k, CAST(lags AS INTEGER) AS lags, train FROM {_OPTIONS}")
 def config_grid(spark, sf):
-    return ev.config_grid(spark, k=[1, 2, 3, 5, 8], lags=[1, 2, 3], train=[80, 120]).select("config_id", *(F.col(c).cast("int").alias(c) for c in ("k", "lags", "train")))
+    return ev.config_grid(spark, **_options(Tables(spark, sf)), train=[80, 120]).select("config_id", *(F.col(c).cast("int").alias(c) for c in ("k", "lags", "train")))
 
 
-@query("resume_anti", "SELECT k, lags FROM (SELECT unnest([1, 2, 3, 5, 8]) AS k), (SELECT unnest([1, 2, 3]) AS lags) WHERE NOT (k IN (2, 5) AND lags = 1)")
+@query("resume_anti", "SELECT CAST(k AS INTEGER) AS k, CAST(lags AS INTEGER) AS lags FROM (SELECT DISTINCT p_size AS k FROM part), (SELECT DISTINCT r_regionkey AS lags FROM region) WHERE (k, lags) NOT IN (SELECT (p_size, p_partkey % 5) FROM part WHERE p_partkey % 16 = 0)")
 def resume_anti(spark, sf):
-    grid = ev.config_grid(spark, k=[1, 2, 3, 5, 8], lags=[1, 2, 3])
-    done = grid.where("k in (2, 5) and lags = 1")
-    return ev.pending(grid, done).select(F.col("k").cast("int").alias("k"), F.col("lags").cast("int").alias("lags"))
+    """The configurations that the results so far, every 16th part standing in for them, do not have."""
+    t = Tables(spark, sf)
+    done = t.part.where("p_partkey % 16 = 0").select(F.col("p_size").cast("long").alias("k"), (F.col("p_partkey") % 5).cast("long").alias("lags"))
+    return ev.pending(ev.config_grid(spark, **_options(t)), done, ["k", "lags"]).select(F.col("k").cast("int").alias("k"), F.col("lags").cast("int").alias("lags"))
 
 
 LABELS = ["2020", "2020Q3", "2020-Q3", "2010K2", "2017-S1", "2024P2", "202013", "202012", "2020M7", "2020-07", "2020-07-15", "2020-W01", "2023-2024", "", "2021W53", "abc", "2020-13"]
@@ -258,9 +267,21 @@ LABEL_TABLE = {
 }
 
 
-@query("period_labels", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if d is None else f'DATE {d!r}'}, '{f}')" for k, (d, f) in LABEL_TABLE.items()) + ") t(label, first_day, frequency)")
+_D = "CAST(o_orderdate AS DATE)"
+
+
+@query("period_labels", f"""SELECT DISTINCT CASE k WHEN 0 THEN strftime(d, '%Y') WHEN 1 THEN year(d) || 'Q' || quarter(d) WHEN 2 THEN strftime(d, '%Y-%m') WHEN 3 THEN strftime(d, '%Y%m') WHEN 4 THEN strftime(d, '%Y-%m-%d') WHEN 5 THEN year(d) || '-S' || (month(d) + 5) // 6 WHEN 6 THEN year(d) || 'M' || month(d) ELSE 'abc' END AS label,
+  CAST(CASE k WHEN 0 THEN date_trunc('year', d) WHEN 1 THEN date_trunc('quarter', d) WHEN 4 THEN d WHEN 5 THEN CASE WHEN month(d) < 7 THEN date_trunc('year', d) ELSE date_trunc('year', d) + INTERVAL 6 MONTH END WHEN 7 THEN NULL ELSE date_trunc('month', d) END AS DATE) AS first_day,
+  CASE k WHEN 0 THEN 'A' WHEN 1 THEN 'Q' WHEN 4 THEN 'D' WHEN 5 THEN 'S' ELSE 'M' END AS frequency FROM (SELECT {_D} AS d, o_orderkey % 8 AS k FROM orders)""")
 def period_labels(spark, sf):
-    d = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    """Every order's date as a label, in eight forms; LABEL_TABLE has the odd ones, for the tests."""
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 8
+    y, text = F.year(d).cast("string"), lambda pattern: F.date_format(d, pattern)
+    forms = [text("yyyy"), F.concat(y, F.lit("Q"), F.quarter(d)), text("yyyy-MM"), text("yyyyMM"), text("yyyy-MM-dd"), F.concat(y, F.lit("-S"), F.floor((F.month(d) + 5) / 6).cast("string")), F.concat(y, F.lit("M"), F.month(d))]
+    label = F.lit("abc")
+    for n, form in enumerate(forms):
+        label = F.when(k == n, form).otherwise(label)
+    d = Tables(spark, sf).orders.select(label.alias("label")).distinct()
     return d.select("label", pf.period_start(F.col("label")).alias("first_day"), pf.period_frequency(F.col("label")).alias("frequency"))
 
 
@@ -277,7 +298,10 @@ def series_keys(spark, sf):
     return c.select("c_custkey", pf.dotted_key(F.lit("cust"), **parts).alias("dotted"), pf.piped_key(F.lit("cust"), **parts).alias("piped"), pf.joined_key(F.col("c_name"), F.col("c_mktsegment")).alias("joined"))
 
 
-@query("frequency_alias", "SELECT * FROM (VALUES ('monthly', 'M'), ('Q', 'Q'), (' daily ', 'D'), ('ANNUAL', 'A'), ('fortnight', 'M'), ('w', 'W')) t(raw, code)")
+_WORDS = {"monthly": "M", "Q": "Q", " daily ": "D", "ANNUAL": "A", "fortnight": "M", "w": "W"}
+
+
+@query("frequency_alias", f"SELECT c_custkey, raw, CASE raw {' '.join(f"WHEN '{w}' THEN '{c}'" for w, c in _WORDS.items())} END AS code FROM (SELECT c_custkey, [{', '.join(f"'{w}'" for w in _WORDS)}][c_custkey % 6 + 1] AS raw FROM customer)")
 def frequency_alias(spark, sf):
-    d = spark.createDataFrame([("monthly",), ("Q",), (" daily ",), ("ANNUAL",), ("fortnight",), ("w",)], "raw string")
-    return d.select("raw", pf.frequency_code(F.col("raw")).alias("code"))
+    raw = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return Tables(spark, sf).customer.select("c_custkey", raw.alias("raw"), pf.frequency_code(raw).alias("code"))

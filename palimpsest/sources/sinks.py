@@ -19,6 +19,13 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what builds on it does not run it again, and a lost executor costs one stage."""
+    path = f"{scratch(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_long(df: DataFrame, path: str, by: list[str] = ("provider",), mode: str = "overwrite") -> None:
     """Hive-partitioned long panel, clustered by series inside each file so that min/max statistics prune."""
     sort = [c for c in ("series_id", "period_date") if c in df.columns]
