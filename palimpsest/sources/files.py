@@ -17,13 +17,18 @@ from pyspark.sql import functions as F
 from palimpsest.functions.periods import period_frequency, period_start
 
 
+def _place() -> Column:
+    """A row's place in its files' order, however they are split: file, start of the split, and order in the split."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    """A wide panel by its suffix, its date column named period_date, the last row of each date, in no order."""
+    """A wide panel by its suffix, its date column named period_date, the last row of each date in the order of files."""
     df = spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)
     date = next((c for c in ("period_date", "month_end") if c in df.columns), None)
     if date is None:
         raise ValueError(f"{path} has neither period_date nor month_end")
-    df = df.withColumn(date, F.col(date).cast("date")).withColumnRenamed(date, "period_date").withColumn("__n", F.monotonically_increasing_id())
+    df = df.withColumn(date, F.col(date).cast("date")).withColumnRenamed(date, "period_date").withColumn("__n", _place())
     return df.withColumn("__k", F.row_number().over(W.partitionBy("period_date").orderBy(F.desc("__n")))).where("__k = 1").drop("__k", "__n")
 
 
@@ -109,14 +114,19 @@ def json_records(payloads: DataFrame, path: str, schema: str, column: str = "bod
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", skip: int = 0) -> DataFrame:
-    """Delimited text; with skip, a whole file's first lines before its header are dropped."""
+    """Delimited text; with skip, each file's first lines before its header are dropped. Files are split as any text."""
     if not skip:
         return spark.read.csv(path, header=True, sep=sep, encoding=encoding)
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(F.slice(F.split("value", "\r?\n"), skip + 1, 1 << 30).alias("l"))
-    head = lines.select(F.element_at("l", 1)).first()[0].split(sep)
-    rows = lines.select(F.explode(F.slice("l", 2, 1 << 30)).alias("line")).where("trim(line) <> ''")
-    return rows.select(F.from_csv("line", F.lit(", ".join(f"`{h.strip()}` string" for h in head)), {"sep": sep}).alias("r")).select("r.*")
+    # A file's first lines are in its first split, one after another: they are those next to its smallest number there.
+    lines = spark.read.text(path).withColumn("at", _place())
+    first = lines.where("at.start = 0").groupBy(F.col("at.file").alias("file")).agg(F.min("at.n").alias("first"))
+    numbered = lines.join(F.broadcast(first), F.col("at.file") == F.col("file")).withColumn("line", F.when(F.col("at.start") == 0, F.col("at.n") - F.col("first")).otherwise(F.lit(skip + 1)))
+    head = numbered.where(F.col("line") == skip).orderBy("file").select("value").first()
+    if head is None:
+        raise ValueError(f"{path} has no header after {skip} lines")
+    names = ", ".join(f"`{h.strip()}` string" for h in head[0].rstrip("\r").split(sep))
+    rows = numbered.where((F.col("line") > skip) & (F.trim("value") != "")).select(F.regexp_replace("value", "\r$", "").alias("line"))
+    return rows.select(F.from_csv("line", F.lit(names), {"sep": sep}).alias("r")).select("r.*")
 
 
 def normalised(records: DataFrame, key: Column, date: Column, value: Column, provider: str, frequency: Column | None = None, unit: Column | None = None, country: Column | None = None, transform: Column | None = None) -> DataFrame:
@@ -140,13 +150,13 @@ def read_results(spark: SparkSession, folder: str, pattern: str = "*predictions_
 
 
 def consolidated(spark: SparkSession, paths: list[str], date: str = "period_date") -> DataFrame:
-    """Wide chunk files with different columns as one long panel: series_id, date, value (null where a chunk has a gap)."""
-    out = None
-    for p in paths:
-        wide = spark.read.parquet(p)
-        long = wide.unpivot([date], [f"`{c}`" for c in wide.columns if c != date], "series_id", "value").withColumn("series_id", F.regexp_replace("series_id", "^`|`$", ""))
-        out = long if out is None else out.unionByName(long)
-    return out
+    """Wide chunk files with different columns as one long panel: series_id, date, value; a gap is no row.
+
+    One scan, whatever the number of chunks: columns that a file lacks are null in it, and only what is there is unfolded.
+    """
+    wide = spark.read.option("mergeSchema", True).parquet(*paths)
+    cells = F.from_json(F.to_json(F.struct(*(F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns if c != date))), "map<string,double>")
+    return wide.select(date, F.explode(cells).alias("series_id", "value")).select("series_id", date, "value")
 
 
 def first_config(paths: list[str]) -> dict:
@@ -162,12 +172,19 @@ def first_config(paths: list[str]) -> dict:
     raise FileNotFoundError(", ".join(paths))
 
 
-def with_retry(read: Callable[[], DataFrame], tries: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """read(), again after a pause that doubles, with up to a second of jitter, until the tries are used up."""
+def with_retry(read: Callable, tries: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep, keep: bool = False, only: tuple[type[Exception], ...] = (Exception,)):
+    """read(), again after a pause that doubles, with up to a second of jitter, until the tries are used up.
+
+    A DataFrame is lazy: a scan that fails later is outside. With keep its rows are stored in the shared folder within
+    the try, so that failing scans are tried again too. Errors of other kinds than ``only`` are raised at once.
+    """
+    from palimpsest.sources.sinks import stored
+
     for k in range(tries):
         try:
-            return read()
-        except Exception:
+            out = read()
+            return stored(out) if keep else out
+        except only:
             if k == tries - 1:
                 raise
             sleep(wait**k + random.random())

@@ -61,3 +61,46 @@ def test_lost_rows_new_chunks_and_empty_chunks(spark, tmp_path, tasks):
     nothing = lambda asked: make([])(asked).where("id < 0")
     out, n = chunks.run(tasks.where("chunk = '4'").withColumn("chunk", F.lit("e")), nothing, root, SCHEMA)
     assert n == 1 and whole(out) == [] and chunks.run(tasks.where("chunk = '4'").withColumn("chunk", F.lit("e")), nothing, root, SCHEMA)[1] == 0
+
+
+def test_delimited_files_keep_their_own_first_lines_apart(spark, tmp_path):
+    from palimpsest.sources import files
+
+    for k in range(3):
+        (tmp_path / f"f{k}.txt").write_text("note\nmore\r\na;b\r\n" + "".join(f"{k};{j}\r\n" for j in range(400)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        d = files.read_delimited(spark, str(tmp_path), ";", skip=2)
+        assert d.columns == ["a", "b"] and d.rdd.getNumPartitions() > 3
+        assert sorted((int(r.a), int(r.b)) for r in d.collect()) == [(k, j) for k in range(3) for j in range(400)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_the_last_row_of_a_date_is_the_files_last(spark, tmp_path):
+    from palimpsest.sources import files
+
+    (tmp_path / "panel.csv").write_text("period_date,x\n" + "".join(f"2020-01-{1 + k % 28:02d},{k}\n" for k in range(2000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = {r.period_date.day: r.x for r in files.read_panel(spark, str(tmp_path / "panel.csv")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {1 + k % 28: k for k in range(1972, 2000)}
+
+
+def test_a_failing_scan_is_tried_again(spark):
+    from palimpsest.sources import files
+
+    tries = []
+
+    def read():
+        tries.append(1)
+        return spark.range(3).select(F.when(F.lit(len(tries) < 3), F.raise_error(F.lit("down")).cast("long")).otherwise(F.col("id")).alias("id"))
+
+    assert files.with_retry(read, keep=True, sleep=lambda s: None).count() == 3 and len(tries) == 3
+    with pytest.raises(KeyError):
+        files.with_retry(lambda: {}["x"], only=(OSError,), sleep=lambda s: tries.append(2))
+    assert 2 not in tries
