@@ -20,9 +20,9 @@ def staged_promotion(spark, sf):
     return se.promoted(results(Tables(spark, sf)), 20, status="status").select("config_id", "model", "rmse")
 
 
-@query("success_first", f"SELECT config_id, status, rmse FROM ({RESULTS}) ORDER BY status <> 'success', rmse NULLS LAST, config_id LIMIT 500")
+@query("success_first", f"SELECT config_id, status, rmse FROM ({RESULTS}) ORDER BY status <> 'success', rmse NULLS LAST, config_id")
 def success_first(spark, sf):
-    return se.success_first(results(Tables(spark, sf))).select("config_id", "status", "rmse").limit(500)
+    return se.success_first(results(Tables(spark, sf))).select("config_id", "status", "rmse")
 
 
 @query("seeded_shuffle", "SELECT p_partkey AS config_id FROM part ORDER BY md5('7:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 40")

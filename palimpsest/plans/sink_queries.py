@@ -23,11 +23,14 @@ def partitioned_write(spark, sf):
     return d.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("wide_write", f"SELECT count(*) AS n_rows, count(CASE WHEN series_id = 'AF' THEN 1 END) AS n_af FROM (SELECT period_date, max(CASE WHEN series_id = 'AF' THEN 'AF' END) AS series_id FROM ({PANEL}) GROUP BY 1)")
+_FLAGS = ["AF", "AO", "NF", "NO", "RF", "RO"]
+
+
+@query("wide_write", f"SELECT count(DISTINCT period_date) AS n_rows, {', '.join(f"count(CASE WHEN series_id = '{x}' THEN 1 END) AS n_{x.lower()}" for x in _FLAGS)} FROM ({PANEL})")
 def wide_write(spark, sf):
     at = _place(spark)
-    sinks.write_wide(panel(Tables(spark, sf)), at, ["AF", "AO"])
-    return spark.read.parquet(at).agg(F.count(F.lit(1)).alias("n_rows"), F.count("AF").alias("n_af"))
+    sinks.write_wide(panel(Tables(spark, sf)), at, _FLAGS)
+    return spark.read.parquet(at).agg(F.count(F.lit(1)).alias("n_rows"), *(F.count(x).alias(f"n_{x.lower()}") for x in _FLAGS))
 
 
 @query("resumed_results", "SELECT p_brand, count(*) AS n FROM (SELECT DISTINCT p_brand, p_size FROM part) GROUP BY 1")

@@ -12,10 +12,12 @@ from palimpsest.sources import files, paged, sdmx, sinks
 from palimpsest.streaming import ingest
 
 
-@query("unpivot_wide", f"SELECT series_id, strftime(period_date, '%Y-%m') AS label, CAST(date_trunc('month', period_date) AS DATE) AS period_date, 'M' AS frequency, round(value, 2) AS value FROM ({PANEL}) WHERE year(period_date) = 1996")
+@query("unpivot_wide", f"SELECT series_id, strftime(period_date, '%Y-%m') AS label, CAST(date_trunc('month', period_date) AS DATE) AS period_date, 'M' AS frequency, round(value, 2) AS value FROM ({PANEL})")
 def unpivot_wide(spark, sf):
-    p = panel(Tables(spark, sf)).where("year(period_date) = 1996").withColumn("label", F.date_format("period_date", "yyyy-MM"))
-    wide = p.groupBy("series_id").pivot("label", [f"1996-{m:02d}" for m in range(1, 13)]).agg(F.max("value"))
+    """The panel as a statistics table with a column for each month, and back."""
+    p = panel(Tables(spark, sf)).withColumn("label", F.date_format("period_date", "yyyy-MM"))
+    months = sorted(r[0] for r in p.select("label").distinct().collect())  # a wide table's columns
+    wide = p.groupBy("series_id").pivot("label", months).agg(F.max("value"))
     return files.unpivot_labels(wide).where("value is not null").withColumn("value", F.round("value", 2))
 
 

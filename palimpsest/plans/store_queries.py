@@ -291,10 +291,10 @@ def left_keys_found(spark, sf):
     return d.select("c_custkey", pf.normal_key(F.col("c_name")).alias("key"), "n_name", F.col("n_name").isNotNull().alias("found"))
 
 
-@query("union_pages", f"SELECT series_id, period_date, value, CAST(NULL AS VARCHAR) AS page FROM ({PANEL}) WHERE series_id = 'AF' UNION ALL SELECT series_id, period_date, NULL, 'second' FROM ({PANEL}) WHERE series_id = 'NO'")
+@query("union_pages", f"SELECT series_id, period_date, value, CAST(NULL AS VARCHAR) AS page FROM ({PANEL}) WHERE series_id LIKE 'A%' UNION ALL SELECT series_id, period_date, NULL, 'second' FROM ({PANEL}) WHERE series_id NOT LIKE 'A%'")
 def union_pages(spark, sf):
     p = panel(Tables(spark, sf))
-    return p.where("series_id = 'AF'").unionByName(p.where("series_id = 'NO'").drop("value").withColumn("page", F.lit("second")), allowMissingColumns=True)
+    return p.where("series_id like 'A%'").unionByName(p.where("series_id not like 'A%'").drop("value").withColumn("page", F.lit("second")), allowMissingColumns=True)
 
 
 @query("set_ops", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '5-LOW')

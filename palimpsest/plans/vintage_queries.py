@@ -12,11 +12,11 @@ from palimpsest.operators import vintage as vt
 from palimpsest.operators.sizes import broadcast_if_small
 from palimpsest.plans.base import FORECASTS, GAPPY, GAPPY_DENSE, PANEL, QEND, TARGET, Tables, forecasts, gappy, panel, query, target
 
-CUTS = f"SELECT period_date AS target_quarter, label, last_day(CAST(period_date + to_months(CAST(label AS INTEGER)) AS DATE)) AS cutoff FROM (SELECT period_date FROM ({TARGET}) WHERE period_date >= DATE '2000-01-01'), (SELECT unnest([-2, -1, 0, 1, 2]) AS label)"
+CUTS = f"SELECT period_date AS target_quarter, label, last_day(CAST(period_date + to_months(CAST(label AS INTEGER)) AS DATE)) AS cutoff FROM (SELECT period_date FROM ({TARGET})), (SELECT unnest([-2, -1, 0, 1, 2]) AS label)"
 
 
 def cuts(t: Tables):
-    q = target(t).where("period_date >= date'2000-01-01'").select(F.col("period_date").alias("target_quarter"))
+    q = target(t).select(F.col("period_date").alias("target_quarter"))
     return vt.cutoffs(q)
 
 
@@ -197,10 +197,10 @@ def revisions(spark, sf):
     return d.select("model", "transition", F.round("avg_revision", 2).alias("avg_revision"), "n_revision_pairs")
 
 
-@query("running_rmse", f"SELECT model, target_quarter, round(sqrt(avg((actual - predicted) ^ 2) OVER (PARTITION BY model ORDER BY target_quarter ROWS UNBOUNDED PRECEDING)), 2) AS running_rmse FROM ({FORECASTS}) WHERE label = 2")
+@query("running_rmse", f"SELECT model, label, target_quarter, round(sqrt(avg((actual - predicted) ^ 2) OVER (PARTITION BY model, label ORDER BY target_quarter ROWS UNBOUNDED PRECEDING)), 2) AS running_rmse FROM ({FORECASTS})")
 def running_rmse(spark, sf):
-    d = ev.running_rmse(forecasts(Tables(spark, sf)).where("label = 2"), ["model"], "target_quarter")
-    return d.select("model", "target_quarter", F.round("running_rmse", 2).alias("running_rmse"))
+    d = ev.running_rmse(forecasts(Tables(spark, sf)), ["model", "label"], "target_quarter")
+    return d.select("model", "label", "target_quarter", F.round("running_rmse", 2).alias("running_rmse"))
 
 
 @query("leaderboard", f"SELECT model, label, round(rmse, 2) AS rmse, rank FROM (SELECT *, row_number() OVER (ORDER BY rmse, model) AS rank FROM (SELECT DISTINCT ON (model) model, label, rmse FROM (SELECT model, label, sqrt(avg((actual - predicted) ^ 2)) AS rmse FROM ({FORECASTS}) GROUP BY 1, 2) ORDER BY model, rmse, label)) WHERE rank <= 3")
@@ -218,15 +218,15 @@ def fold_feature_medians(spark, sf):
     return d.groupBy(F.col("label").cast("long").alias("label")).agg(F.median("n").alias("median_n"), F.countDistinct("model").alias("n_models"))
 
 
-@query("prediction_extract", f"""SELECT model, target_date, predicted, CASE m WHEN 1 THEN 'exact' WHEN 2 THEN 'same_quarter' WHEN 3 THEN 'same_month' ELSE 'last' END AS mode FROM (
-  SELECT DISTINCT ON (model, target_date) model, target_date, predicted, m FROM (
-    SELECT f.model, t.target_date, f.predicted, f.target_quarter, CASE WHEN f.target_quarter = t.target_date THEN 1 WHEN {QEND.format(d='f.target_quarter')} = {QEND.format(d='t.target_date')} THEN 2 WHEN last_day(f.target_quarter) = last_day(t.target_date) THEN 3 ELSE 4 END AS m
-    FROM ({FORECASTS}) f CROSS JOIN (SELECT unnest([DATE '1998-06-30', DATE '1998-08-15', DATE '2030-01-31']) AS target_date) t WHERE f.label = 2) ORDER BY model, target_date, m, target_quarter DESC)""")
+@query("prediction_extract", f"""SELECT model, label, target_date, predicted, CASE m WHEN 1 THEN 'exact' WHEN 2 THEN 'same_quarter' WHEN 3 THEN 'same_month' ELSE 'last' END AS mode FROM (
+  SELECT DISTINCT ON (model, label, target_date) model, label, target_date, predicted, m FROM (
+    SELECT f.model, f.label, t.target_date, f.predicted, f.target_quarter, CASE WHEN f.target_quarter = t.target_date THEN 1 WHEN {QEND.format(d='f.target_quarter')} = {QEND.format(d='t.target_date')} THEN 2 WHEN last_day(f.target_quarter) = last_day(t.target_date) THEN 3 ELSE 4 END AS m
+    FROM ({FORECASTS}) f CROSS JOIN (SELECT unnest([DATE '1998-06-30', DATE '1998-08-15', DATE '2030-01-31']) AS target_date) t) ORDER BY model, label, target_date, m, target_quarter DESC)""")
 def prediction_extract(spark, sf):
-    f = forecasts(Tables(spark, sf)).where("label = 2").select("model", F.col("target_quarter").alias("period_date"), "predicted")
+    f = forecasts(Tables(spark, sf)).select("model", "label", F.col("target_quarter").alias("period_date"), "predicted")
     days = F.array(*(F.lit(d).cast("date") for d in ("1998-06-30", "1998-08-15", "2030-01-31")))
-    targets = f.select("model").distinct().withColumn("target_date", F.explode(days))
-    return ev.extracted(f, targets, ["model"])
+    targets = f.select("model", "label").distinct().withColumn("target_date", F.explode(days))
+    return ev.extracted(f, targets, ["model", "label"])
 
 
 @query("actual_lookup", f"SELECT f.model, f.target_quarter, f.label, t.y FROM ({FORECASTS}) f LEFT JOIN (SELECT period_date, round(y, 6) AS y FROM ({TARGET})) t ON t.period_date = f.target_quarter")
