@@ -104,6 +104,17 @@ def sdmx_structure(spark, sf):
     return sdmx.structure(document).withColumn("one", F.lit(1)).join(F.broadcast(n), "one").drop("one")
 
 
+@query("long_datasets", "SELECT CAST(n_nationkey AS INTEGER) AS dataset, n_name AS name, min(CAST(o_orderdate AS DATE)) AS earliest FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey IN (1, 2, 3) GROUP BY ALL HAVING min(CAST(o_orderdate AS DATE)) <= DATE '1995-02-01' ORDER BY earliest, dataset LIMIT 12")
+def long_datasets(spark, sf):
+    """Nations of three regions as datasets: eligible by the catalogue, then by their files' earliest dates; the top 12."""
+    t = Tables(spark, sf)
+    at = f"{sinks.scratch(spark)}/datasets-{uuid.uuid4().hex}"
+    d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("int").alias("dataset"), F.col("o_orderdate").cast("date").alias("period_date"), "o_totalprice")
+    d.repartition("dataset").write.partitionBy("dataset").parquet(at)
+    eligible = t.nation.where("n_regionkey in (1, 2, 3)").select(F.col("n_nationkey").cast("int").alias("dataset"), F.col("n_name").alias("name"))
+    return files.long_datasets(eligible, files.earliest_dates(spark, at), "1995-02-01", 12).select("dataset", "name", "earliest")
+
+
 def _page(number: int) -> str:
     return json.dumps({"result": {"items": [{"k": 10 * number + i, "v": None if i == 1 else i / 4} for i in range(3 if number < 4 else 1)]}})
 

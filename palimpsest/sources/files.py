@@ -189,3 +189,24 @@ def with_retry(read: Callable, tries: int = 3, wait: float = 2.0, sleep: Callabl
                 raise
             sleep(wait**k + random.random())
     raise ValueError("tries must be 1 or more")
+
+
+def earliest_dates(spark: SparkSession, path: str, by: str = "dataset", date: str = "period_date") -> DataFrame:
+    """by, earliest of Parquet folders ``by``=..., from the files' statistics: no row is read.
+
+    Only the second version of Spark's Parquet source answers aggregates from footers; a session of its own chooses it,
+    so that the caller's session stays as it is. Dates are answered so, timestamps are not.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).groupBy(by).agg(F.min(date).alias("earliest"))
+
+
+def long_datasets(eligible: DataFrame, earliest: DataFrame, before: str, most: int | None = None, by: str = "dataset") -> DataFrame:
+    """The eligible datasets that reach back to ``before``, the longest first, at most so many.
+
+    eligible comes from the catalogue alone; the dates of the others are not looked at.
+    """
+    d = eligible.join(F.broadcast(earliest), by).where(F.col("earliest") <= F.lit(before).cast("date")).orderBy("earliest", by)  # a row for each dataset
+    return d.limit(most) if most is not None else d

@@ -104,3 +104,19 @@ def test_a_failing_scan_is_tried_again(spark):
     with pytest.raises(KeyError):
         files.with_retry(lambda: {}["x"], only=(OSError,), sleep=lambda s: tries.append(2))
     assert 2 not in tries
+
+
+def test_earliest_dates_come_from_the_files_statistics(spark, tmp_path, capsys):
+    import datetime as dt
+
+    from palimpsest.sources import files
+
+    rows = [(k % 4, dt.date(2000 + k % 4, 1, 1) + dt.timedelta(days=k)) for k in range(200)]
+    spark.createDataFrame(rows, "dataset int, period_date date").write.partitionBy("dataset").parquet(str(tmp_path / "d"))
+    d = files.earliest_dates(spark, str(tmp_path / "d"))
+    d.explain("formatted")
+    assert "PushedAggregation: [MIN(period_date)]" in capsys.readouterr().out
+    assert {r.dataset: r.earliest for r in d.collect()} == {k: dt.date(2000 + k, 1, 1) + dt.timedelta(days=k) for k in range(4)}
+    eligible = spark.createDataFrame([(1, "b"), (2, "c"), (3, "d")], "dataset int, name string")
+    assert [r.name for r in files.long_datasets(eligible, d, "2002-12-31").collect()] == ["b", "c"]
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""
