@@ -186,11 +186,15 @@ def thresholds(scanned: DataFrame, fdr: float = 0.05, least: int = 20) -> dict[s
     low = GRID.index(0.01) + 1  # cells below 0.01: text, but for a hundredth of the random tokens
 
     def text_above(c: list[int], g: float) -> float:
-        """Text tokens with p >= g by the decades' decline: each higher decade has the same share of the one below."""
-        below, last = c[low - 2], c[low - 1]
-        share = min(1.0, last / below) if below else float(last > 0)
+        """Text tokens with p >= g by the decades' decline: each higher decade has the same share of the one below.
+
+        Text never rises, so what the last decade has beyond the one below it is random tokens.
+        """
+        below = c[low - 2]
+        last = min(c[low - 1], below)
+        share = last / below if below else 0.0
         if g < 0.01:
-            return sum(c[GRID.index(g) + 1 : low]) + last * share * (1 + share)
+            return sum(c[GRID.index(g) + 1 : low - 1]) + last + last * share * (1 + share)
         return last * share ** (3 + math.log10(g)) * (1 + share)
 
     out = {}

@@ -179,9 +179,10 @@ def plain_thresholds(found, fdr, least):
             pool = [p for v in strata.values() for p in v]
         scale = 1 if pool is own else len(own) / max(1, text(pool))
         third, second = sum(1e-4 <= p < 1e-3 for p in pool), sum(1e-3 <= p < 0.01 for p in pool)
-        q = min(1, second / third) if third else (1 if second else 0)
+        second = min(second, third)
+        q = second / third if third else 0
         for g in secrets.GRID:
-            above = sum(g <= p < 0.01 for p in pool) + second * (q + q * q) if g < 0.01 else second * q * (1 + q) * q ** math.log10(g / 0.01)
+            above = sum(g <= p < 0.001 for p in pool) + second + second * (q + q * q) if g < 0.01 else second * q * (1 + q) * q ** math.log10(g / 0.01)
             if any(p >= g for p in own) and scale * above <= fdr * sum(p >= g for p in own) + 1e-12:
                 out[f"{encoding}/{length}"] = g
                 break
