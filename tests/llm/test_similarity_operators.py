@@ -205,6 +205,10 @@ def test_registered_queries_run_on_awkward_tables(spark, tmp_path):
     sf = saved(spark, tmp_path)
     saved(spark, tmp_path, "labels", spark.createDataFrame([(3, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int"))
     saved(spark, tmp_path, "pages", spark.createDataFrame([(1, None, None), (None, "http://a.net/", "")], "page_id long, url string, html string"))
+    saved(spark, tmp_path, "embeddings", spark.createDataFrame([(50, 1, [1.0, 0.5]), (1, 1, [0.9, 0.5]), (2, 2, [0.6, 0.4]), (3, 2, None), (None, 2, [1.0])], "vec_id long, label int, embedding array<float>"))
     for name, query in registry.queries().items():
         n = query(spark, sf).count()
+        if name.split("_")[0] in ("op12", "op13"):  # phrases, and one anchor's negative: no row for each document
+            assert n == 1 if name.startswith("op13") else n > 0, name
+            continue
         assert n == 2 if name.startswith("op10") else n >= len(TEXTS), name
