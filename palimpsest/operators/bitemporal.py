@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ["series_id", "period_date"]
+ROWS_PER_FILE = 200_000
 
 
 def as_of(obs: DataFrame, moment: Column | None = None, key: list[str] = KEY, observed: str = "observed_at", tie: str | None = None) -> DataFrame:
@@ -29,20 +30,24 @@ def revisions_per_point(obs: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, key: list[str] = [*KEY, "observed_at"], tie: str | None = None) -> DataFrame:
-    """The batch without rows whose key is stored, one row for each key: what an idempotent append adds."""
-    order = F.desc(tie) if tie else F.lit(1)
-    once = batch.withColumn("__k", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("__k = 1").drop("__k")
-    known = stored.select(*(F.col(k).alias(f"__{k}") for k in key)).distinct()
-    same = F.lit(True)
-    for k in key:  # a null is a key like any other
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return once.join(known, same, "left_anti")
+    """The batch without rows whose key is stored, one row for each key: what an idempotent append adds.
+
+    The store's keys stand before the batch's rows of the same key in one window, so either side is shuffled and sorted
+    once (row_number would sort before the shuffle too). A null is a key like any other.
+    """
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in batch.schema if f.name not in key]
+    known = stored.select(*key, *rest, F.lit(False).alias("__new"))
+    order = [F.col("__new"), *([F.desc(tie)] if tie else [])]
+    both = known.unionByName(batch.withColumn("__new", F.lit(True)))
+    first = both.withColumn("__k", F.lag(F.lit(1)).over(W.partitionBy(*key).orderBy(*order)))
+    return first.where("__k is null and __new").select(*(F.col(f.name).cast(f.dataType) for f in batch.schema))
 
 
 def append_idempotent(batch: DataFrame, path: str, key: list[str] = [*KEY, "observed_at"], tie: str | None = None, date: str = "period_date") -> int:
     """Appends the batch's new rows to the Parquet store at path; gives their number.
 
-    Of the store only rows within the batch's range of dates are read, where the date is part of the key.
+    Of the store only rows within the batch's range of dates are read, where the date is part of the key. The number of
+    files goes by the number of rows, however many shuffle partitions hold them.
     """
     spark = batch.sparkSession
     try:
@@ -59,7 +64,7 @@ def append_idempotent(batch: DataFrame, path: str, key: list[str] = [*KEY, "obse
     try:
         n = fresh.count()
         if n:
-            fresh.write.mode("append").parquet(path)
+            fresh.coalesce(-(-n // ROWS_PER_FILE)).write.mode("append").parquet(path)
         return n
     finally:
         fresh.unpersist()

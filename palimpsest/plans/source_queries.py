@@ -125,14 +125,18 @@ def paged_query(spark, sf):
     return spark.read.format("palimpsest_pages").load()
 
 
+ROW_GROUP = 8 << 20
+
+
 def _folder(spark) -> str:
     return f"{sinks.scratch(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_append", f"SELECT series_id, period_date, event_type, count(*) AS n FROM (SELECT DISTINCT series_id, period_date, event_type FROM ({REVISED})) GROUP BY 1, 2, 3")
 def stream_append(spark, sf):
+    """Four files of events, one to a micro-batch; their row groups are small, so that a large file is read by many tasks."""
     at = _folder(spark)
-    revised(Tables(spark, sf)).repartition(4, "event_id").write.parquet(f"{at}/in")
+    revised(Tables(spark, sf)).repartition(4, "event_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{at}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     key = ["series_id", "period_date", "event_type"]
     for run in (1, 2):  # the second start finds nothing new
