@@ -144,13 +144,14 @@ def prepared(panel: DataFrame, to: str = "month", rule: str = "last", mixed: boo
 
 def search_prepared(panel: DataFrame, how: str = "yoy", least: int = 36, least_years: float = 14.0) -> DataFrame:
     """series_id, period_date, value of search-interest series: monthly means, gaps filled, the level, its difference
-    or its yearly difference (how: level, diff, yoy), clipped. Short series are left out before and after."""
+    or its yearly difference (how: level, diff, yoy), clipped. Short series are left out before and after. What several
+    later stages read is stored, as in prepared, so that no task holds all stages' windows at once."""
     steps = {"level": 0, "diff": 1, "yoy": 12}[how]
-    dense = regular(panel, "month", "mean")
+    dense = stored(regular(panel, "month", "mean"))
     look = first_look(dense, least, least_years).where("dropped_reason is null").select("series_id")
     d = dense.join(look, "series_id", "left_semi")
     moved = F.col("filled") - F.lag("filled", steps).over(ts.by_series()) if steps else F.col("filled")
-    d = ts.winsorize(d.select("series_id", "period_date", moved.alias("value"))).select("series_id", "period_date", F.col("clipped").alias("value")).where("value is not null")
+    d = stored(ts.winsorize(d.select("series_id", "period_date", moved.alias("value"))).select("series_id", "period_date", F.col("clipped").alias("value")).where("value is not null"))
     enough = d.groupBy("series_id").agg(F.count("value").alias("n")).where(F.col("n") >= least).select("series_id")
     return d.join(enough, "series_id", "left_semi")
 

@@ -110,8 +110,9 @@ _PREPARED = f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY series_id O
 def preparation_stages(spark, sf):
     """All of preparation but the stationarity test: calendar, gaps, first checks, seasonality, base transformation."""
     from palimpsest.operators import preparation as pr
+    from palimpsest.sources.sinks import stored
 
-    dense = pr.regular(gappy(Tables(spark, sf)))
+    dense = stored(pr.regular(gappy(Tables(spark, sf))))
     look = pr.first_look(dense, 36, 5.0)
     going = dense.join(look.where("dropped_reason is null").select("series_id"), "series_id", "left_semi")
     found = pr.seasonality(going)

@@ -98,3 +98,23 @@ def test_ragged_edges_are_carried_on_and_empty_panels_are_empty(spark, made):
     d = spark.createDataFrame([("q", dt.date(2000 + k // 4, 3 * (k % 4) + 3, 28), float(k % 4 + k / 50)) for k in range(80)], SCHEMA)
     r = pr.prepared(d, to="quarter", least=36, least_years=10.0)[0].first()
     assert r.transform_applied == "yoy_diff_4" and r.is_seasonal
+
+
+def windows_and_joins(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan.count("Window ["), plan.count("SortMergeJoin")
+
+
+def test_later_stages_read_stored_ones_whatever_the_panels_size_looks_like(spark, sf_dir):
+    from palimpsest.plans import registry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # as small tables of a large input seem to the planner
+    try:
+        rng = np.random.default_rng(4)
+        d = pr.search_prepared(frame(spark, {"long": np.cumsum(rng.normal(size=180)), "short": rng.normal(size=20)}), "diff", 36, 5.0)
+        assert windows_and_joins(d) <= (0, 1)
+        assert {r.series_id: r["count"] for r in d.groupBy("series_id").count().collect()} == {"long": 179}
+        w, joins = windows_and_joins(registry.queries()["preparation_stages"](spark, sf_dir))
+        assert w <= 8 and joins <= 12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
